@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, neighbours, splitting, survivor, tokenising
+from . import groups, leakage, neighbours, privacy, splitting, survivor, tokenising
 
 
 def p2_found(spark, sf_dir):
@@ -61,6 +61,26 @@ def p8_roundtrip(spark, sf_dir):
     return tokenising.decode(tokenising.encode(table(spark, sf_dir, "documents")), as_col="text").select("doc_id", F.size("ids").alias("n_ids"), "text")
 
 
+def p9_found(spark, sf_dir):
+    """Documents that hold two fifths or more of an evaluation passage."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages")).select("doc_id", "passage_id")
+
+
+def p9_places(spark, sf_dir):
+    """Where the passages stand in the documents, and how many words of them."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages"))
+
+
+def p10_found(spark, sf_dir):
+    """Every mention of a person or of a way to reach or identify one."""
+    return privacy.mentions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "authors"))
+
+
+def p10_redacted(spark, sf_dir):
+    """Every document with typed placeholders in place of mentions."""
+    return privacy.redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "authors"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -72,6 +92,10 @@ QUERIES = {
     "p5_source_quality": p5_source_quality,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
+    "p9_found": p9_found,
+    "p9_places": p9_places,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 _FILLERS = ", ".join("'" + w + "'" for w in survivor.FILLERS)
