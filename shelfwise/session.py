@@ -6,12 +6,17 @@ import atexit
 import getpass
 import os
 import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables written by ``cut`` in this process, by Spark application id.
 _written: dict[str, list[str]] = {}
+#: Applications whose Python workers have this package.
+_shipped: set[str] = set()
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -34,8 +39,25 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application; they may start anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="shelfwise-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/shelfwise-{app}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One input table; a Parquet file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
@@ -60,6 +82,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, noted for ``release``."""
+    ship(spark)
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/{app}/{tag}-{uuid.uuid4().hex}"
     _written.setdefault(app, []).append(path)
