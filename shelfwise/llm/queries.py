@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, leakage, neighbours, privacy, splitting, survivor, tokenising
+from . import groups, leakage, neighbours, privacy, scans, splitting, survivor, tokenising
 
 
 def p2_found(spark, sf_dir):
@@ -51,6 +51,16 @@ def p5_source_quality(spark, sf_dir):
     return survivor.truth_model(table(spark, sf_dir, "metadata_candidates"))[1]
 
 
+def p7_found(spark, sf_dir):
+    """The kinds of noise in each chunk of a scanned page."""
+    return scans.noise(table(spark, sf_dir, "chunks"))
+
+
+def p7_repaired(spark, sf_dir):
+    """Continuous paragraphs of each chunk of a scanned page."""
+    return scans.repaired(table(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark, sf_dir):
     """Token ids of every document."""
     return tokenising.encode(table(spark, sf_dir, "documents"))
@@ -90,6 +100,8 @@ QUERIES = {
     "p5_records": p5_records,
     "p5_truths": p5_truths,
     "p5_source_quality": p5_source_quality,
+    "p7_found": p7_found,
+    "p7_repaired": p7_repaired,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
     "p9_found": p9_found,
