@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, leakage, neighbours, privacy, scans, splitting, survivor, tokenising
+from . import groups, leakage, names, neighbours, privacy, scans, splitting, survivor, tokenising
+
+
+def p1_found(spark, sf_dir):
+    """Pairs of author rows of one person or organisation."""
+    return names.same_pairs(table(spark, sf_dir, "authors"))
+
+
+def p1_entities(spark, sf_dir):
+    """Every author row with the smallest row of its person or organisation."""
+    who = names.entities(table(spark, sf_dir, "authors"))
+    first = who.groupBy("entity").agg(F.min("author_id").alias("first_id"))
+    return who.join(first, "entity").select("author_id", "first_id")
 
 
 def p2_found(spark, sf_dir):
@@ -92,6 +104,8 @@ def p10_redacted(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
