@@ -64,6 +64,13 @@ def _patterns() -> dict:
                 regex.compile(rf"\b(?:\p{{Lu}}[\p{{L}}-]*{german}|\p{{Lu}}[\p{{L}}]*[\s-](?:Str\.|Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Ufer|Damm|Ring))\s\d{{1,4}}[a-z]?\b(?![.,]\d)", regex.I),
                 regex.compile(r"\b(?:Am|An|Auf|Bei|Hinter|Im|In|Unter|Vor|Zum|Zur|Zwischen)\s(?:(?:der|dem|den|die)\s)?\p{Lu}[\p{L}-]+\s\d{1,4}[a-z]?\b(?![.,]\d)"),
             ],
+            # what a text must hold for a slow pattern to be worth trying
+            "guards": {
+                ("email", 1): regex.compile(r"[\[({<]\s*at\s*[\])}>]", regex.I),
+                ("email", 2): regex.compile(r"\sdot\s", regex.I),
+                ("address", 3): regex.compile(rf"\b{spanish}\s", regex.I),
+                ("address", 4): regex.compile(rf"(?:{german}|(?:Str\.|Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Ufer|Damm|Ring))\s\d"),
+            },
             "word": regex.compile(r"[\p{L}\p{N}#&]+|[:;()<>/.,?!@+\"“”-]"),
             "digits": regex.compile(r"\d"),
             "letters": regex.compile(r"\p{L}"),
@@ -119,12 +126,15 @@ class Proposer:
                 core = part.rstrip(",")
                 tokens.append((at, at + len(core), core, part.endswith(",")))
                 at += len(part)
+            # without capitals, or with nothing else, only what holds a known given name can be a name
+            strict = lower or run.group().isupper() and len(tokens) > 5
+            known = [not strict or self.known(t[2]) or k > 0 and tokens[k - 1][3] and _is_initial(t[2]) for k, t in enumerate(tokens)]
             for i in range(len(tokens) - 1):
                 for n in (2, 3, 4):
-                    if i + n <= len(tokens) and (c := self._name(text, tokens[i : i + n], lower)):
+                    if i + n <= len(tokens) and any(known[i : i + n]) and (c := self._name(text, tokens[i : i + n], lower, strict)):
                         yield c
 
-    def _name(self, text: str, part: list[tuple[int, int, str, bool]], lower: bool) -> tuple[int, int, str, list[str]] | None:
+    def _name(self, text: str, part: list[tuple[int, int, str, bool]], lower: bool, strict: bool) -> tuple[int, int, str, list[str]] | None:
         words = [t[2] for t in part]
         commas = [k for k, t in enumerate(part[:-1]) if t[3]]
         if any(w.endswith(".") and not _is_initial(w) for w in words[:-1]):
@@ -153,7 +163,7 @@ class Proposer:
         known = [self.known(w) for w in full]
         if bare in NOT_NAMES or len(bare) < 3 or any(w.rstrip(".").casefold() in NOT_NAMES | TITLES and not k for w, k in zip(full, known)):
             return None
-        if (lower or family.isupper() and len(family) > 3 and "," not in form) and not (known and all(known)):
+        if (lower or strict and "," not in form) and not (known and all(known)):
             return None
         lex = "none" if not known else "all" if all(known) else "some" if any(known) else "no"
         names = [f"form={form}", f"lex={lex}", f"form={form} lex={lex}", f"surname_given={self.known(bare)}", f"caps={family.isupper()} {lower}", f"line={chr(10) in text[start:end]}"]
@@ -185,7 +195,11 @@ class Proposer:
         import re
 
         found = list(self._names(text))
+        guards = self.p["guards"]
+        allowed = lambda kind, k: (kind, k) not in guards or guards[kind, k].search(text)
         for k, pattern in enumerate(self.p["email"]):
+            if not allowed("email", k):
+                continue
             for m in pattern.finditer(text):
                 found.append((m.start(), m.end(), "email", [f"way={k}", f"blank={' @' in m.group()}"] + self._around(text, m.start(), m.end())))
         for m in self.p["number"].finditer(text, overlapped=False):
@@ -195,6 +209,8 @@ class Proposer:
             shape = re.sub(r"[^\W\d_]+", lambda x: "L" * len(x.group()), re.sub(r"\d+", lambda x: str(len(x.group())), own))
             found.append((m.start(), m.end(), "id_number", [f"shape={shape}", f"head={own[:2].upper() if own[:2].isalpha() else ''}", f"upper={own.isupper()}"] + self._around(text, m.start(), m.end())))
         for k, pattern in enumerate(self.p["address"]):
+            if not allowed("address", k):
+                continue
             for m in pattern.finditer(text, overlapped=k == 1):
                 own = m.group()
                 if k == 1 and not (own.isupper() or own.islower() and not NOT_NAMES.isdisjoint(text[:200].split()) and text[:200].islower()):
