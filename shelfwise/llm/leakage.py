@@ -16,8 +16,9 @@ passage_id or doc_id count once each; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,7 +64,7 @@ class Scanner:
                 places[" " + " ".join(own[k : k + SEED]) + " "].append((number, k))
         self.automaton = ahocorasick.Automaton()
         for pattern, at in places.items():
-            self.automaton.add_word(pattern, at)
+            self.automaton.add_word(pattern, (tuple(p for p, _ in at), at))
         if places:
             self.automaton.make_automaton()
 
@@ -75,11 +76,21 @@ class Scanner:
         for k, w in enumerate(plain):
             at += len(w) + 1
             number_at[at] = k  # the blank after word k
+        # a run of n words has n - SEED + 1 matches, so that a passage needs a third of its words as matches at least
+        hits = list(self.automaton.iter(joined))
+        seen = Counter(chain.from_iterable(places[0] for _, places in hits))
+        wanted = {p for p, n in seen.items() if n * SEED >= self.need[p]}
         runs: dict[int, list[list[int]]] = defaultdict(list)
+        if not wanted:
+            return runs
         open_runs: dict[tuple[int, int], list[int]] = {}
-        for end, places in self.automaton.iter(joined):
+        for end, (passages, places) in hits:
+            if wanted.isdisjoint(passages):
+                continue
             first = number_at[end] - SEED + 1
             for passage, k in places:
+                if passage not in wanted:
+                    continue
                 run = open_runs.get((passage, first - k))
                 if run and run[0] + run[2] - SEED + 1 == first:
                     run[2] += 1
