@@ -48,7 +48,7 @@ RECURS = 3
 
 _BREAK = r"\r\n|\n|\r"
 #: A word split over a line end: letters, a hyphen in one of its forms, the line end, letters.
-SPLIT = r"(?<=\p{L})[-\u2010\u2011\u00AC\u00AD][^\S\r\n]*(?:\r\n|\n|\r)\s*(?=\p{L})"
+SPLIT = r"[-\u2010\u2011\u00AC\u00AD](?<=\p{L}.)[^\S\r\n]*(?:\r\n|\n|\r)\s*(?=\p{L})"
 _NUMBER = r"(?:\d{1,4}|[ivxlc]{1,7})"
 _ALONE = rf"^\s*(?:[-–—·\[(|~*]\s*)?(?:[Pp]age\s+|[Ss]eite\s+|p\.\s*)?({_NUMBER})(?:\s+(?:of|von)\s+\d+)?(?:\s*[-–—·\])|~*])?\s*$"
 _BEFORE, _AFTER = rf"^\s*({_NUMBER})\s{{2,}}(\S.*)$", rf"^(.*\S)\s{{2,}}({_NUMBER})\s*$"
@@ -154,10 +154,16 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(F.regexp_replace(text, SPLIT, ""), _OPENING, " ")), F.lit(_WORD), F.lit(0))
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(word, n) over all chunks, with a page or without; a leading bracket does not count as part of a known word."""
-    words = F.explode(_tokens(F.col("text"))).alias("word")
-    return chunks.where("text is not null").select(words).where(F.regexp_like("word", F.lit(r"\p{L}"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, paged, t): the words of every text, written once for all that reads them."""
+    rows = chunks.where("text is not null").select("chunk_id", F.col("page").isNotNull().alias("paged"), _tokens(F.col("text")).alias("t"))
+    return cut(rows, "tokens")[0]
+
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """(word, n) over all chunks, with a page or without."""
+    counts = tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.regexp_like("word", F.lit(r"\p{L}")))
 
 
 _OPS = T.ArrayType(T.StringType())
@@ -261,18 +267,21 @@ def _decoded(hits: pd.Series, pairs: pd.Series) -> pd.Series:
 
 def misread_words(chunks: DataFrame) -> DataFrame:
     """(chunk_id, words array<struct<pos, true>>): positions of misread words among a chunk's words, and their sources."""
-    wrong, _ = cut(corrections(word_counts(chunks)), "corrections")
-    pages = _pages(chunks).select("chunk_id", "text").distinct()
-    words = pages.select("chunk_id", _tokens(F.col("text")).alias("t")).select("chunk_id", "t", F.posexplode("t").alias("pos", "word"))
-    hits = words.join(wrong.drop("n"), "word").select(
-        "chunk_id", "pos", "word", "own", "options",
-        F.when(F.col("pos") > 0, F.get("t", F.col("pos") - 1)).alias("before"), F.get("t", F.col("pos") + 1).alias("after"),
-    )
-    hits, _ = cut(hits, "hits")
+    tokens = tokenised(chunks)
+    wrong, _ = cut(corrections(word_counts(tokens)), "corrections")
+    paged = tokens.where("paged and chunk_id is not null")
+    words = paged.select("chunk_id", F.posexplode("t").alias("pos", "word"))
+    hits = words.join(wrong.drop("n"), "word").dropDuplicates(["chunk_id", "pos"])
+    # the neighbours of the hits, from the few chunks that have any
+    near = hits.groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "word", "own", "options")).alias("h"))
+    one = paged.join(near, "chunk_id").dropDuplicates(["chunk_id"]).select("chunk_id", "t", F.explode("h").alias("h"))
+    pos = F.col("h")["pos"]
+    hits, _ = cut(one.select("chunk_id", "h.*", F.when(pos > 0, F.get("t", pos - 1)).alias("before"), F.get("t", pos + 1).alias("after")), "hits")
     # pairs of words that the decoding asks for, and how much more often they stand together than by chance
     texts = F.array_union(F.array("word"), F.transform("options", lambda o: o["true"]))
     asked = hits.select(F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("p.*").where("w1 is not null and w2 is not null").distinct()
-    both = chunks.where("text is not null").select(_tokens(F.col("text")).alias("t")).select(F.explode(F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))).alias("w1"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("w2"))).alias("p")).select("p.*")
+    pair = F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))).alias("w1"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("w2"))
+    both = tokens.select(F.explode(pair).alias("p")).select("p.*")
     seen = both.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     gains, _ = cut(asked.join(seen, ["w1", "w2"]).select("w1", "w2", F.log1p("n").alias("gain")), "gains")
     per_hit = hits.select("chunk_id", F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("chunk_id", "p.*")
@@ -296,9 +305,9 @@ def repaired(chunks: DataFrame) -> DataFrame:
 
     A split compound keeps its hyphen where the corpus writes it with one more often than without.
     """
-    counts, _ = cut(word_counts(chunks), "counts")
+    counts, _ = cut(word_counts(tokenised(chunks)), "counts")
     pages = _pages(chunks).select("chunk_id", "text").distinct()
-    halves = F.regexp_extract_all("text", F.lit(r"\p{L}+" + SPLIT[len(r"(?<=\p{L})") :] + r"\p{L}+"), F.lit(0))
+    halves = F.regexp_extract_all("text", F.lit(r"\p{L}+" + SPLIT + r"\p{L}+"), F.lit(0))
     parts = F.transform(halves, lambda x: F.split(F.regexp_replace(F.lower(x), r"[-\u2010\u2011\u00AC\u00AD]\s*[\r\n]\s*", "-"), "-"))
     joins = pages.select("chunk_id", F.explode(parts).alias("p")).where(F.size("p") == 2).select("chunk_id", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
     hyphened = chunks.where("text is not null").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("h"))
