@@ -127,7 +127,8 @@ class Proposer:
                 tokens.append((at, at + len(core), core, part.endswith(",")))
                 at += len(part)
             # without capitals, or with nothing else, only what holds a known given name can be a name
-            strict = lower or run.group().isupper() and len(tokens) > 5
+            near = text[max(0, run.start() - 20) : run.start()] + text[run.end() : run.end() + 20]
+            strict = lower or run.group().isupper() and not any(c.islower() for c in near)
             known = [not strict or self.known(t[2]) or k > 0 and tokens[k - 1][3] and _is_initial(t[2]) for k, t in enumerate(tokens)]
             for i in range(len(tokens) - 1):
                 for n in (2, 3, 4):
