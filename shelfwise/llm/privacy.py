@@ -127,15 +127,16 @@ class Proposer:
                 tokens.append((at, at + len(core), core, part.endswith(",")))
                 at += len(part)
             # without capitals, or with nothing else, only what holds a known given name can be a name
-            near = text[max(0, run.start() - 20) : run.start()] + text[run.end() : run.end() + 20]
-            strict = lower or run.group().isupper() and not any(c.islower() for c in near)
-            known = [not strict or self.known(t[2]) or k > 0 and tokens[k - 1][3] and _is_initial(t[2]) for k, t in enumerate(tokens)]
+            strict = lower or run.group().isupper()
+            sides = [x for x in (text[max(0, run.start() - 20) : run.start()], text[run.end() : run.end() + 20]) if any(c.isalpha() for c in x)]
+            calm = not lower and all(any(c.islower() for c in x) for x in sides)
+            known = [not strict or self.known(t[2]) or calm and len(t[2]) == 2 and t[2][1] == "." for t in tokens]
             for i in range(len(tokens) - 1):
                 for n in (2, 3, 4):
-                    if i + n <= len(tokens) and any(known[i : i + n]) and (c := self._name(text, tokens[i : i + n], lower, strict)):
+                    if i + n <= len(tokens) and any(known[i : i + n]) and (c := self._name(text, tokens[i : i + n], lower, strict, calm)):
                         yield c
 
-    def _name(self, text: str, part: list[tuple[int, int, str, bool]], lower: bool, strict: bool) -> tuple[int, int, str, list[str]] | None:
+    def _name(self, text: str, part: list[tuple[int, int, str, bool]], lower: bool, strict: bool, calm: bool) -> tuple[int, int, str, list[str]] | None:
         words = [t[2] for t in part]
         commas = [k for k, t in enumerate(part[:-1]) if t[3]]
         if any(w.endswith(".") and not _is_initial(w) for w in words[:-1]):
@@ -164,7 +165,7 @@ class Proposer:
         known = [self.known(w) for w in full]
         if bare in NOT_NAMES or len(bare) < 3 or any(w.rstrip(".").casefold() in NOT_NAMES | TITLES and not k for w, k in zip(full, known)):
             return None
-        if (lower or strict and "," not in form) and not (known and all(known)):
+        if strict and not (all(known) if known else calm):
             return None
         lex = "none" if not known else "all" if all(known) else "some" if any(known) else "no"
         names = [f"form={form}", f"lex={lex}", f"form={form} lex={lex}", f"surname_given={self.known(bare)}", f"caps={family.isupper()} {lower}", f"line={chr(10) in text[start:end]}"]
