@@ -165,7 +165,7 @@ class Proposer:
         known = [self.known(w) for w in full]
         if bare in NOT_NAMES or len(bare) < 3 or any(w.rstrip(".").casefold() in NOT_NAMES | TITLES and not k for w, k in zip(full, known)):
             return None
-        if strict and not (all(known) if known else calm):
+        if (strict or all(w.isupper() for w in words)) and not (all(known) if known else calm):
             return None
         lex = "none" if not known else "all" if all(known) else "some" if any(known) else "no"
         names = [f"form={form}", f"lex={lex}", f"form={form} lex={lex}", f"surname_given={self.known(bare)}", f"caps={family.isupper()} {lower}", f"line={chr(10) in text[start:end]}"]
