@@ -46,14 +46,13 @@ RATIO, MOST = 0.03, 4
 #: Pages of an item on which a running head recurs.
 RECURS = 3
 
-_BREAK = r"\r\n|\n|\r"
 #: A word split over a line end: letters, a hyphen in one of its forms, the line end, letters.
 SPLIT = r"[-\u2010\u2011\u00AC\u00AD](?<=\p{L}.)[^\S\r\n]*(?:\r\n|\n|\r)\s*(?=\p{L})"
 _NUMBER = r"(?:\d{1,4}|[ivxlc]{1,7})"
 _ALONE = rf"^\s*(?:[-–—·\[(|~*]\s*)?(?:[Pp]age\s+|[Ss]eite\s+|p\.\s*)?({_NUMBER})(?:\s+(?:of|von)\s+\d+)?(?:\s*[-–—·\])|~*])?\s*$"
 _BEFORE, _AFTER = rf"^\s*({_NUMBER})\s{{2,}}(\S.*)$", rf"^(.*\S)\s{{2,}}({_NUMBER})\s*$"
 #: Words as a scanner may have left them; marks count inside, or before letters.
-_WORD = r"[(!|@]?[\p{L}\p{N}@|](?:[\p{L}\p{N}@|]|[!(](?=[\p{L}\p{N}])|(?<=\p{L})\((?=\s))*"
+_WORD = r"[(!|@]?[\p{L}\p{N}@|]++(?:(?:[!(](?=[\p{L}\p{N}])|(?<=\p{L})\((?=\s))[\p{L}\p{N}@|]*+)*+"
 #: A bracket that opens before a name is no letter.
 _OPENING = r"\((?=\p{Lu})"
 
@@ -112,7 +111,7 @@ def edge_lines(chunks: DataFrame) -> DataFrame:
     """First and last lines of pages: (chunk_id, item_id, page, at, line, runs_on, number, head, alone)."""
     pages = _pages(chunks)
     ends = pages.groupBy(F.col("item_id").alias("own"), F.col("page").alias("own_page")).agg(F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"))
-    lines = F.filter(F.split("text", _BREAK), lambda x: F.regexp_like(x, F.lit(r"(?U)\S")))
+    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t\u00a0\u2003")) != "")
     rows = (
         pages.select("chunk_id", "item_id", "page", "chunk_index", lines.alias("lines"))
         .where(F.size("lines") > 1)
