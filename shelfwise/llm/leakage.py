@@ -15,6 +15,7 @@ passage_id or doc_id count once each; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -34,16 +35,21 @@ EDITS, FOREIGN = 5, 60
 #: Bytes of passages in one automaton.
 SLICE_BYTES = 8 << 20
 
-_INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 
 
-def words(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Normalised words of a text, with their starts and ends in it."""
+_PLAIN = re.compile(r"[A-Za-z]+|[0-9]+")
+
+
+def words(text: str) -> tuple[list[str], list[re.Match]]:
+    """Normalised words of a text, with their matches in it."""
+    if text.isascii():
+        found = list(_PLAIN.finditer(text))
+        return [m.group().lower() for m in found], found
     import regex
 
-    found = list(regex.finditer(r"\p{L}(?:[\p{L}\p{M}­​-‍⁠﻿])*|\p{N}+", text))
-    plain = [unicodedata.normalize("NFKC", m.group()).translate(_INVISIBLE).casefold() for m in found]
-    return plain, [m.start() for m in found], [m.end() for m in found]
+    found = list(regex.finditer(r"\p{L}(?:[\p{L}\p{M}\u00AD\u200B-\u200D\u2060\uFEFF])*|\p{N}+", text))
+    return [w.lower() if w.isascii() else unicodedata.normalize("NFKC", w).translate(_INVISIBLE).casefold() for w in (m.group() for m in found)], found
 
 
 class Scanner:
@@ -71,11 +77,6 @@ class Scanner:
     def _runs(self, plain: list[str]) -> dict[int, list[list[int]]]:
         """Runs [first word in the text, first word in the passage, words] of each passage."""
         joined = " " + " ".join(plain) + " "
-        number_at = {}
-        at = 0
-        for k, w in enumerate(plain):
-            at += len(w) + 1
-            number_at[at] = k  # the blank after word k
         # a run of n words has n - SEED + 1 matches, so that a passage needs a third of its words as matches at least
         hits = list(self.automaton.iter(joined))
         seen = Counter(chain.from_iterable(places[0] for _, places in hits))
@@ -83,6 +84,10 @@ class Scanner:
         runs: dict[int, list[list[int]]] = defaultdict(list)
         if not wanted:
             return runs
+        number_at, at = {}, 0
+        for k, w in enumerate(plain):
+            at += len(w) + 1
+            number_at[at] = k  # the blank after word k
         open_runs: dict[tuple[int, int], list[int]] = {}
         for end, (passages, places) in hits:
             if wanted.isdisjoint(passages):
@@ -150,7 +155,7 @@ class Scanner:
         """(passage, matched words, start, end) for each passage the text holds; offsets in the original text."""
         if not text or not self.sizes:
             return []
-        plain, starts, ends = words(text)
+        plain, matches = words(text)
         found = []
         for passage, runs in self._runs(plain).items():
             if sum(r[2] for r in runs) < self.need[passage]:
@@ -158,7 +163,7 @@ class Scanner:
             runs.sort()
             chains = [self._chain(passage, part) for part in self._dense(passage, runs)]
             if chains and (best := max(chains))[0] >= self.need[passage]:
-                found.append((passage, best[0], starts[best[1]], ends[best[2] - 1]))
+                found.append((passage, best[0], matches[best[1]].start(), matches[best[2] - 1].end()))
         return found
 
 
