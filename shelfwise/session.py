@@ -116,4 +116,4 @@ def release(spark: SparkSession) -> None:
 
 def byte_size(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of ``df``; exact for a written table."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
