@@ -73,6 +73,11 @@ def build_index(docs: DataFrame, id_col: str, columns: list[str]) -> tuple[DataF
     return postings, sizes
 
 
+def _shifted(by: int) -> Column:
+    """Positions at which a phrase begins whose word ``by`` stands at them."""
+    return F.transform("positions", lambda p: p - by)
+
+
 def search_index(postings: DataFrame, sizes: DataFrame, query: str, id_col: str, limit: int | None = 20, unicode: bool = False) -> DataFrame:
     """Like ``search``, from a stored index: only the postings of the query's words are read."""
     phrases = query_phrases(query, unicode)
@@ -82,7 +87,7 @@ def search_index(postings: DataFrame, sizes: DataFrame, query: str, id_col: str,
     for k, phrase in enumerate(phrases):
         where = None
         for i, word in enumerate(phrase):
-            own = postings.where(F.col("term") == word).select(id_col, "column", F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+            own = postings.where(F.col("term") == word).select(id_col, "column", _shifted(i).alias(f"p{i}"))
             where = own if where is None else where.join(own, [id_col, "column"])
         both = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(len(phrase))])
         found = where.groupBy(id_col).agg(F.sum(F.size(both)).alias(f"__tf{k}")).where(F.col(f"__tf{k}") > 0)

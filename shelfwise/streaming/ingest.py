@@ -12,7 +12,7 @@ from ..functions.text import sniff
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
     """(start, event_type, n, total) of events (ts, event_type, value); on a stream, ``late`` is the watermark."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     out = rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
