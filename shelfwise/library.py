@@ -153,5 +153,5 @@ class Library:
 
     def nearest_items(self, item_id: int, k: int = 10, dim: int = 768) -> DataFrame:
         """The items nearest to one item's vector, itself left out."""
-        query = V.queries_of(self["item_embeddings"], F.col("item_id") == item_id)
+        query = self["item_embeddings"].where(F.col("item_id") == item_id)
         return V.nearest(self["item_embeddings"], query, k + 1, dim).where(F.col("item_id") != item_id).select("item_id", "distance")

@@ -1,4 +1,4 @@
-"""Vectors: normalising, exact nearest neighbours of a query set, in blocks of queries against all rows."""
+"""Vectors: normalising, and exact nearest neighbours of a stated query set, in blocks against all rows."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..session import ship
+from ..session import new_path, ship
 
-#: Queries in one block: with 768 numbers of 4 bytes, 12 MB are broadcast at a time.
-BLOCK = 4096
+#: Vectors in one block: with 768 numbers of 8 bytes, 12 MB are read at a time.
+BLOCK = 2048
 
 
 def normalised(vector: Column) -> Column:
@@ -46,46 +46,53 @@ def _matrix(batch: pa.RecordBatch, id_col: str, vector_col: str, dim: int) -> tu
     return ids[good].astype(np.int64), values[good] / norm[good, None]
 
 
-def nearest(corpus: DataFrame, queries: list[tuple[int, list[float]]], k: int, dim: int, id_col: str = "item_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, dim: int, id_col: str = "item_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id_col, distance): for each query the k nearest usable rows, the query's own id included.
 
-    Each task keeps the k best of each query, so that what is shuffled is k rows a query and task. Distances are
-    Euclidean between unit vectors, rounded to 9 decimals; ties go to the smaller id.
+    ``queries`` is a table like ``corpus``, or a short list. Queries are packed into blocks in the shared folder,
+    which every task reads one after the other, so that neither the driver nor a broadcast holds them all. A task
+    keeps the k best of each query; what is shuffled is k rows a query and task. Distances are Euclidean between
+    unit vectors, rounded to 9 decimals; ties go to the smaller id.
     """
     spark = corpus.sparkSession
     ship(spark)
     rows = corpus.select(F.col(id_col).cast("long").alias(id_col), vector_col).dropDuplicates([id_col])
-    out = None
-    for lo in range(0, max(len(queries), 1), BLOCK):
-        part = [(i, np.asarray(v, np.float64)) for i, v in queries[lo : lo + BLOCK]]
-        part = [(i, v / np.linalg.norm(v)) for i, v in part if len(v) == dim and np.isfinite(v).all() and np.any(v)]
-        ids = np.array([i for i, _ in part], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.stack([v for _, v in part]) if part else np.empty((0, dim))))
-
-        def local(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, q = sent.value
-            best_d, best_i = np.full((len(own), 0), np.inf), np.empty((len(own), 0), np.int64)
-            for batch in batches:
-                found, unit = _matrix(batch, id_col, vector_col, dim)
-                if not len(found) or not len(own):
-                    continue
-                d = np.round(np.sqrt(np.maximum(2 - 2 * (q @ unit.T), 0)), 9)
-                d = np.concatenate([best_d, d], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(found, (len(own), len(found)))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            if best_d.size:
+    if isinstance(queries, list):
+        queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], f"{id_col} long, {vector_col} array<double>")
+    asked = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)).dropDuplicates([id_col])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, unit = _matrix(batch, id_col, vector_col, dim)
+            for lo in range(0, len(ids), BLOCK):
+                parts = ids[lo : lo + BLOCK].tobytes(), unit[lo : lo + BLOCK].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["ids", "unit"])
+
+    path = new_path(spark, "queries")
+    asked.mapInArrow(pack, "ids binary, unit binary").write.option("compression", "none").parquet(path)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        held = [_matrix(batch, id_col, vector_col, dim) for batch in batches]
+        held = [(i, u) for i, u in held if len(i)]
+        if not held:
+            return
+        found, unit = np.concatenate([i for i, _ in held]), np.concatenate([u for _, u in held])
+        system, root = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        for block in ds.dataset(root, filesystem=system, format="parquet").to_batches(batch_size=1):
+            for own, q in zip(block.column("ids").to_pylist(), block.column("unit").to_pylist()):
+                own, q = np.frombuffer(own, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)
+                best_d, best_i = np.full((len(own), 0), np.inf), np.empty((len(own), 0), np.int64)
+                for lo in range(0, len(found), BLOCK):
+                    d = np.round(np.sqrt(np.maximum(2 - 2 * (q @ unit[lo : lo + BLOCK].T), 0)), 9)
+                    d = np.concatenate([best_d, d], axis=1)
+                    i = np.concatenate([best_i, np.broadcast_to(found[lo : lo + BLOCK], (len(own), len(found[lo : lo + BLOCK])))], axis=1)
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, best_i.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", id_col, "distance"])
 
-        more = rows.mapInArrow(local, f"query_id long, {id_col} long, distance double")
-        out = more if out is None else out.unionByName(more)
+    out = rows.mapInArrow(local, f"query_id long, {id_col} long, distance double")
     place = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", id_col))
     return out.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
-
-
-def queries_of(corpus: DataFrame, where: Column, most: int = 1_000_000, id_col: str = "item_id", vector_col: str = "embedding") -> list[tuple[int, list[float]]]:
-    """The stated query set, as (id, vector); more than ``most`` queries are refused rather than collected."""
-    rows = corpus.where(where & F.col(vector_col).isNotNull()).dropDuplicates([id_col]).select(id_col, vector_col).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries: state a smaller set")
-    return sorted((r[0], r[1]) for r in rows if None not in r[1])

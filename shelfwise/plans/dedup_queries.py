@@ -62,7 +62,7 @@ def dedup_tier3_linked(spark, sf_dir):
 
 def _neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "item_embeddings")
-    near = V.nearest(rows, V.queries_of(rows, F.col("item_id") % 100 == 0), D.NEIGHBOURS, DIM)
+    near = V.nearest(rows, rows.where("item_id % 100 = 0"), D.NEIGHBOURS, DIM)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return near.select(F.col("query_id").alias("id"), F.col("item_id").alias("target_id"), rank.alias("rank"), F.round(V.similarity_of_distance(F.col("distance")), 6).alias("similarity"))
 
