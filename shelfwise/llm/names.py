@@ -155,24 +155,39 @@ def _one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
 def trigrams(word: Column) -> Column:
     """Trigrams of the padded word, and its pairs of neighbouring letters in either order, which a swap leaves."""
     padded = F.concat(F.lit("^"), word, F.lit("$"))
-    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda k: F.substring(padded, k, F.lit(3)))
+    threes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.substring(padded, k, F.lit(3)))
     twos = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda k: F.array_join(F.array_sort(F.split(F.substring(word, k, F.lit(2)), "")), ""))
     return F.array_distinct(F.concat(threes, twos))
 
 
-def similar(words: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b, cosine) of words a < b whose trigram vectors are similar; ``words`` has distinct words."""
-    grams = words.select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
+def similar(words: DataFrame, least: float = SIMILAR, shift: int | None = None) -> DataFrame:
+    """(a, b, cosine) of words a < b whose trigram vectors are similar; ``words`` has distinct words.
+
+    With ``shift``, words are paired only on a trigram that stands at most so many places further in one of them,
+    and only if their lengths differ by no more: a slip of the keyboard moves letters by one place, and a trigram
+    that a third of all names hold then meets only those names that hold it in the same place.
+    """
+    grams = words.select("word", F.posexplode(trigrams(F.col("word"))).alias("pos", "gram"))
     total = words.count()
     weights = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", "df", F.sqrt(F.log1p(F.lit(total) / F.col("df"))).alias("w"))
     vectors, _ = cut(grams.join(weights, "gram"), "vectors")
     norms = vectors.groupBy("word").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = vectors.join(norms, "word").select("word", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
+    unit = vectors.join(norms, "word").select("word", "pos", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
     # what is left of a vector after its rarer trigrams: below ``least`` nothing similar can hide there
     order = W.Window.partitionBy("word").orderBy(F.desc("df"), "gram")
     unit, _ = cut(unit.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.Window.unboundedPreceding, 0))), "unit")
-    prefix = unit.where(F.col("rest") >= least * least).select("word", "gram")
-    pairs = prefix.select("gram", F.col("word").alias("a")).join(prefix.select("gram", F.col("word").alias("b")), "gram").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    prefix = unit.where(F.col("rest") >= least * least).select("word", "pos", "gram")
+    if shift is None:
+        pairs = prefix.select("gram", F.col("word").alias("a")).join(prefix.select("gram", F.col("word").alias("b")), "gram")
+    else:
+        # pairs of neighbouring letters stand behind the trigrams: their places are counted from there
+        size = F.length("word")
+        placed = prefix.select("gram", "word", F.when(F.length("gram") == 3, F.col("pos")).otherwise(F.col("pos") - size).alias("pos"), size.alias("size"))
+        steps = F.array(*[F.lit(k) for k in range(-shift, shift + 1)])
+        moved = placed.select("gram", F.col("word").alias("a"), F.explode(F.transform(steps, lambda k: F.col("pos") + k)).alias("pos"), "size")
+        moved = moved.select("gram", "a", "pos", F.explode(F.transform(steps, lambda k: F.col("size") + k)).alias("size"))
+        pairs = moved.join(placed.withColumnRenamed("word", "b"), ["gram", "pos", "size"])
+    pairs = pairs.where(F.col("a") < F.col("b")).select("a", "b").distinct()
     left = unit.select(F.col("word").alias("a"), "gram", F.col("w").alias("wa"))
     right = unit.select(F.col("word").alias("b"), "gram", F.col("w").alias("wb"))
     return pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
@@ -205,7 +220,7 @@ def canonical(words: DataFrame, least_letters: int) -> DataFrame:
     and its typing errors; average linkage parts chains.
     """
     words, _ = cut(words.where("word is not null"), "spellings")
-    close = similar(words.where(F.length("word") >= least_letters)).where(_one_slip("a", "b"))
+    close = similar(words.where(F.length("word") >= least_letters), shift=1).where(_one_slip("a", "b"))
     near = close.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
     # of two frequent spellings neither is a typing error of the other
     near = near.where(F.least("na", "nb") * 3 <= F.greatest("na", "nb") + 3)
