@@ -33,7 +33,7 @@ from ..session import cut
 from .groups import hash_to_min
 
 #: Least cosine similarity of two spellings of one word, and least average similarity inside a group.
-SIMILAR, LINKAGE = 0.2, 0.45
+SIMILAR, LINKAGE = 0.2, 0.3
 #: Rows with one ORCID that must show a nickname beside a name.
 NICKNAME_SEEN = 2
 
@@ -193,12 +193,15 @@ def similar(words: DataFrame, least: float = SIMILAR, shift: int | None = None)
     return pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE) -> list[int]:
-    """Group numbers of n items: the two groups of highest average similarity merge while it is ``least`` or more."""
+def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE, rows: list[int] | None = None) -> list[int]:
+    """Group numbers of n items: the two groups of highest average similarity merge while it is ``least`` or more.
+
+    Averages are over the rows that items stand for, one each by default.
+    """
     sim = np.zeros((n, n))
     for a, b, s in pairs:
         sim[a, b] = sim[b, a] = s
-    size, group, alive = np.ones(n), list(range(n)), np.ones(n, bool)
+    size, group, alive = np.array(rows or [1] * n, float), list(range(n)), np.ones(n, bool)
     while alive.sum() > 1:
         masked = np.where(alive[:, None] & alive[None, :], sim, -1.0)
         np.fill_diagonal(masked, -1.0)
@@ -231,9 +234,9 @@ def canonical(words: DataFrame, least_letters: int) -> DataFrame:
     def group(part: pd.DataFrame) -> pd.DataFrame:
         count = dict(zip(part.a, part.na)) | dict(zip(part.b, part.nb))
         names = sorted(count, key=lambda w: (-count[w], w))
-        grams = [{f"^{w}$"[k : k + 3] for k in range(len(w))} for w in names]
+        grams = [{f"^{w}$"[k : k + 3] for k in range(len(w))} | {"".join(sorted(w[k : k + 2])) for k in range(len(w) - 1)} for w in names]
         pairs = [(a, b, len(grams[a] & grams[b]) / (len(grams[a]) * len(grams[b])) ** 0.5) for a in range(len(names)) for b in range(a)]
-        groups = average_linkage(len(names), pairs)
+        groups = average_linkage(len(names), pairs, rows=[count[w] for w in names])
         return pd.DataFrame({"word": names, "name": [names[g] for g in groups]})
 
     return edges.groupBy("group_id").applyInPandas(group, "word string, name string").where("word <> name")
