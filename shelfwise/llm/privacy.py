@@ -117,7 +117,7 @@ class Proposer:
 
     def _names(self, text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         pieces = [(m, False) for m in self.p["run"].finditer(text)]
-        if text.islower() or not pieces:
+        if text.islower():
             pieces += [(m, True) for m in self.p["run_lower"].finditer(text)]
         for run, lower in pieces:
             tokens, at = [], run.start()
