@@ -62,7 +62,7 @@ def _patterns() -> dict:
                 regex.compile(rf"(?<![\p{{N}}.,/-])\d{{1,4}}(?:\s?(?:bis|ter|[a-z]))?,?\s{romance}\s(?:{small}){{0,2}}\p{{Lu}}[\p{{L}}’'-]*(?:[ -](?:{small})?\p{{Lu}}[\p{{L}}’'-]*){{0,2}}"),
                 regex.compile(rf"\b{spanish}\s(?:{small}){{0,2}}[\p{{L}}’'-]+(?:\s(?:{small})?\p{{Lu}}[\p{{L}}’'-]*){{0,2}},?\s(?:n\.?[ºo°]\s?)?\d{{1,4}}[a-z]?\b", regex.I),
                 regex.compile(rf"\b(?:\p{{Lu}}[\p{{L}}-]*{german}|\p{{Lu}}[\p{{L}}]*[\s-](?:Str\.|Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Ufer|Damm|Ring))\s\d{{1,4}}[a-z]?\b(?![.,]\d)", regex.I),
-                regex.compile(r"\b(?:Am|An|Auf|Bei|Hinter|Im|In|Unter|Vor|Zum|Zur|Zwischen)\s(?:(?:der|dem|den|die)\s)?\p{Lu}[\p{L}-]+\s\d{1,4}[a-z]?\b(?![.,]\d)"),
+                regex.compile(r"\b(?:Am|An|Auf|Bei|Hinter|Im|In|Unter|Vor|Zum|Zur|Zwischen)\s(?:(?:der|dem|den|die)\s)?\p{Lu}[\p{L}-]+(?:\s\p{Lu}[\p{L}-]+)?\s\d{1,4}[a-z]?\b(?![.,]\d)"),
             ],
             # what a text must hold for a slow pattern to be worth trying
             "guards": {

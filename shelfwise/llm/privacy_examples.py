@@ -52,6 +52,8 @@ MENTIONS = (
     "Prière de s'adresser à {P}, {A}, {N} {G} ({E}).",
     "Diríjase a {P}, {A}, {N} {G} ({E}).",
     "Wir danken {P} für die Durchsicht.",
+    "Wir danken {P} für die Durchsicht Anschrift des Spenders: {A}, {G}.",
+    "Nous remercions {P} de sa relecture Note de service.",
     "Nous remercions {P} de sa relecture.",
     "Agradecemos a {P} su revisión.",
     "The donor, {P}, gave {I} on the deed of gift.",
@@ -102,6 +104,14 @@ OTHERS = (
     "Item {d3}-{d2}-{d4} was reshelved in bay {N}.",
     "Item {d3}-{d2}-{d4} was reshelved.",
     "Boxes {d3}-{d2}-{d4} and {d3}-{d2}-{d4} are in the store.",
+    "Re: returned books",
+    "Summary of the day",
+    "List of missing plates",
+    "Close agreement was seen at {G} Answer: unclear",
+    "The plume at {G} Answer: yes",
+    "The pattern at {G} {C} and {C} ({Y}) reports {N} bar.",
+    "Note on item {d3}-{d2}-{d4} in bay {N}.",
+    "Re: late volumes Item {d3}-{d2}-{d4} was reshelved in bay {N}.",
     "{B} Museum of {G} and {B} Hall of {G} were closed.",
     "Für den Messwert bei {G} liegen {N} Aufzeichnungen vor",
     "Wir schließen daraus, dass der Bestand um {N} Prozent wuchs",
@@ -136,7 +146,7 @@ class _Filler:
     def P(self) -> str:
         r = self.rng
         first, last, letter = r.choice(self.given), self.surname(), r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ")
-        if r.random() < 0.04:
+        if r.random() < 0.02:
             first = self.surname()[:6]
         if r.random() < 0.06:
             first += "-" + r.choice(self.given)
@@ -185,7 +195,7 @@ class _Filler:
         small = n + r.choice(("", "", "a", "b"))
         return r.choice(
             (f"{n}{r.choice(('', '', '', 'B', 'A'))} {r.choice(_STREETS)} {r.choice(_TYPES)}",) * 6
-            + (f"{r.choice(('Schulstr.', 'Lindenweg', 'Birkenplatz', 'Gerberstraße', 'Ufer-Allee', 'Hinter den Höfen', 'Am Graben'))} {small}",) * 2
+            + (f"{r.choice(('Schulstr.', 'Lindenweg', 'Birkenplatz', 'Gerberstraße', 'Ufer-Allee', 'Hinter den Höfen', 'Am Graben', 'Am Alten Markt', 'An der Alten Mühle'))} {small}",) * 2
             + (f"{n}{r.choice(('', ',', ' bis,'))} {r.choice(('rue des Tanneurs', 'quai aux Grains', 'avenue du Moulin', 'impasse du Four', 'boulevard des Tilleuls', 'place du Marché'))}", f"{r.choice(('Camino de la Ermita', 'Calle del Molino', 'Plaza de la Fuente', 'Paseo de los Olmos', 'Avenida del Puerto'))}, {n}")
         )
 
