@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import byte_size, cut
 
 #: Characters of the true word and what a scanner makes of them (fixed values).
 CONFUSIONS = (
@@ -43,6 +43,8 @@ _STROKES = (("n", "ii"), ("u", "ii"), ("h", "ii"), ("b", "ii"), ("m", "iii"), ("
 
 #: A misread spelling is at most so frequent beside the true one; confusions in one word.
 RATIO, MOST = 0.03, 4
+#: Bytes of the written table of corrections up to which it is broadcast; beyond, words are shuffled to it.
+BROADCAST = 8 << 20
 #: Pages of an item on which a running head recurs.
 RECURS = 3
 
@@ -269,13 +271,12 @@ def misread_words(chunks: DataFrame) -> DataFrame:
     tokens = tokenised(chunks)
     wrong, _ = cut(corrections(word_counts(tokens)), "corrections")
     paged = tokens.where("paged and chunk_id is not null")
-    words = paged.select("chunk_id", F.posexplode("t").alias("pos", "word"))
-    hits = words.join(wrong.drop("n"), "word").dropDuplicates(["chunk_id", "pos"])
-    # the neighbours of the hits, from the few chunks that have any
-    near = hits.groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "word", "own", "options")).alias("h"))
-    one = paged.join(near, "chunk_id").dropDuplicates(["chunk_id"]).select("chunk_id", "t", F.explode("h").alias("h"))
-    pos = F.col("h")["pos"]
-    hits, _ = cut(one.select("chunk_id", "h.*", F.when(pos > 0, F.get("t", pos - 1)).alias("before"), F.get("t", pos + 1).alias("after")), "hits")
+    n = F.greatest(F.size("t") - 1, F.lit(0))
+    beside = F.arrays_zip(F.col("t").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), n)).alias("before"), F.slice("t", F.lit(2), n).alias("after"))
+    words = paged.where("size(t) > 0").select("chunk_id", F.posexplode(beside).alias("pos", "w")).select("chunk_id", "pos", "w.*")
+    few = wrong.drop("n")
+    hits = words.join(F.broadcast(few) if byte_size(wrong) <= BROADCAST else few, "word").dropDuplicates(["chunk_id", "pos"])
+    hits, _ = cut(hits, "hits")
     # pairs of words that the decoding asks for, and how much more often they stand together than by chance
     texts = F.array_union(F.array("word"), F.transform("options", lambda o: o["true"]))
     asked = hits.select(F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("p.*").where("w1 is not null and w2 is not null").distinct()
