@@ -35,6 +35,8 @@ _ready: dict[str, object] = {}
 def _patterns() -> dict:
     """Patterns that propose segments; compiled once in each process."""
     if "patterns" not in _ready:
+        import re
+
         import regex
 
         cap = r"\p{Lu}[\p{L}\p{M}’']*+(?:-\p{Lu}[\p{L}\p{M}’']*+)*"
@@ -51,10 +53,9 @@ def _patterns() -> dict:
                 regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*\s*[\[({<]\s*at\s*[\])}>]\s*[\p{L}\p{N}-]+(?:\s*(?:\.|[\[({<]\s*dot\s*[\])}>])\s*[\p{L}\p{N}-]+)*(?:\.|\s*[\[({<]\s*dot\s*[\])}>]\s*)\p{L}{2,}", regex.I),
                 regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*\s+at\s+[\p{L}\p{N}-]+(?:\s+dot\s+[\p{L}\p{N}-]+)+", regex.I),
             ],
-            "number": regex.compile(r"(?<![\p{L}\p{N}.,/-])(?:\+ ?|\()?\d(?:(?:\)[ -]?|[ .\-/\u00a0\u2010-\u2013]| \()?\d){6,16}(?![\p{N}/-]|[.,]\d|\p{L})"),
-            "code": regex.compile(
-                r"(?<![\p{L}\p{N}./-])(?:\p{L}{1,2}\d{6,9}\p{L}?|\p{L}{2}[ -]\d\d(?:[ -]\d\d){2}[ -]\p{L}|\p{L}-\d{7}-\p{L}|\p{L}\d{2,3}\p{L}\d{4,6}|\d{7,8}[ -]?\p{L}|\d{6,8}[-+]\d{4}|\d{2}\p{L}\d{5,7})(?![\p{L}\p{N}]|[/-]\p{N})",
-                regex.I,
+            "number": re.compile(r"(?<![\w.,/-])(?:\+ ?|\()?[0-9](?:(?:\)[ -]?|[ .\-/\u00a0\u2010-\u2013]| \()?[0-9]){6,16}(?![\w/-]|[.,][0-9])"),
+            "code": re.compile(
+                r"(?<![\w./-])(?:[A-Za-z]{1,2}[0-9]{6,9}[A-Za-z]?|[A-Za-z]{2}[ -][0-9]{2}(?:[ -][0-9]{2}){2}[ -][A-Za-z]|[A-Za-z]-[0-9]{7}-[A-Za-z]|[A-Za-z][0-9]{2,3}[A-Za-z][0-9]{4,6}|[0-9]{7,8}[ -]?[A-Za-z]|[0-9]{6,8}[-+][0-9]{4}|[0-9]{2}[A-Za-z][0-9]{5,7})(?![\w]|[/-][0-9])"
             ),
             "address": [
                 regex.compile(rf"(?<![\p{{N}}.,/-])\d{{1,4}}\s?[a-zA-Z]?,?\s(?:\p{{Lu}}[\p{{L}}’'-]*\.?\s){{1,3}}{street}\b(?![’'])"),
@@ -66,10 +67,12 @@ def _patterns() -> dict:
             ],
             # what a text must hold for a slow pattern to be worth trying
             "guards": {
-                ("email", 1): regex.compile(r"[\[({<]\s*at\s*[\])}>]", regex.I),
-                ("email", 2): regex.compile(r"\sdot\s", regex.I),
-                ("address", 3): regex.compile(rf"\b{spanish}\s", regex.I),
-                ("address", 4): regex.compile(rf"(?:{german}|(?:Str\.|Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Ufer|Damm|Ring))\s\d"),
+                ("email", 0): re.compile("@"),
+                ("email", 1): re.compile(r"[\[({<]\s*at\s*[\])}>]", re.I),
+                ("email", 2): re.compile(r"\sdot\s", re.I),
+                ("address", 2): re.compile(rf"[0-9a-z],?\s{romance}\s"),
+                ("address", 3): re.compile(rf"{spanish}\s", re.I),
+                ("address", 4): re.compile(r"(?:[Ss]tr\.|[Ss]tra(?:ß|ss)e|[Ww]eg|[Pp]latz|[Gg]asse|[Aa]llee|[Uu]fer|[Dd]amm|[Rr]ing|[Ss]teig|[Mm]arkt|[Hh]of)\s[0-9]"),
             },
             "word": regex.compile(r"[\p{L}\p{N}#&]+|[:;()<>/.,?!@+\"“”-]"),
             "digits": regex.compile(r"\d"),
@@ -204,7 +207,7 @@ class Proposer:
                 continue
             for m in pattern.finditer(text):
                 found.append((m.start(), m.end(), "email", [f"way={k}", f"blank={' @' in m.group()}"] + self._around(text, m.start(), m.end())))
-        for m in self.p["number"].finditer(text, overlapped=False):
+        for m in self.p["number"].finditer(text):
             found += self._number(text, m.start(), m.end())
         for m in self.p["code"].finditer(text):
             own = m.group()
