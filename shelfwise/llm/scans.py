@@ -161,10 +161,15 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     return cut(rows, "tokens")[0]
 
 
-def word_counts(tokens: DataFrame) -> DataFrame:
-    """(word, n) over all chunks, with a page or without."""
-    counts = tokens.select(F.explode("t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.regexp_like("word", F.lit(r"\p{L}")))
+def pair_counts(tokens: DataFrame) -> DataFrame:
+    """(w1, w2, n) of neighbouring words over all chunks, with a page or without; w2 is null after a text's last word."""
+    pair = F.arrays_zip(F.col("t").alias("w1"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("w2"))
+    return cut(tokens.select(F.explode(pair).alias("p")).groupBy("p.w1", "p.w2").agg(F.count(F.lit(1)).alias("n")), "pairs")[0]
+
+
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """(word, n), from the pairs that each word begins."""
+    return pairs.where(F.regexp_like("w1", F.lit(r"\p{L}"))).groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n"))
 
 
 _OPS = T.ArrayType(T.StringType())
@@ -269,7 +274,8 @@ def _decoded(hits: pd.Series, pairs: pd.Series) -> pd.Series:
 def misread_words(chunks: DataFrame) -> DataFrame:
     """(chunk_id, words array<struct<pos, true>>): positions of misread words among a chunk's words, and their sources."""
     tokens = tokenised(chunks)
-    wrong, _ = cut(corrections(word_counts(tokens)), "corrections")
+    pairs = pair_counts(tokens)
+    wrong, _ = cut(corrections(word_counts(pairs)), "corrections")
     paged = tokens.where("paged and chunk_id is not null")
     n = F.greatest(F.size("t") - 1, F.lit(0))
     beside = F.arrays_zip(F.col("t").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), n)).alias("before"), F.slice("t", F.lit(2), n).alias("after"))
@@ -280,10 +286,7 @@ def misread_words(chunks: DataFrame) -> DataFrame:
     # pairs of words that the decoding asks for, and how much more often they stand together than by chance
     texts = F.array_union(F.array("word"), F.transform("options", lambda o: o["true"]))
     asked = hits.select(F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("p.*").where("w1 is not null and w2 is not null").distinct()
-    pair = F.arrays_zip(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))).alias("w1"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("w2"))
-    both = tokens.select(F.explode(pair).alias("p")).select("p.*")
-    seen = both.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    gains, _ = cut(asked.join(seen, ["w1", "w2"]).select("w1", "w2", F.log1p("n").alias("gain")), "gains")
+    gains, _ = cut(asked.join(pairs.where("n > 1"), ["w1", "w2"]).select("w1", "w2", F.log1p("n").alias("gain")), "gains")
     per_hit = hits.select("chunk_id", F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("chunk_id", "p.*")
     known = per_hit.join(gains, ["w1", "w2"]).groupBy("chunk_id").agg(F.collect_list(F.struct("w1", "w2", "gain")).alias("pairs"))
     grouped = hits.groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "word", "own", "options", "before", "after")).alias("hits"))
@@ -305,7 +308,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
 
     A split compound keeps its hyphen where the corpus writes it with one more often than without.
     """
-    counts, _ = cut(word_counts(tokenised(chunks)), "counts")
+    counts, _ = cut(word_counts(pair_counts(tokenised(chunks))), "counts")
     pages = _pages(chunks).select("chunk_id", "text").distinct()
     halves = F.regexp_extract_all("text", F.lit(r"\p{L}+" + SPLIT + r"\p{L}+"), F.lit(0))
     parts = F.transform(halves, lambda x: F.split(F.regexp_replace(F.lower(x), r"[-\u2010\u2011\u00AC\u00AD]\s*[\r\n]\s*", "-"), "-"))
