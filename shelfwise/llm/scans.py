@@ -150,15 +150,19 @@ def heads_and_numbers(chunks: DataFrame) -> DataFrame:
 # --- misread words ----------------------------------------------------------------------------------------
 
 
-def _tokens(text: Column) -> Column:
-    """The words of a text in lower case, split words joined."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.regexp_replace(text, SPLIT, ""), _OPENING, " ")), F.lit(_WORD), F.lit(0))
+def _tokens(text: Column, split: Column | None = None) -> Column:
+    """The words of a text in lower case, split words joined; ``split`` tells where there are any."""
+    joined = F.regexp_replace(text, SPLIT, "")
+    if split is not None:
+        joined = F.when(split, joined).otherwise(text)
+    return F.regexp_extract_all(F.lower(F.regexp_replace(joined, _OPENING, " ")), F.lit(_WORD), F.lit(0))
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, paged, t): the words of every text, written once for all that reads them."""
-    rows = chunks.where("text is not null").select("chunk_id", F.col("page").isNotNull().alias("paged"), _tokens(F.col("text")).alias("t"))
-    return cut(rows, "tokens")[0]
+    """(chunk_id, paged, split, t): the words of every text, written once for all that reads them."""
+    split = F.regexp_like("text", F.lit(SPLIT))
+    rows = chunks.where("text is not null").select("chunk_id", F.col("page").isNotNull().alias("paged"), split.alias("split"), "text")
+    return cut(rows.select("chunk_id", "paged", "split", _tokens(F.col("text"), F.col("split")).alias("t")), "tokens")[0]
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
@@ -271,9 +275,8 @@ def _decoded(hits: pd.Series, pairs: pd.Series) -> pd.Series:
     return pd.Series([one(f, k) for f, k in zip(hits, pairs)], dtype=object)
 
 
-def misread_words(chunks: DataFrame) -> DataFrame:
+def misread_words(tokens: DataFrame) -> DataFrame:
     """(chunk_id, words array<struct<pos, true>>): positions of misread words among a chunk's words, and their sources."""
-    tokens = tokenised(chunks)
     pairs = pair_counts(tokens)
     wrong, _ = cut(corrections(word_counts(pairs)), "corrections")
     paged = tokens.where("paged and chunk_id is not null")
@@ -298,8 +301,9 @@ def misread_words(chunks: DataFrame) -> DataFrame:
 
 def noise(chunks: DataFrame) -> DataFrame:
     """(chunk_id, noise): the kinds of noise in each chunk of a scanned page."""
-    split = _pages(chunks).where(F.regexp_like("text", F.lit(SPLIT))).select("chunk_id", F.lit("hyphenation").alias("noise"))
-    misread = misread_words(chunks).select("chunk_id", F.lit("misread").alias("noise"))
+    tokens = tokenised(chunks)
+    split = tokens.where("split and paged and chunk_id is not null").select("chunk_id", F.lit("hyphenation").alias("noise"))
+    misread = misread_words(tokens).select("chunk_id", F.lit("misread").alias("noise"))
     return split.unionByName(misread).unionByName(heads_and_numbers(chunks).select("chunk_id", "noise")).distinct()
 
 
@@ -308,7 +312,8 @@ def repaired(chunks: DataFrame) -> DataFrame:
 
     A split compound keeps its hyphen where the corpus writes it with one more often than without.
     """
-    counts, _ = cut(word_counts(pair_counts(tokenised(chunks))), "counts")
+    tokens = tokenised(chunks)
+    counts, _ = cut(word_counts(pair_counts(tokens)), "counts")
     pages = _pages(chunks).select("chunk_id", "text").distinct()
     halves = F.regexp_extract_all("text", F.lit(r"\p{L}+" + SPLIT + r"\p{L}+"), F.lit(0))
     parts = F.transform(halves, lambda x: F.split(F.regexp_replace(F.lower(x), r"[-\u2010\u2011\u00AC\u00AD]\s*[\r\n]\s*", "-"), "-"))
@@ -323,7 +328,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
         .agg(F.collect_set("word").alias("compounds"))
     )
     edges = heads_and_numbers(chunks).groupBy("chunk_id").agg(F.collect_set("at").alias("edges"))
-    rows = pages.join(edges, "chunk_id", "left").join(misread_words(chunks), "chunk_id", "left").join(kept, "chunk_id", "left")
+    rows = pages.join(edges, "chunk_id", "left").join(misread_words(tokens), "chunk_id", "left").join(kept, "chunk_id", "left")
     return rows.select("chunk_id", _mended("text", "edges", "words", "compounds").alias("text"))
 
 
