@@ -65,15 +65,16 @@ def _patterns() -> dict:
                 regex.compile(rf"\b(?:\p{{Lu}}[\p{{L}}-]*{german}|\p{{Lu}}[\p{{L}}]*[\s-](?:Str\.|Stra(?:ß|ss)e|Weg|Platz|Gasse|Allee|Ufer|Damm|Ring))\s\d{{1,4}}[a-z]?\b(?![.,]\d)", regex.I),
                 regex.compile(r"\b(?:Am|An|Auf|Bei|Hinter|Im|In|Unter|Vor|Zum|Zur|Zwischen)\s(?:(?:der|dem|den|die)\s)?\p{Lu}[\p{L}-]+(?:\s\p{Lu}[\p{L}-]+)?\s\d{1,4}[a-z]?\b(?![.,]\d)"),
             ],
-            # what a text must hold for a slow pattern to be worth trying
-            "guards": {
-                ("email", 0): re.compile("@"),
-                ("email", 1): re.compile(r"[\[({<]\s*at\s*[\])}>]", re.I),
-                ("email", 2): re.compile(r"\sdot\s", re.I),
-                ("address", 2): re.compile(rf"[0-9a-z],?\s{romance}\s"),
-                ("address", 3): re.compile(rf"{spanish}\s", re.I),
-                ("address", 4): re.compile(r"(?:[Ss]tr\.|[Ss]tra(?:ß|ss)e|[Ww]eg|[Pp]latz|[Gg]asse|[Aa]llee|[Uu]fer|[Dd]amm|[Rr]ing|[Ss]teig|[Mm]arkt|[Hh]of)\s[0-9]"),
+            # what a text must hold, in lower case, for a slow pattern to be worth trying
+            "holds": {
+                ("email", 0): ("@",),
+                ("email", 1): tuple(a + b + "at" for a in "[({<" for b in ("", " ", "\n")),
+                ("email", 2): (" dot ", "\ndot ", " dot\n"),
+                ("address", 2): tuple(w for x in romance[4:-1].split("|") for w in ((x,) if "[" not in x else ("allée", "allee"))),
+                ("address", 3): ("calle", "plaza", "paseo", "avenida", "avda.", "camino", "carrera", "ronda", "traves", "c/"),
             },
+            "german": ("str.", "straße", "strasse", "weg", "platz", "gasse", "allee", "ufer", "damm", "steig", "markt", "hof"),
+            "ring": re.compile(r"ring\s[0-9]"),
             "word": regex.compile(r"[\p{L}\p{N}#&]+|[:;()<>/.,?!@+\"“”-]"),
             "digits": regex.compile(r"\d"),
             "letters": regex.compile(r"\p{L}"),
@@ -200,8 +201,8 @@ class Proposer:
         import re
 
         found = list(self._names(text))
-        guards = self.p["guards"]
-        allowed = lambda kind, k: (kind, k) not in guards or guards[kind, k].search(text)
+        holds, low = self.p["holds"], text.lower()
+        allowed = lambda kind, k: (kind, k) not in holds or any(w in low for w in holds[kind, k])
         for k, pattern in enumerate(self.p["email"]):
             if not allowed("email", k):
                 continue
@@ -214,7 +215,7 @@ class Proposer:
             shape = re.sub(r"[^\W\d_]+", lambda x: "L" * len(x.group()), re.sub(r"\d+", lambda x: str(len(x.group())), own))
             found.append((m.start(), m.end(), "id_number", [f"shape={shape}", f"head={own[:2].upper() if own[:2].isalpha() else ''}", f"upper={own.isupper()}"] + self._around(text, m.start(), m.end())))
         for k, pattern in enumerate(self.p["address"]):
-            if not allowed("address", k):
+            if not allowed("address", k) or k == 4 and not (any(w in low for w in self.p["german"]) or self.p["ring"].search(low)):
                 continue
             for m in pattern.finditer(text, overlapped=k == 1):
                 own = m.group()
