@@ -114,6 +114,12 @@ def release(spark: SparkSession) -> None:
     drop(spark, *_written.pop(spark.sparkContext.applicationId, []))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def byte_size(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of ``df``; exact for a written table."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
