@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Words of a pattern.
 SEED = 3
 #: Share of a passage's words that a text must hold, and share of words that may differ.
@@ -170,7 +172,7 @@ class Scanner:
 def leaks(documents: DataFrame, passages: DataFrame, share: float = SHARE, differ: float = DIFFER) -> DataFrame:
     """(doc_id, passage_id, matched_words, start, end): the passages that each document holds, and where."""
     spark = documents.sparkSession
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     found = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("passage_id", "matched_words", "start", "end")]))
 
     def pass_over(part: list[tuple[int, str]]) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 #: Sentences the field is fitted on; rounds of fitting; given names kept and how often each must be seen.
 SAMPLE, ROUNDS, LEXICON, SEEN = 3000, 10, 50_000, 3
@@ -326,7 +328,7 @@ def find(documents: DataFrame, authors: DataFrame, id_col: str = "doc_id", text_
         for batch in texts:
             yield batch.map(one)
 
-    return documents.select(F.col(id_col), F.col(text_col).alias("text")).withColumn("entities", entities("text"))
+    return spread(documents.select(F.col(id_col), F.col(text_col).alias("text"))).withColumn("entities", entities("text"))
 
 
 def mentions(documents: DataFrame, authors: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from ..session import spread
+
 VOCABULARY = os.environ.get("SHELFWISE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 #: How the public vocabulary splits text before its merges (fixed value).
@@ -85,7 +87,7 @@ def encode(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def meets(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: meeting(t, chunk)).astype("Int64")
 
-    rows = rows.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = spread(rows.select(F.col(id_col), F.col(text_col).alias("__text")))
     short = rows.where(F.coalesce(F.length("__text"), F.lit(0)) <= chunk)
     long = rows.where(F.length("__text") > chunk)
     encoded = short.select(id_col, ids("__text").alias("ids"))
