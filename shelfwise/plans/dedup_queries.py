@@ -15,6 +15,8 @@ from .retrieval_queries import _VECTORS, DIM
 #: The library has no editions; this rule gives some items one.
 EDITION = "CASE id % 5 WHEN 0 THEN '1' WHEN 1 THEN '2nd' WHEN 2 THEN '3rd ed.' END"
 FIELDS = ["title", "abstract", "publication_year", "doi", "venue"]
+#: The items that the SQL of dedup_tier4_scan and dedup_decide_all asks for; the queries named _whole ask for all.
+QUERY_SET = "item_id % 100 = 0"
 
 
 def _items(spark, sf_dir):
@@ -60,21 +62,30 @@ def dedup_tier3_linked(spark, sf_dir):
     return D.linked(candidates, items).select("id", "target_id", "relation")
 
 
-def _neighbours(spark, sf_dir):
+def _neighbours(spark, sf_dir, asked):
     rows = table(spark, sf_dir, "item_embeddings")
-    near = V.nearest(rows, rows.where("item_id % 100 = 0"), D.NEIGHBOURS, DIM)
+    near = V.nearest(rows, rows.where(asked), D.NEIGHBOURS, DIM)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return near.select(F.col("query_id").alias("id"), F.col("item_id").alias("target_id"), rank.alias("rank"), F.round(V.similarity_of_distance(F.col("distance")), 6).alias("similarity"))
 
 
-def _semantic(spark, sf_dir):
+def _semantic(spark, sf_dir, asked):
     keys = D.author_keys(table(spark, sf_dir, "item_authors"), table(spark, sf_dir, "authors"))
-    return D.semantic(_neighbours(spark, sf_dir), _items(spark, sf_dir), keys)
+    return D.semantic(_neighbours(spark, sf_dir, asked), _items(spark, sf_dir), keys)
+
+
+def _tier4(spark, sf_dir, asked):
+    return _semantic(spark, sf_dir, asked).select("id", "outcome", "target_id", "relation", F.round("confidence", 5).alias("confidence"), "reason")
 
 
 def dedup_tier4_scan(spark, sf_dir):
-    """Near neighbours of the query set: merges, editions and related works."""
-    return _semantic(spark, sf_dir).select("id", "outcome", "target_id", "relation", F.round("confidence", 5).alias("confidence"), "reason")
+    """Near neighbours of the query set, as in its SQL: merges, editions and related works of one item in a hundred."""
+    return _tier4(spark, sf_dir, QUERY_SET)
+
+
+def dedup_tier4_whole(spark, sf_dir):
+    """Near neighbours of every item with a usable vector: merges, editions and related works."""
+    return _tier4(spark, sf_dir, "true")
 
 
 def dedup_edition(spark, sf_dir):
@@ -86,13 +97,22 @@ def dedup_edition(spark, sf_dir):
     return both.select("id", "target_id", D.edition_relation(F.col("edition"), F.col("e"), F.col("publication_year"), F.col("y")).alias("relation")).where("relation is not null")
 
 
-def dedup_decide_all(spark, sf_dir):
-    """One decision per candidate, counted by outcome and reason."""
+def _decided(spark, sf_dir, asked):
     candidates, items = _parts(spark, sf_dir)
-    tiers = [D.exact(candidates, items), D.errata(candidates, items), D.linked(candidates, items), _semantic(spark, sf_dir)]
+    tiers = [D.exact(candidates, items), D.errata(candidates, items), D.linked(candidates, items), _semantic(spark, sf_dir, asked)]
     return D.counts(D.decide(candidates, tiers))
 
 
+def dedup_decide_all(spark, sf_dir):
+    """One decision per candidate, counted by outcome and reason; tier 4, as in its SQL, sees one item in a hundred."""
+    return _decided(spark, sf_dir, QUERY_SET)
+
+
+def dedup_decide_whole(spark, sf_dir):
+    """One decision per candidate, counted by outcome and reason, every candidate through all four tiers."""
+    return _decided(spark, sf_dir, "true")
+
+
 def author_jaccard(spark, sf_dir):
     """Shared authors of works that are called versions of one another."""
     keys = D.author_keys(table(spark, sf_dir, "item_authors"), table(spark, sf_dir, "authors")).groupBy("item_id").agg(F.collect_set("key").alias("keys"))
@@ -193,7 +213,7 @@ def invariants(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_tier1_exact, dedup_tier1_documents, dedup_tier2_erratum, dedup_tier3_linked, dedup_tier4_scan, dedup_edition, dedup_decide_all, author_jaccard,
+        dedup_tier1_exact, dedup_tier1_documents, dedup_tier2_erratum, dedup_tier3_linked, dedup_tier4_scan, dedup_tier4_whole, dedup_edition, dedup_decide_all, dedup_decide_whole, author_jaccard,
         relation_inverse_closure, relation_missing_inverse, series_parents, chapter_ranges, pages_range_join, metadata_layered_merge, metadata_best_source,
         merge_backfill, artifact_latest, eav_pivot, invariants,
     )
@@ -240,6 +260,7 @@ n2 AS (SELECT *, CASE WHEN similarity >= 0.85 AND shared > 0 THEN {_edition('ae'
 n3 AS (SELECT *, CASE WHEN edition_relation IS NOT NULL THEN 'edition' WHEN similarity >= 0.97 AND shared > 0 THEN 'semantic_match' WHEN similarity >= 0.95 AND shared = 0 THEN 'semantic_related' END AS reason FROM n2),
 sem AS (SELECT id, CASE reason WHEN 'semantic_match' THEN 'merge' ELSE 'link' END AS outcome, target_id, CASE reason WHEN 'edition' THEN edition_relation WHEN 'semantic_related' THEN 'related' END AS relation,
   similarity AS confidence, reason FROM n3 WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1)"""
+_SEMANTIC_WHOLE = _SEMANTIC.replace(f" WHERE a.{QUERY_SET}", "")
 _RANK = "CASE source " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in M.AUTHORITY.items()) + f" ELSE {M.UNKNOWN} END"
 _TOC = """
 ch AS (SELECT DISTINCT item_id, chunk_index, page FROM chunks WHERE page IS NOT NULL),
@@ -301,3 +322,4 @@ UNION ALL SELECT 'known_item_type', count(*) FROM library_items WHERE item_type
     f"related_{k}": f"WITH {_EDGES} SELECT subject_id, relation, object_id, confidence, title FROM e JOIN library_items ON id = object_id WHERE relation IN ({', '.join(repr(r) for r in labels)})"
     for k, labels in G.KINDS.items()
 }
+SQL |= {f"{name}_whole": SQL[f"{name}_{old}"].replace(_SEMANTIC, _SEMANTIC_WHOLE) for name, old in (("dedup_tier4", "scan"), ("dedup_decide", "all"))}

@@ -103,3 +103,20 @@ def test_upserts(spark):
     merged = spark.createDataFrame([('{"a":"1","b":"2"}', '{"b":"3"}'), (None, '{"c":"4"}')], "o string, n string").select(M.merged_json(M.F.col("o"), M.F.col("n")).alias("j"))
     assert [r.j for r in merged.collect()] == ['{"a":"1","b":"3"}', '{"c":"4"}']
     assert math.isclose(1 - 0.05**2 / 2, 0.99875)
+
+
+def test_every_item_is_tested_for_near_duplicates(spark, tmp_path):
+    """No id is a multiple of 100; the first two items share vector and author, the next two the vector alone, the others nothing."""
+    from shelfwise.plans import dedup_queries as Q
+
+    spike = lambda at, value=1.0: [value if i == at else 0.0 for i in range(768)]
+    vectors = [spike(0), spike(0, 2.0), spike(1), spike(1), spike(2), spike(0, 0.0), [1.0] * 3]
+    ids = [15, 20, 30, 40, 50, 55, 60]  # all of one edition, none an erratum or preprint
+    fields = "id long, item_type string, title string, abstract string, publication_year int, doi string, arxiv_id string, isbn string, venue string, content_hash string"
+    spark.createDataFrame([(i, "paper", f"Work {i}", None, 2000, *[None] * 5) for i in ids], fields).write.parquet(f"{tmp_path}/library_items.parquet")
+    spark.createDataFrame(list(zip(ids, vectors)), "item_id long, embedding array<float>").write.parquet(f"{tmp_path}/item_embeddings.parquet")
+    spark.createDataFrame([(15, 1), (20, 2), (30, 3)], "item_id long, author_id long").write.parquet(f"{tmp_path}/item_authors.parquet")
+    spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "author_id long, normalized_key string").write.parquet(f"{tmp_path}/authors.parquet")
+    found = {(r.id, r.outcome, r.target_id, r.relation) for r in Q.dedup_tier4_whole(spark, str(tmp_path)).collect()}
+    assert found == {(15, "merge", 20, None), (20, "merge", 15, None), (30, "link", 40, "related"), (40, "link", 30, "related")}
+    assert {(r.outcome, r.reason, r.n) for r in Q.dedup_decide_whole(spark, str(tmp_path)).collect()} == {("merge", "semantic_match", 2), ("link", "semantic_related", 2), ("insert", "no_match", 3)}
