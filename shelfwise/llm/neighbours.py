@@ -165,8 +165,10 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, dim: int = DIM
     """(id, partner, similarity): for every usable vector its k most similar others at ``least`` or above."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    # what ``_usable`` leaves out must not count as copies of one another either; a NaN is greater than infinity
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     # copies: groups of identical vectors of more than k + 1 ids
-    keys = rows.where(F.size("v") == dim).select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    keys = rows.where((F.size("v") == dim) & finite & F.exists("v", lambda x: x != 0)).select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     keys, keys_path = cut(keys.distinct(), "keys")
     crowds = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where(F.col("n") > k + 1)
     crowds, crowds_path = cut(crowds, "crowds")

@@ -41,6 +41,15 @@ def test_empty_and_unusable(spark):
     assert neighbours.similar_pairs(frame.limit(0)).collect() == []
 
 
+def test_crowds_of_unusable_vectors(spark):
+    """Copies of a vector that may not take part have no neighbours, however many; usable copies beside them keep theirs."""
+    bad = [[0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("-inf")] + [1.0] * 15]
+    rows = [(100 * n + i, v) for n, v in enumerate(bad) for i in range(14)] + [(900 + i, [1.0] * 16) for i in range(14)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = {tuple(r) for r in neighbours.similar_pairs(frame, dim=16).collect()}
+    assert got == brute(rows, 10, 0.7)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     unit = rng.normal(size=(50, 64))
