@@ -10,7 +10,7 @@ Words that can be confused have one key (a spelling in strokes: m as iii, d as c
 an equi-join of distinct words, never from all pairs; corrections reach the texts by a join as well, which Spark
 makes a broadcast only while they are small.
 
-Running heads are first or last lines of pages that recur, strokes alike, on at least three pages of an item and
+Running heads are first or last lines of pages that recur, the whole line alike in strokes, on at least three pages of an item and
 mostly do not run on into the next line; page numbers are numbers alone on such a line, or beside a head.
 
 Defined results: chunks without a page or text have no noise; null items form no recurring heads; repeats count once
@@ -40,6 +40,8 @@ CONFUSIONS = (
 #: Strokes of each character: confusions leave them as they are.
 _SINGLE = ("rlt1!|fe(@0569q", "iiiiiiiccaosbgg")
 _STROKES = (("n", "ii"), ("u", "ii"), ("h", "ii"), ("b", "ii"), ("m", "iii"), ("d", "ci"), ("w", "vv"))
+#: Letters set as one character, and the letters they stand for.
+_LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"))
 
 #: A misread spelling is at most so frequent beside the true one; confusions in one word.
 RATIO, MOST = 0.03, 4
@@ -137,7 +139,10 @@ def edge_lines(chunks: DataFrame) -> DataFrame:
 def heads_and_numbers(chunks: DataFrame) -> DataFrame:
     """(chunk_id, at, noise): running_header or page_number on the first or last line of a chunk's page."""
     edges, _ = cut(edge_lines(chunks), "edges")
-    key = F.substring(strokes(F.regexp_replace("head", r"[^\p{L}01569@!|(]", "")), 1, 24)
+    head = F.col("head")
+    for a, b in _LIGATURES:
+        head = F.replace(head, F.lit(a), F.lit(b))
+    key = strokes(F.regexp_replace(head, r"[^\p{L}01569@!|(]", ""))
     lines = edges.where(~F.col("alone")).withColumn("key", key).where(F.length("key") >= 4)
     # pages are counted once each: first by page, then by item, so that no task gathers an item
     by_page = lines.where("item_id is not null").groupBy("item_id", "key", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if("runs_on").alias("on"))

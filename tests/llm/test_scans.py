@@ -82,3 +82,14 @@ def test_viterbi_takes_the_neighbours_into_account():
     line = [("", [("a", 0.0)]), ("tne", [("tne", -9.0), ("the", -3.0), ("tie", -2.5)]), ("", [("end", 0.0)])]
     assert scans.decode(line, {})[1] == "tie"
     assert scans.decode(line, {("a", "the"): 1.0})[1] == "the"
+
+
+def test_lines_that_only_begin_alike_are_no_heads(spark):
+    """Sentences with a common beginning stay; a head set with and without a ligature is one head."""
+    ends = ["growth in cold water", "decay under constant load", "drift of the mean flow", "loss at every boundary"]
+    rows = [(p, 1, p, p, f"Results from perturbation theory show {end}.\nAfter {end} it remains stable.", "x") for p, end in enumerate(ends, 1)]
+    rows += [(10 + p, 2, p, p, f"Scienti{'fi' if p % 2 else chr(0xFB01)}c Annals\nAfter {ends[p]} it remains stable.", "x") for p in range(1, 4)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in scans.heads_and_numbers(frame).collect()} == {(10 + p, "first", "running_header") for p in range(1, 4)}
+    kept = {r.chunk_id: r.text for r in scans.repaired(frame).collect()}
+    assert all(kept[p].startswith("Results from perturbation theory show") for p in range(1, 5))
