@@ -119,7 +119,7 @@ def descendants(tree: DataFrame, id_col: str = "collection_id") -> DataFrame:
     """(id_col, descendant_id, distance int) for every node and each node below it, from ``hierarchy``'s paths.
 
     The ancestors stand in each path, so that the pairs come without another join. Rows on or under a loop
-    have no path and give no pairs.
+    have no path and give no pairs here; ``loop_descendants`` gives theirs.
     """
     ids: Column = F.split("path", "/")
     return (
@@ -127,3 +127,30 @@ def descendants(tree: DataFrame, id_col: str = "collection_id") -> DataFrame:
         .select(F.col(id_col).alias("descendant_id"), "depth", F.posexplode(F.slice(ids, 1, F.col("depth"))).alias("pos", "anc"))
         .select(F.col("anc").cast("long").alias(id_col), "descendant_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
     )
+
+
+def loop_descendants(rows: DataFrame, tree: DataFrame, id_col: str = "collection_id", parent_col: str = "parent_id") -> DataFrame:
+    """(id_col, descendant_id, distance int) for rows on or under loops, up to the loop and once around it.
+
+    ``tree`` is ``hierarchy`` of ``rows``. The distance is the first at which the walk upwards meets the ancestor; no
+    row is its own descendant. A walk is doubled with every join, until none meets another ancestor.
+    """
+    spark = rows.sparkSession
+    lost = tree.where("depth < 0").select(F.col(id_col).alias("id"))
+    jumps, jumps_path = cut(_links(rows, id_col, parent_col).join(lost, "id").select("id", F.col("parent").alias("to")), "jumps")
+    met = jumps.where("id <> to").select("id", F.col("to").alias("anc"), F.lit(1).alias("distance"))
+    reach, n, paths = 1, met.count(), [jumps_path]
+    while n:
+        # what the row that is ``reach`` links above meets is met ``reach`` links later
+        beyond = met.select(F.col("id").alias("to"), "anc", (F.col("distance") + reach).alias("distance"))
+        further = jumps.join(beyond, "to").where("id <> anc").select("id", "anc", "distance")
+        met, met_path = cut(met.unionByName(further).groupBy("id", "anc").agg(F.min("distance").alias("distance")), "met")
+        ahead = jumps.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        jumps, jumps_path = cut(jumps.join(ahead, "to").select("id", F.col("next").alias("to")), "jumps")
+        drop(spark, *paths)
+        paths = [met_path, jumps_path]
+        reach *= 2
+        last, n = n, met.count()
+        if n == last:
+            break
+    return met.select(F.col("anc").alias(id_col), F.col("id").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as H
-from ..session import table
+from ..session import cut, table
 
 
 def p6_found(spark, sf_dir):
@@ -14,11 +14,18 @@ def p6_found(spark, sf_dir):
 
 
 def p6_descendants(spark, sf_dir):
-    """Every collection with each collection below it."""
+    """Every collection with each collection below it; as in its SQL, without rows on or under loops."""
     return H.descendants(H.hierarchy(table(spark, sf_dir, "collection_rows")))
 
 
-QUERIES = {"p6_found": p6_found, "p6_descendants": p6_descendants}
+def p6_descendants_whole(spark, sf_dir):
+    """Every collection with each collection below it, on and under loops as well, and whether the pair lies there."""
+    rows = table(spark, sf_dir, "collection_rows")
+    tree, _ = cut(H.hierarchy(rows), "tree")
+    return H.descendants(tree).withColumn("looped", F.lit(False)).unionByName(H.loop_descendants(rows, tree).withColumn("looped", F.lit(True)))
+
+
+QUERIES = {"p6_found": p6_found, "p6_descendants": p6_descendants, "p6_descendants_whole": p6_descendants_whole}
 
 _WALK = """
 WITH RECURSIVE n AS (

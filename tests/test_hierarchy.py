@@ -54,3 +54,18 @@ def test_against_brute_force(spark, rows):
 def test_descendants(spark):
     tree = hierarchy(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4)], SCHEMA))
     assert {tuple(r) for r in descendants(tree).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
+
+
+def test_descendants_on_and_under_loops(spark, tmp_path):
+    from shelfwise.plans.hierarchy_queries import p6_descendants_whole
+
+    parents = {1: None, 2: 1, 10: 10, 11: 10, 12: 11, 20: 21, 21: 22, 22: 20} | {30: 20} | {i: i - 1 for i in range(31, 42)}
+    spark.createDataFrame([*parents.items(), (12, 11)], SCHEMA).write.parquet(f"{tmp_path}/collection_rows.parquet")
+    want = {(1, 2, 1, False)}
+    for i in set(parents) - {1, 2}:
+        walk = [i]
+        while parents[walk[-1]] not in walk:
+            walk.append(parents[walk[-1]])
+        want |= {(a, i, d, True) for d, a in enumerate(walk) if d}
+    got = [tuple(r) for r in p6_descendants_whole(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
