@@ -43,8 +43,12 @@ _STROKES = (("n", "ii"), ("u", "ii"), ("h", "ii"), ("b", "ii"), ("m", "iii"), ("
 #: Letters set as one character, and the letters they stand for.
 _LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"))
 
-#: A misread spelling is at most so frequent beside the true one; confusions in one word.
-RATIO, MOST = 0.03, 4
+#: A spelling comes into question for a misread one if another is so many times as frequent; the channel decides.
+OFTENER = 20
+#: Weight of the share of a word's occurrences that stand beside its neighbour.
+PAIRED = 100
+#: Chance of a confusion never seen beside a frequent word, and that a sound spelling comes from another one.
+UNSEEN, SOUND = 1e-7, 1e-4
 #: Bytes of the written table of corrections up to which it is broadcast; beyond, words are shuffled to it.
 BROADCAST = 8 << 20
 #: Pages of an item on which a running head recurs.
@@ -52,7 +56,7 @@ RECURS = 3
 
 #: A word split over a line end: letters, a hyphen in one of its forms, the line end, letters.
 SPLIT = r"[-\u2010\u2011\u00AC\u00AD](?<=\p{L}.)[^\S\r\n]*(?:\r\n|\n|\r)\s*(?=\p{L})"
-_NUMBER = r"(?:\d{1,4}|[ivxlc]{1,7})"
+_NUMBER = r"(?:\d{1,4}|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
 _ALONE = rf"^\s*(?:[-–—·\[(|~*]\s*)?(?:[Pp]age\s+|[Ss]eite\s+|p\.\s*)?({_NUMBER})(?:\s+(?:of|von)\s+\d+)?(?:\s*[-–—·\])|~*])?\s*$"
 _BEFORE, _AFTER = rf"^\s*({_NUMBER})\s{{2,}}(\S.*)$", rf"^(.*\S)\s{{2,}}({_NUMBER})\s*$"
 #: Words as a scanner may have left them; marks count inside, or before letters.
@@ -69,8 +73,8 @@ def strokes(text: Column) -> Column:
     return out
 
 
-def confused(true: str, seen: str, most: int = MOST) -> list[tuple[str, str]] | None:
-    """The fewest confusions that turn ``true`` into ``seen``; None if they cannot, or need more than ``most``."""
+def confused(true: str, seen: str) -> list[tuple[str, str]] | None:
+    """The fewest confusions that turn ``true`` into ``seen``; None if they cannot."""
     best: dict[tuple[int, int], list | None] = {}
 
     def walk(i: int, j: int) -> list | None:
@@ -90,8 +94,7 @@ def confused(true: str, seen: str, most: int = MOST) -> list[tuple[str, str]] |
         best[i, j] = out
         return out
 
-    found = walk(0, 0)
-    return found if found is not None and len(found) <= most else None
+    return walk(0, 0)
 
 
 def _letters_for(word: str) -> str | None:
@@ -112,24 +115,19 @@ def _pages(chunks: DataFrame) -> DataFrame:
 
 
 def edge_lines(chunks: DataFrame) -> DataFrame:
-    """First and last lines of pages: (chunk_id, item_id, page, at, line, runs_on, number, head, alone)."""
-    pages = _pages(chunks)
-    ends = pages.groupBy(F.col("item_id").alias("own"), F.col("page").alias("own_page")).agg(F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"))
+    """First and last lines of each chunk of a page: (chunk_id, item_id, page, at, line, runs_on, number, head, alone).
+
+    A page cut into several chunks may show its head and foot on any of them.
+    """
     lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t\u00a0\u2003")) != "")
-    rows = (
-        pages.select("chunk_id", "item_id", "page", "chunk_index", lines.alias("lines"))
-        .where(F.size("lines") > 1)
-        .select("chunk_id", "item_id", "page", "chunk_index", F.slice("lines", 1, 2).alias("first"), F.slice("lines", -2, 2).alias("last"))
-        .join(ends, F.col("item_id").eqNullSafe(F.col("own")) & (F.col("page") == F.col("own_page")))
-    )
-    starts_low = lambda x: F.regexp_like(x, F.lit(r"^\s*\p{Ll}"))
+    rows = _pages(chunks).select("chunk_id", "item_id", "page", lines.alias("lines")).where(F.size("lines") > 1).select("chunk_id", "item_id", "page", F.slice("lines", 1, 2).alias("first"), F.slice("lines", -2, 2).alias("last"))
     sides = F.explode(
         F.array(
-            F.when(F.col("chunk_index").eqNullSafe(F.col("low")), F.struct(F.lit("first").alias("at"), F.col("first")[0].alias("line"), starts_low(F.col("first")[1]).alias("runs_on"))),
-            F.when(F.col("chunk_index").eqNullSafe(F.col("high")), F.struct(F.lit("last").alias("at"), F.col("last")[1].alias("line"), (~F.regexp_like(F.col("last")[0], F.lit(r"[.!?][\"'”’)\]]*\s*$"))).alias("runs_on"))),
+            F.struct(F.lit("first").alias("at"), F.col("first")[0].alias("line"), F.regexp_like(F.col("first")[1], F.lit(r"^\s*\p{Ll}")).alias("runs_on")),
+            F.struct(F.lit("last").alias("at"), F.col("last")[1].alias("line"), (~F.regexp_like(F.col("last")[0], F.lit(r"[.!?][\"'”’)\]]*\s*$"))).alias("runs_on")),
         )
     )
-    out = rows.select("chunk_id", "item_id", "page", sides.alias("x")).where("x is not null").select("chunk_id", "item_id", "page", "x.*").distinct()
+    out = rows.select("chunk_id", "item_id", "page", sides.alias("x")).select("chunk_id", "item_id", "page", "x.*").distinct()
     alone = F.regexp_extract("line", _ALONE, 1)
     number = F.when(alone != "", alone).when(F.regexp_like("line", F.lit(_BEFORE)), F.regexp_extract("line", _BEFORE, 1)).when(F.regexp_like("line", F.lit(_AFTER)), F.regexp_extract("line", _AFTER, 2))
     head = F.when(alone != "", "").when(F.regexp_like("line", F.lit(_BEFORE)), F.regexp_extract("line", _BEFORE, 2)).when(F.regexp_like("line", F.lit(_AFTER)), F.regexp_extract("line", _AFTER, 1)).otherwise(F.col("line"))
@@ -199,38 +197,40 @@ def _lettered(words: pd.Series) -> pd.Series:
 
 
 def corrections(counts: DataFrame) -> DataFrame:
-    """(word, n, options array<struct<true, score>>): words that may be misread, with log scores of their sources.
+    """(word, n, options array<struct<source, score>>, own): words that may be misread, with log scores of their sources.
 
-    ``score`` is log P(true) + log P(confusions); that of the word itself is not among the options.
+    ``score`` is log P(source) + log P(confusions), ``own`` that of the word as it stands. All of them are shares, so
+    that a corpus and ten copies of it are read alike.
     """
     counts, _ = cut(counts.withColumn("key", strokes(F.col("word"))), "words")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    sound = counts.where(F.regexp_like("word", F.lit(r"^\p{L}+$")) & (F.length("word") >= 3)).select(F.col("word").alias("true"), F.col("n").alias("m"), "key")
+    lettered = F.regexp_like("word", F.lit(r"^\p{L}+$"))
+    sound = counts.where(lettered & (F.length("word") >= 2)).select(F.col("word").alias("source"), F.col("n").alias("m"), "key")
     pairs = (
-        counts.where(F.length("word") >= 3)
+        counts.where(F.length("word") >= 2)
         .join(sound, "key")
-        .where((F.col("word") != F.col("true")) & (F.col("m") >= 3) & ((F.col("n") <= F.col("m") * RATIO) | (F.col("n") <= 2) & (F.col("n") * 3 <= F.col("m"))))
-        .select("word", "n", "true", "m", _confusions("true", "word").alias("ops"))
-        .where("ops is not null")
+        .where((F.col("word") != F.col("source")) & (F.col("n") * OFTENER <= F.col("m")))
+        .select("word", "n", "source", "m", _confusions("source", "word").alias("ops"))
+        .where(F.col("ops").isNotNull())
     )
     pairs, _ = cut(pairs, "pairs")
     # one round of fitting: how often each confusion happened, over how often its characters stood there
     used = {r.op: r.n for r in pairs.select(F.explode("ops").alias("op"), "n").groupBy("op").agg(F.sum("n").alias("n")).collect()}
     letters = {a for a, _ in CONFUSIONS}
     stood = counts.agg(*[F.sum(F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(a), F.lit("")))) / len(a)).alias(a) for a in sorted(letters)]).first()
-    chance = {f"{a}>{b}": log((used.get(f"{a}>{b}", 0) + 0.5) / ((stood[a] or 0) + 1000)) for a, b in CONFUSIONS}
+    chance = {f"{a}>{b}": log(max(used.get(f"{a}>{b}", 0) / (stood[a] or 1), UNSEEN)) for a, b in CONFUSIONS}
     table = F.create_map(*[x for op, p in chance.items() for x in (F.lit(op), F.lit(p))])
-    scored = pairs.select("word", "n", "true", (F.log(F.col("m") / total) + F.aggregate("ops", F.lit(0.0), lambda a, op: a + table[op])).alias("score"))
-    known = scored.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("true", "score")).alias("options"))
+    scored = pairs.select("word", "n", "source", (F.log(F.col("m") / total) + F.aggregate("ops", F.lit(0.0), lambda a, op: a + table[op])).alias("score"))
+    known = scored.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("source", "score")).alias("options"))
     # digits and marks between letters: read as letters even where the word is not known
     shaped = (
         counts.where(F.regexp_like("word", F.lit(r"\p{L}[0156@!|(]+\p{L}")))
-        .select("word", "n", _lettered("word").alias("true"))
-        .where("true is not null")
+        .select("word", "n", _lettered("word").alias("source"))
+        .where(F.col("source").isNotNull())
         .join(known.select("word"), "word", "left_anti")
-        .select("word", "n", F.array(F.struct("true", F.lit(log(0.1 / total) - 5).alias("score"))).alias("options"))
+        .select("word", "n", F.array(F.struct("source", F.lit(log(0.1 / total) - 5).alias("score"))).alias("options"))
     )
-    return known.unionByName(shaped).withColumn("own", F.log(F.col("n") / total) + F.when(F.regexp_like("word", F.lit(r"^\p{L}+$")), log(0.01)).otherwise(log(1e-9)))
+    return known.unionByName(shaped).withColumn("own", F.log(F.col("n") / total) + F.when(lettered, log(SOUND)).otherwise(log(1e-9)))
 
 
 def decode(words: list[tuple[str, list[tuple[str, float]]]], pairs: dict[tuple[str, str], float]) -> list[str]:
@@ -252,7 +252,7 @@ def decode(words: list[tuple[str, list[tuple[str, float]]]], pairs: dict[tuple[s
     return out[::-1]
 
 
-_FIXES = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("true", T.StringType())]))
+_FIXES = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("source", T.StringType())]))
 
 
 @F.pandas_udf(_FIXES)
@@ -268,7 +268,7 @@ def _decoded(hits: pd.Series, pairs: pd.Series) -> pd.Series:
             line, p = [("", [(at[pos]["before"] or "", 0.0)])], pos
             while p in at:
                 h = at[p]
-                line.append((h["word"], [(h["word"], h["own"])] + [(o["true"], o["score"]) for o in h["options"]]))
+                line.append((h["word"], [(h["word"], h["own"])] + [(o["source"], o["score"]) for o in h["options"]]))
                 p += 1
             line.append(("", [(at[p - 1]["after"] or "", 0.0)]))
             for k, true in enumerate(decode(line, gain)[1:-1]):
@@ -281,9 +281,10 @@ def _decoded(hits: pd.Series, pairs: pd.Series) -> pd.Series:
 
 
 def misread_words(tokens: DataFrame) -> DataFrame:
-    """(chunk_id, words array<struct<pos, true>>): positions of misread words among a chunk's words, and their sources."""
+    """(chunk_id, words array<struct<pos, source>>): positions of misread words among a chunk's words, and their sources."""
     pairs = pair_counts(tokens)
-    wrong, _ = cut(corrections(word_counts(pairs)), "corrections")
+    counts, _ = cut(word_counts(pairs), "counts")
+    wrong, _ = cut(corrections(counts), "corrections")
     paged = tokens.where("paged and chunk_id is not null")
     n = F.greatest(F.size("t") - 1, F.lit(0))
     beside = F.arrays_zip(F.col("t").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), n)).alias("before"), F.slice("t", F.lit(2), n).alias("after"))
@@ -291,12 +292,14 @@ def misread_words(tokens: DataFrame) -> DataFrame:
     few = wrong.drop("n")
     hits = words.join(F.broadcast(few) if byte_size(wrong) <= BROADCAST else few, "word").dropDuplicates(["chunk_id", "pos"])
     hits, _ = cut(hits, "hits")
-    # pairs of words that the decoding asks for, and how much more often they stand together than by chance
-    texts = F.array_union(F.array("word"), F.transform("options", lambda o: o["true"]))
-    asked = hits.select(F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("p.*").where("w1 is not null and w2 is not null").distinct()
-    gains, _ = cut(asked.join(pairs.where("n > 1"), ["w1", "w2"]).select("w1", "w2", F.log1p("n").alias("gain")), "gains")
-    per_hit = hits.select("chunk_id", F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2"))))).alias("p")).select("chunk_id", "p.*")
-    known = per_hit.join(gains, ["w1", "w2"]).groupBy("chunk_id").agg(F.collect_list(F.struct("w1", "w2", "gain")).alias("pairs"))
+    # which share of the occurrences of a word or source and of its neighbour are side by side
+    texts = F.array_union(F.array("word"), F.transform("options", lambda o: o["source"]))
+    asked = F.explode(F.array_union(F.transform(texts, lambda w: F.struct(F.col("before").alias("w1"), w.alias("w2"))), F.transform(texts, lambda w: F.struct(w.alias("w1"), F.col("after").alias("w2")))))
+    per_hit, _ = cut(hits.select("chunk_id", asked.alias("p")).select("chunk_id", "p.*").where("w1 is not null and w2 is not null"), "asked")
+    n1, n2 = (counts.select(F.col("word").alias(w), F.col("n").alias(n)) for w, n in (("w1", "n1"), ("w2", "n2")))
+    share = F.col("n") / F.greatest("n1", "n2")
+    gains = per_hit.select("w1", "w2").distinct().join(pairs, ["w1", "w2"]).join(n1, "w1", "left").join(n2, "w2", "left").select("w1", "w2", F.log1p(PAIRED * share).alias("gain"))
+    known = per_hit.join(gains, ["w1", "w2"]).groupBy("chunk_id").agg(F.collect_set(F.struct("w1", "w2", "gain")).alias("pairs"))
     grouped = hits.groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "word", "own", "options", "before", "after")).alias("hits"))
     return grouped.join(known, "chunk_id", "left").select("chunk_id", _decoded("hits", "pairs").alias("words")).where(F.size("words") > 0)
 
@@ -348,7 +351,7 @@ def _mended(text: pd.Series, edges: pd.Series, words: pd.Series, compounds: pd.S
         # positions of words were counted with all split words joined
         plain = split.sub("", t)
         if fixes is not None and len(fixes):
-            wanted = {f["pos"]: f["true"] for f in fixes}
+            wanted = {f["pos"]: f["source"] for f in fixes}
             spans = [m.span() for m in word.finditer(opening.sub(" ", plain).lower())]
             for pos in sorted(wanted, reverse=True):
                 if pos < len(spans):

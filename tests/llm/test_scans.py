@@ -93,3 +93,30 @@ def test_lines_that_only_begin_alike_are_no_heads(spark):
     assert {tuple(r) for r in scans.heads_and_numbers(frame).collect()} == {(10 + p, "first", "running_header") for p in range(1, 4)}
     kept = {r.chunk_id: r.text for r in scans.repaired(frame).collect()}
     assert all(kept[p].startswith("Results from perturbation theory show") for p in range(1, 5))
+
+
+def test_heads_and_numbers_on_any_chunk_of_a_page(spark):
+    """A page cut into chunks may show its foot on a chunk that is not its last one."""
+    rng, rows = random.Random(5), []
+    for p in range(1, 5):
+        rows.append((p, 1, 2 * p, p, "\n".join([*page(rng), "Annals of Modern Valleys", str(p)][: None if p > 1 else -2]), "x"))
+        rows.append((10 + p, 1, 2 * p + 1, p, "\n".join(page(rng)), "x"))
+    found = {tuple(r) for r in scans.noise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {(p, "page_number") for p in range(2, 5)}
+
+
+def test_marks_in_unknown_words_never_become_null(spark):
+    """A word with digits that no letters can replace is left as it is."""
+    rows = [(1, 1, 0, 1, "Sample b52a and w1nter and b0x.", "x"), (2, 2, 0, None, "a winter in winter and winter", "x"), (3, 3, 0, 1, "b52a", "x")]
+    out = {r.chunk_id: r.text for r in scans.repaired(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[1] == "Sample b52a and winter and box." and out[3] == "b52a"
+
+
+def test_ten_copies_of_a_corpus_are_read_alike(spark):
+    """Decisions rest on shares, so that copies under new ids give as many rows each."""
+    rows, _ = make()
+    rows = [r for r in rows if r[1] is not None]
+    once = {tuple(r) for r in scans.noise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    many = [(r[0] + 10_000 * k, r[1] + 1000 * k, *r[2:]) for k in range(10) for r in rows]
+    tenfold = {tuple(r) for r in scans.noise(spark.createDataFrame(many, SCHEMA)).collect()}
+    assert tenfold == {(c + 10_000 * k, x) for k in range(10) for c, x in once}
