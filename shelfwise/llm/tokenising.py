@@ -4,8 +4,8 @@ A long text is cut into chunks that overlap; the chunks are split into pre-token
 are stitched where the pre-token boundaries of both agree inside the overlap. The split reads only forward from
 where it stands, so that after one common boundary both go on alike; the pieces between such boundaries are then
 encoded on their own, and their ids stand in order. A boundary after white space is passed over, because a run
-of white space splits by what follows it. Where two chunks have no common boundary (one run of letters longer than
-the overlap), the whole text is encoded as one piece, with the same ids. Decoding concatenates the raw bytes.
+of white space splits by what follows it. Chunks without a common boundary (one run of letters longer than the
+overlap goes through both) are encoded as one piece, they alone. Decoding concatenates the raw bytes.
 
 Defined results: null and empty texts give an empty list; special tokens are never formed, their strings are
 ordinary text; exact repeats of rows stay.
@@ -32,7 +32,7 @@ VOCABULARY = os.environ.get("SHELFWISE_VOCABULARY", "/opt/tokenizers/byte_bpe_50
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Characters of a chunk, and of the overlap with the next one.
-CHUNK, OVERLAP = 1 << 18, 1 << 12
+CHUNK, OVERLAP = 1800, 240
 
 _ready: dict[str, object] = {}
 
@@ -101,21 +101,16 @@ def encode(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         .withColumn("__meets", F.when(F.col("__k") < F.col("__n") - 1, meets("__part")))
     )
     in_order = W.Window.partitionBy("__row").orderBy("__k")
-    parts = parts.withColumn("__from", F.lag("__meets").over(in_order)).withColumn(
-        "__torn", F.max((F.col("__k") < F.col("__n") - 1) & F.col("__meets").isNull()).over(W.Window.partitionBy("__row"))
-    )
-    start = F.coalesce(F.col("__from") - chunk, F.lit(0))
-    own = F.when(F.col("__k") == F.col("__n") - 1, F.length("__part")).when(F.col("__torn"), F.lit(chunk)).otherwise(F.col("__meets"))
-    pieces = parts.withColumn("__piece", F.when(F.col("__torn"), F.col("__part").substr(F.lit(1), own)).otherwise(F.col("__part").substr(start + 1, own - start)))
-    piece_ids = pieces.where(~F.col("__torn")).repartition("__row", "__k").select(id_col, "__row", "__k", ids("__piece").alias("ids"))
-    stitched = piece_ids.groupBy("__row").agg(F.first(id_col).alias(id_col), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__k", "ids"))), lambda x: x["ids"])).alias("ids")).select(id_col, "ids")
-    torn = (
-        pieces.where("__torn")
-        .groupBy("__row")
-        .agg(F.first(id_col).alias(id_col), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__piece"))), lambda x: x["__piece"]), "").alias("__text"))
-        .select(id_col, ids("__text").alias("ids"))
-    )
-    return encoded.unionByName(stitched).unionByName(torn)
+    before = F.lag("__meets").over(in_order)
+    met = F.coalesce(F.sum(F.col("__meets").isNotNull().cast("int")).over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(before - chunk, F.lit(0))
+    end = F.when(F.col("__k") == F.col("__n") - 1, F.length("__part")).otherwise(F.coalesce("__meets", F.lit(chunk)))
+    cuts = parts.select(id_col, "__row", "__k", "__part", start.alias("__start"), end.alias("__end"), met.alias("__piece"))
+    # what lies between two common boundaries is one piece, as a rule of one chunk
+    pieces = cuts.groupBy("__row", "__piece").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("__k", F.col("__part").substr(F.col("__start") + 1, F.col("__end") - F.col("__start")).alias("text")))).alias("__parts"))
+    piece_ids = pieces.repartition("__row", "__piece").select(id_col, "__row", "__piece", ids(F.array_join(F.transform("__parts", lambda x: x["text"]), "")).alias("ids"))
+    stitched = piece_ids.groupBy("__row").agg(F.first(id_col).alias(id_col), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__piece", "ids"))), lambda x: x["ids"])).alias("ids")).select(id_col, "ids")
+    return encoded.unionByName(stitched)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, as_col: str = "decoded") -> DataFrame:
