@@ -61,3 +61,21 @@ def test_empty(spark):
     none = spark.createDataFrame([], "passage_id long, text string")
     assert leakage.leaks(frame, none).collect() == []
     assert leakage.leaks(frame.limit(0), none).collect() == []
+
+
+def test_long_foreign_sentence_and_answers(spark):
+    """One foreign sentence may have any length, two long ones part the stretch; answers are told where they follow."""
+    rng = random.Random(9)
+    vocabulary = [a + b for a in "ka te li mo su ra ne po".split() for b in "ban dor fil gun mas ret sol vik".split()]
+    w = passage(rng, vocabulary).split()
+    long = lambda: passage(rng, vocabulary, 200)
+    halves = " ".join(w[:14]), " ".join(w[14:28])
+    docs = [
+        (1, f"{halves[0]}. {long()}. {halves[1]}"),
+        (2, f"{halves[0]}. {long()}. {long()}. {long()}. {halves[1]}"),
+        (3, f"{' '.join(w)} Blue Whale"),
+        (4, f"{' '.join(w)} {long()} blue whale"),
+    ]
+    held = spark.createDataFrame([(7, " ".join(w), "Blue whale.")], "passage_id long, text string, answer string")
+    got = {r.doc_id: r.answer for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), held).collect()}
+    assert got == {1: False, 3: True, 4: False}
