@@ -6,8 +6,9 @@ the words around it, and a dynamic programme over segment ends finds the best se
 boundaries and kinds are chosen jointly. The weights are fitted by maximum conditional likelihood (the same dynamic
 programme, in sums) on labelled sentences that ``privacy_examples`` writes, a bounded sample of ``SAMPLE`` sentences.
 
-The lexicon of given names is learnt from the authors' table: the spellings seen at least ``SEEN`` times, at most
-the ``LEXICON`` most frequent, as features of the classifier.
+The lexicon of given names is learnt from the authors' table: every word that stands as a given name at least as
+often as in a family name, however rare. It is kept as a Bloom filter of ``LEXICON_BITS`` bits, which Spark fills, so
+that its size has a bound while no name is left out. The sentences are filled with a sample of these names.
 
 Defined results: null texts stay null, empty texts empty; a document without mentions keeps its text; repeats of a
 row give the same mentions, which ``mentions`` returns once.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from math import exp, log1p
 
 import pandas as pd
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import cut, spread
 
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
-#: Sentences the field is fitted on; rounds of fitting; given names kept and how often each must be seen.
-SAMPLE, ROUNDS, LEXICON, SEEN = 3000, 10, 50_000, 3
+#: Sentences the field is fitted on; rounds of fitting; the most frequent given names that fill them.
+SAMPLE, ROUNDS, SAMPLE_NAMES = 3000, 10, 5000
+#: Bits of the lexicon's filter (8 MB at most) and bits set for each name: one in a hundred strange words passes at seven million names.
+LEXICON_BITS, HASHES = 1 << 26, 4
 
 _ready: dict[str, object] = {}
 
@@ -77,6 +80,8 @@ def _patterns() -> dict:
             },
             "german": ("str.", "straße", "strasse", "weg", "platz", "gasse", "allee", "ufer", "damm", "steig", "markt", "hof"),
             "ring": re.compile(r"ring\s[0-9]"),
+            # full stops after short words are those of abbreviations
+            "ends": re.compile(r"(?<=\w{3}[.!?])\s+|\n\s*\n"),
             "word": regex.compile(r"[\p{L}\p{N}#&]+|[:;()<>/.,?!@+\"“”-]"),
             "digits": regex.compile(r"\d"),
             "letters": regex.compile(r"\p{L}"),
@@ -101,6 +106,24 @@ NOT_NAMES = frozenset(
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame herr frau m mme mlle sr sra srta don doña ing dipl".split())
 
 
+class Lexicon:
+    """The given names, as a Bloom filter: words of 64 bits by their number."""
+
+    def __init__(self, words: dict[int, int]):
+        self.words, self.seen = words, {}
+
+    def __contains__(self, name: str) -> bool:
+        if name not in self.seen:
+            import xxhash
+
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            data = name.encode()
+            bits = (xxhash.xxh64_intdigest(data, seed=k) % LEXICON_BITS for k in range(HASHES))
+            self.seen[name] = all(self.words.get(b >> 6, 0) >> (b & 63) & 1 for b in bits)
+        return self.seen[name]
+
+
 def _is_initial(token: str) -> bool:
     return len(token.rstrip(".")) == 1
 
@@ -108,7 +131,7 @@ def _is_initial(token: str) -> bool:
 class Proposer:
     """Candidate segments of a text, with the names of their features."""
 
-    def __init__(self, given: frozenset[str]):
+    def __init__(self, given: Container[str]):
         self.given, self.p = given, _patterns()
 
     def known(self, token: str) -> bool:
@@ -121,10 +144,20 @@ class Proposer:
         before, after = ["^"] * (3 - len(before)) + [mask(w) for w in before], [mask(w) for w in after] + ["$"] * (2 - len(after))
         return [f"l1={before[2]}", f"l2={before[1]}", f"l21={before[1]} {before[2]}", f"l3={before[0]}", f"r1={after[0]}", f"r12={after[0]} {after[1]}", "l=" + ("word" if before[2].isalpha() else before[2])]
 
+    def _without_capitals(self, text: str) -> Iterator[tuple[int, int]]:
+        """Sentences and paragraphs that hold letters, but no capital."""
+        at = 0
+        for m in self.p["ends"].finditer(text):
+            if text[at : m.start()].islower():
+                yield at, m.start()
+            at = m.end()
+        if text[at:].islower():
+            yield at, len(text)
+
     def _names(self, text: str) -> Iterator[tuple[int, int, str, list[str]]]:
         pieces = [(m, False) for m in self.p["run"].finditer(text)]
-        if text.islower():
-            pieces += [(m, True) for m in self.p["run_lower"].finditer(text)]
+        for start, end in self._without_capitals(text):
+            pieces += [(m, True) for m in self.p["run_lower"].finditer(text, start, end)]
         for run, lower in pieces:
             tokens, at = [], run.start()
             for part in run.group().split():
@@ -198,6 +231,11 @@ class Proposer:
         if 8 <= digits <= 12 and lead not in "+(":
             yield start, end, "id_number", names
 
+    def _lower_around(self, text: str, start: int, end: int) -> bool:
+        """Whether the words around, a line of text to each side, are words of sentences without a capital."""
+        around = text[max(0, start - 100) : end + 100]
+        return around.islower() and not NOT_NAMES.isdisjoint(around.split())
+
     def candidates(self, text: str) -> list[tuple[int, int, str, list[str]]]:
         """(start, end, kind, features), in order of their ends."""
         import re
@@ -221,8 +259,8 @@ class Proposer:
                 continue
             for m in pattern.finditer(text, overlapped=k == 1):
                 own = m.group()
-                if k == 1 and not (own.isupper() or own.islower() and not NOT_NAMES.isdisjoint(text[:200].split()) and text[:200].islower()):
-                    continue  # without capitals only where the whole text has none
+                if k == 1 and not (own.isupper() or own.islower() and self._lower_around(text, m.start(), m.end())):
+                    continue  # without capitals only where the text around has none
                 found.append((m.start(), m.end(), "street_address", [f"way={k}", f"words={min(len(own.split()), 6)}", f"case={own.islower()}{own.isupper()}"] + self._around(text, m.start(), m.end())))
         return sorted(found, key=lambda c: (c[1], c[0]))
 
@@ -292,18 +330,32 @@ class Field:
                             self.weights[f] = w + rate * g / squares[f] ** 0.5
 
 
-def given_names(authors: DataFrame, seen: int = SEEN, most: int = LEXICON) -> list[str]:
-    """Given names of at least three letters, by how often the authors' rows show them."""
-    parts = F.explode(F.split(F.lower("given_name"), r"(?U)[\s.,-]+"))
-    rows = authors.where("given_name is not null").select(parts.alias("name")).where(F.length("name") >= 3)
-    return [r.name for r in rows.groupBy("name").count().where(F.col("count") >= seen).orderBy(F.desc("count"), "name").limit(most).collect()]
+def given_names(authors: DataFrame) -> DataFrame:
+    """(name, n): words of at least three letters that stand as a given name, at least as often as in a family name."""
+    parts = lambda c, given: F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[\s.,-]+"), lambda x: F.struct(x.alias("name"), F.lit(given).alias("given")))
+    rows = authors.select(F.explode(F.concat(parts("given_name", 1), parts("family_name", 0))).alias("x")).select("x.*").where(F.length("name") >= 3)
+    return rows.groupBy("name").agg(F.sum("given").alias("n"), F.count(F.lit(1)).alias("all")).where((F.col("n") > 0) & (F.col("n") * 2 >= F.col("all"))).select("name", "n")
+
+
+def lexicon(names: DataFrame) -> dict[int, int]:
+    """The filter of the names: its words of 64 bits that are not zero, by their number."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def bits(values: pd.Series) -> pd.Series:
+        import xxhash
+
+        return values.map(lambda x: [xxhash.xxh64_intdigest(x.casefold().encode(), seed=k) % LEXICON_BITS for k in range(HASHES)])
+
+    spots = names.select(F.explode(bits("name")).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.col("bit").bitwiseAND(63).cast("int").alias("at"))
+    filled = spots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
+    return {r.word: r.bits & (1 << 64) - 1 for r in filled.collect()}  # at most LEXICON_BITS / 64 rows
 
 
-def fitted(given: list[str], sample: int = SAMPLE) -> Field:
-    """A field fitted on ``sample`` labelled sentences."""
+def fitted(given: list[str], known: Container[str] | None = None, sample: int = SAMPLE) -> Field:
+    """A field fitted on ``sample`` labelled sentences filled with the names ``given``; ``known`` is the whole lexicon."""
     from .privacy_examples import sentences
 
-    proposer, field = Proposer(frozenset(x.casefold() for x in given)), Field()
+    proposer, field = Proposer(frozenset(x.casefold() for x in given) if known is None else known), Field()
     field.fit([(proposer.candidates(text), gold) for text, gold in sentences(given, sample)])
     return field
 
@@ -313,14 +365,16 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
 
 def find(documents: DataFrame, authors: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text, entities array<struct<start, end, kind, found>>) of every document."""
-    given = given_names(authors)
-    weights = {f: round(w, 4) for f, w in fitted(given).weights.items() if abs(w) > 1e-3}
-    sent = documents.sparkSession.sparkContext.broadcast((given, weights))
+    names, _ = cut(given_names(authors), "given_names")
+    words = lexicon(names)
+    sample = [r.name for r in names.orderBy(F.desc("n"), "name").limit(SAMPLE_NAMES).collect()]
+    weights = {f: round(w, 4) for f, w in fitted(sample, Lexicon(words)).weights.items() if abs(w) > 1e-3}
+    sent = documents.sparkSession.sparkContext.broadcast((words, weights))
 
     @F.pandas_udf(_FOUND)
     def entities(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names, learnt = sent.value
-        proposer, field = Proposer(frozenset(names)), Field(learnt)
+        filled, learnt = sent.value
+        proposer, field = Proposer(Lexicon(filled)), Field(learnt)
 
         def one(text: str | None) -> list:
             return [(s, e, k, text[s:e]) for s, e, k in field.decode(proposer.candidates(text))] if text else []

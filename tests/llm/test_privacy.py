@@ -50,7 +50,7 @@ TEXT = (
 
 
 def test_mentions_and_placeholders(spark):
-    authors = spark.createDataFrame([(i, g.capitalize()) for i, g in enumerate(GIVEN * 4)], "author_id long, given_name string")
+    authors = spark.createDataFrame([(i, None, g.capitalize()) for i, g in enumerate(GIVEN * 4)], "author_id long, family_name string, given_name string")
     rows = [(1, TEXT, "x"), (1, TEXT, "x"), (2, None, "x"), (3, "", "x"), (4, "Nothing to see.", "x"), (5, "word " * 50_000 + "Davor Getebrezuki.", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, entities string")
     got = {tuple(r) for r in privacy.mentions(docs, authors).collect()}
@@ -68,3 +68,22 @@ def test_mentions_and_placeholders(spark):
     assert out[2] is None and out[3] == "" and out[4] == "Nothing to see."
     assert privacy.mentions(docs.limit(0), authors).collect() == []
     assert privacy.mentions(docs.where("doc_id = 3"), authors.limit(0)).collect() == []
+
+
+def test_case_is_judged_around_the_candidate(field):
+    """A capital somewhere in a text does not hide names and addresses of a sentence without any."""
+    proposer = privacy.Proposer(frozenset(GIVEN))
+    text = "The Annual Report was late. we thank davor pemilizuki for the loan of the notes.\n\nparcel label: flora mivafekoski / 25 ferry crescent / tudirwick."
+    found = {text[c[0] : c[1]] for c in proposer.candidates(text)}
+    assert {"davor pemilizuki", "flora mivafekoski", "25 ferry crescent"} <= found
+    assert "25 ferry crescent" not in {"Bay 12 HOLDS 25 ferry crescent X"[c[0] : c[1]] for c in proposer.candidates("Bay 12 HOLDS 25 ferry crescent X")}
+
+
+def test_lexicon_holds_every_given_name(spark):
+    """Rare names count as frequent ones do; words that are family names as a rule do not."""
+    rows = [("Miller", "Xaverine")] + [("Miller", "Bruno")] * 40 + [("Bruno", "Miller"), (None, None), ("", "  ")] + [(f"f{k}x", f"g{k}y") for k in range(500)]
+    names = privacy.given_names(spark.createDataFrame(rows, "family_name string, given_name string"))
+    assert {"xaverine", "bruno"} | {f"g{k}y" for k in range(500)} == {r.name for r in names.collect()}
+    lexicon = privacy.Lexicon(privacy.lexicon(names))
+    assert all(f"g{k}y" in lexicon for k in range(500)) and "xaverine" in lexicon
+    assert sum(f"other{k}" in lexicon for k in range(2000)) < 5
