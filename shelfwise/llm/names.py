@@ -1,15 +1,20 @@
 """Variant spellings of names typed by people, linked to persons and organisations.
 
 1. Every row is read into family name, given name, initials, or the words of an organisation's name, whatever the
-   order, titles, case, accents, look-alike letters and additions.
-2. Distinct spellings of family names, given names and organisations' words become vectors of weighted character
-   trigrams. A sparse join finds pairs of similar vectors: spellings are joined on the rarest trigrams of each that
-   carry the weight a similar pair must share (a prefix filter, without loss), so that common trigrams, which a
-   third of all names may hold, join nothing. Pairs that are similar and one slip of the keyboard apart form groups
-   by average linkage; each spelling then has the most frequent one of its group.
-3. Rows with one ORCID (checked by its check digit) are one person. The other rows take the person of their family
-   name, given name and middle initial; nicknames are learnt from rows with one ORCID; bare initials are linked
-   where one person alone fits.
+   order, titles, case, accents, look-alike letters and additions. Nicknames are learnt: a rarer given name that
+   stands beside one and the same other name under one ORCID, or in one family, far more often than by chance.
+2. Whole names become vectors of weighted character n-grams: pairs of neighbouring letters, of letters around one, and
+   threes, each without order, so that a slip of the keyboard changes few of them. A person's vector is that of the family
+   name beside that of the given name, an organisation's holds all its words. A sparse join finds all pairs
+   of names whose cosine reaches the threshold: it joins on the rarest n-grams that carry the weight a similar pair
+   must share (a prefix filter, without loss), for persons on one of the family and one of the given name at once.
+   Every partner above the threshold is kept, not the top n alone: a cap would lose links.
+3. The pairs are grouped by average linkage of the cosines, names weighing as many as their rows. The average between two
+   groups is the product of their mean vectors, so that only linked groups are compared. Components of
+   the pairs are linked each in a task while they have at most ``COMPONENT`` names; larger ones by rounds of joins
+   that merge mutual nearest neighbours, which gives the same groups.
+4. Rows with one ORCID (checked by its check digit) are one person. The other rows take the person of their group of
+   names and middle initial; bare initials are linked where one person alone has a similar family name.
 
 All of it works on distinct spellings and keys, aggregated before they are shuffled; only the result, which by its
 definition is all pairs inside an entity, grows with the square of an entity's rows.
@@ -20,9 +25,9 @@ id count once; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,29 +37,19 @@ from pyspark.sql import window as W
 from ..session import cut
 from .groups import hash_to_min
 
-#: Least cosine similarity of two spellings of one word, and least average similarity inside a group.
-SIMILAR, LINKAGE = 0.2, 0.3
-#: Rows with one ORCID that must show a nickname beside a name.
-NICKNAME_SEEN = 2
+#: Shares of family and given name in the cosine of two persons' names.
+FAMILY, GIVEN = 0.6, 0.4
+#: Least average cosine inside a group of persons' names, and of organisations' names.
+PERSONS, ORGANISED = 0.75, 0.75
+#: Names of one component that are linked in one task.
+COMPONENT = 5000
+#: A nickname stands beside its name in so many groups at least, in this share of its groups, so many times as often as by chance.
+NICKNAME_SEEN, NICKNAME_SHARE, NICKNAME_LIFT = 2, 0.15, 5
+#: By how much one person's family name must be nearer to a bare initial's than any other person's.
+MARGIN = 0.2
 
 #: Additions to names that are no part of them (fixed values).
 ADDITIONS = frozenset("dr prof professor mr mrs ms sir dame phd md msc ed eds editor jr sr junior senior ii iii iv hrsg herr frau".split())
-#: Short forms of given names (fixed values), used where the full name stands in the same family.
-NICKNAMES = {
-    "alex": "alexander", "sascha": "alexander", "xander": "alexander", "sandra": "alexandra", "al": "albert", "bert": "albert", "bertie": "albert", "tony": "anton", "toni": "anton", "bea": "beatrix",
-    "trixie": "beatrix", "ben": "benjamin", "benny": "benjamin", "biggi": "brigitta", "gitta": "brigitta", "lina": "carolina", "caro": "carolina", "chris": "christopher", "kit": "christopher", "topher": "christopher",
-    "dani": "daniela", "ela": "daniela", "nik": "dominik", "dom": "dominik", "dora": "dorothea", "thea": "dorothea", "ed": "edmund", "ned": "edmund", "ted": "edmund", "liz": "elisabeth", "lisa": "elisabeth",
-    "betty": "elisabeth", "elsa": "elisabeth", "emmi": "emilia", "mila": "emilia", "rico": "enrico", "erna": "ernestine", "fabi": "fabian", "fee": "felicitas", "feli": "felicitas", "ferdi": "ferdinand",
-    "nando": "ferdinand", "fred": "frederick", "freddie": "frederick", "rick": "frederick", "gabi": "gabriela", "gina": "georgina", "georgie": "georgina", "gus": "gustav", "gwen": "gwendolyn",
-    "wendy": "gwendolyn", "hanne": "hannelore", "lore": "hannelore", "harry": "harald", "hetty": "henrietta", "etta": "henrietta", "nacho": "ignacio", "iggy": "ignacio", "izzy": "isidor", "jon": "jonathan", "nathan": "jonathan",
-    "josie": "josephine", "jo": "josephine", "fina": "josephine", "jule": "julian", "kat": "katharina", "kathi": "katharina", "katja": "katharina", "rina": "katharina", "konni": "konrad", "lavi": "lavinia", "leo": "leonard", "len": "leonard",
-    "luda": "ludmila", "lucas": "lukas", "magda": "magdalena", "lena": "magdalena", "leni": "magdalena", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "rita": "margaret", "max": "maximilian",
-    "nadia": "nadezhda", "nadja": "nadezhda", "kolya": "nikolai", "niko": "nikolai", "tavi": "octavia", "otti": "ottilie", "tilly": "ottilie", "pat": "patricia", "tricia": "patricia", "patty": "patricia", "pip": "philippa",
-    "pippa": "philippa", "rafa": "rafael", "rafi": "rafael", "bob": "robert", "rob": "robert", "bobby": "robert", "ros": "rosalind", "roz": "rosalind", "linda": "rosalind", "sam": "samuel", "sammy": "samuel", "basti": "sebastian",
-    "seb": "sebastian", "bastian": "sebastian", "siggi": "sigrid", "tammy": "tamara", "mara": "tamara", "theo": "theodor", "teo": "theodor", "fedya": "theodor", "tobi": "tobias", "uli": "ulrich", "ulla": "ursula", "uschi": "ursula",
-    "val": "valentina", "tina": "valentina", "vik": "viktor", "vic": "viktor", "vitya": "viktor", "wally": "walburga", "burga": "walburga", "bill": "william", "will": "william", "billy": "william", "liam": "william", 
-    "winnie": "winifred", "freda": "winifred", "xen": "xenia", "yan": "yannick", "yola": "yolanda", "zach": "zacharias", "zack": "zacharias", "zdena": "zdenka",
-}
 #: Words of organisations' names and their common abbreviations (fixed values).
 ORGANISATIONS = {
     "institute": ("inst", "institut"), "university": ("univ", "uni"), "society": ("soc",), "laboratory": ("lab", "labs", "laboratories"), "observatory": ("obs",), "association": ("assn", "assoc", "ass"),
@@ -133,121 +128,226 @@ def _parsed(family: pd.Series, given: pd.Series, orcid: pd.Series) -> pd.DataFra
     return pd.DataFrame(rows, columns=["family", "given", "middle", "orcid", "words"])
 
 
-# --- similar spellings ------------------------------------------------------------------------------------
+# --- similar names ----------------------------------------------------------------------------------------
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Whether one letter added, dropped, changed or swapped with its neighbour turns ``a`` into ``b``."""
-    if abs(len(a) - len(b)) > 1 or a == b:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    x, y = a[k:], b[k:]
-    return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
+def ngrams(name: Column) -> Column:
+    """Letters of each padded word: neighbours, those around one letter, and threes, without their order."""
 
+    def of_word(word: Column) -> Column:
+        padded = F.concat(F.lit("^"), word, F.lit("$"))
+        ordered = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
+        last = F.length(padded)
+        twos = F.transform(F.sequence(F.lit(1), last - 1), lambda k: ordered(F.substring(padded, k, F.lit(2))))
+        around = F.transform(F.sequence(F.lit(1), last - 2), lambda k: F.concat(F.lit("_"), ordered(F.concat(F.substring(padded, k, F.lit(1)), F.substring(padded, k + 2, F.lit(1))))))
+        threes = F.transform(F.sequence(F.lit(1), last - 2), lambda k: F.concat(F.lit("3"), ordered(F.substring(padded, k, F.lit(3)))))
+        return F.concat(twos, around, threes)
 
-@F.pandas_udf(T.BooleanType())
-def _one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([one_slip(x, y) for x, y in zip(a, b)], dtype=bool)
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(name, " "), lambda w: w != ""), of_word)))
 
 
-def trigrams(word: Column) -> Column:
-    """Trigrams of the padded word, and its pairs of neighbouring letters in either order, which a swap leaves."""
-    padded = F.concat(F.lit("^"), word, F.lit("$"))
-    threes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.substring(padded, k, F.lit(3)))
-    twos = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda k: F.array_join(F.array_sort(F.split(F.substring(word, k, F.lit(2)), "")), ""))
-    return F.array_distinct(F.concat(threes, twos))
+def vectors(names: DataFrame, flat: bool = False) -> DataFrame:
+    """(name, gram, w, rest) of distinct ``name``s: unit vectors, and the weight that a gram and all more common ones carry.
 
+    Weights are the logarithm of an n-gram's rarity, or with ``flat`` its root.
+    """
+    grams, _ = cut(names.select("name", F.explode(ngrams(F.col("name"))).alias("gram")), "grams")
+    total = names.count()
+    rarity = F.log1p(F.lit(total) / F.col("df"))
+    weights = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", "df", (F.sqrt(rarity) if flat else rarity).alias("w"))
+    own = W.Window.partitionBy("name")
+    unit = grams.join(weights, "gram").withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
+    order = own.orderBy(F.desc("df"), "gram").rowsBetween(W.Window.unboundedPreceding, 0)
+    return cut(unit.select("name", "gram", "w", F.sum(F.col("w") * F.col("w")).over(order).alias("rest")), "unit")[0]
 
-def similar(words: DataFrame, least: float = SIMILAR, shift: int | None = None) -> DataFrame:
-    """(a, b, cosine) of words a < b whose trigram vectors are similar; ``words`` has distinct words.
 
-    With ``shift``, words are paired only on a trigram that stands at most so many places further in one of them,
-    and only if their lengths differ by no more: a slip of the keyboard moves letters by one place, and a trigram
-    that a third of all names hold then meets only those names that hold it in the same place.
-    """
-    grams = words.select("word", F.posexplode(trigrams(F.col("word"))).alias("pos", "gram"))
-    total = words.count()
-    weights = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", "df", F.sqrt(F.log1p(F.lit(total) / F.col("df"))).alias("w"))
-    vectors, _ = cut(grams.join(weights, "gram"), "vectors")
-    norms = vectors.groupBy("word").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = vectors.join(norms, "word").select("word", "pos", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
-    # what is left of a vector after its rarer trigrams: below ``least`` nothing similar can hide there
-    order = W.Window.partitionBy("word").orderBy(F.desc("df"), "gram")
-    unit, _ = cut(unit.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.Window.unboundedPreceding, 0))), "unit")
-    prefix = unit.where(F.col("rest") >= least * least).select("word", "pos", "gram")
-    if shift is None:
-        pairs = prefix.select("gram", F.col("word").alias("a")).join(prefix.select("gram", F.col("word").alias("b")), "gram")
-    else:
-        # pairs of neighbouring letters stand behind the trigrams: their places are counted from there
-        size = F.length("word")
-        placed = prefix.select("gram", "word", F.when(F.length("gram") == 3, F.col("pos")).otherwise(F.col("pos") - size).alias("pos"), size.alias("size"))
-        steps = F.array(*[F.lit(k) for k in range(-shift, shift + 1)])
-        moved = placed.select("gram", F.col("word").alias("a"), F.explode(F.transform(steps, lambda k: F.col("pos") + k)).alias("pos"), "size")
-        moved = moved.select("gram", "a", "pos", F.explode(F.transform(steps, lambda k: F.col("size") + k)).alias("size"))
-        pairs = moved.join(placed.withColumnRenamed("word", "b"), ["gram", "pos", "size"])
-    pairs = pairs.where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    left = unit.select(F.col("word").alias("a"), "gram", F.col("w").alias("wa"))
-    right = unit.select(F.col("word").alias("b"), "gram", F.col("w").alias("wb"))
-    return pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
-
-
-def average_linkage(n: int, pairs: list[tuple[int, int, float]], least: float = LINKAGE, rows: list[int] | None = None) -> list[int]:
-    """Group numbers of n items: the two groups of highest average similarity merge while it is ``least`` or more.
-
-    Averages are over the rows that items stand for, one each by default.
+def _prefix(unit: DataFrame, least: float) -> DataFrame:
+    """(name, gram): the rarer n-grams; what is left of a vector after them has nothing similar hidden in it."""
+    return unit.where(F.col("rest") >= least * least - 1e-9).select("name", "gram")
+
+
+def cosines(pairs: DataFrame, unit: DataFrame) -> DataFrame:
+    """(a, b, cosine) of pairs (a, b) of names."""
+    left = unit.select(F.col("name").alias("a"), "gram", F.col("w").alias("wa"))
+    right = unit.select(F.col("name").alias("b"), "gram", F.col("w").alias("wb"))
+    return pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+
+
+def similar(unit: DataFrame, least: float) -> DataFrame:
+    """(a, b, cosine) of all names a < b whose vectors have a cosine of ``least`` or more."""
+    prefix = _prefix(unit, least)
+    pairs = prefix.select("gram", F.col("name").alias("a")).join(prefix.select("gram", F.col("name").alias("b")), "gram").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return cosines(pairs, unit).where(F.col("cosine") >= least)
+
+
+def average_linkage(names: list[str], rows: list[int], vecs: list[dict[str, float]], near: list[tuple[int, int]], least: float) -> list[int]:
+    """Group numbers of names: the two groups of highest average cosine merge while it is ``least`` or more.
+
+    Averages are over the rows that names stand for; only groups with a pair ``near`` between them are compared.
+    Of equal averages the one between the smaller names comes first.
     """
-    sim = np.zeros((n, n))
-    for a, b, s in pairs:
-        sim[a, b] = sim[b, a] = s
-    size, group, alive = np.array(rows or [1] * n, float), list(range(n)), np.ones(n, bool)
-    while alive.sum() > 1:
-        masked = np.where(alive[:, None] & alive[None, :], sim, -1.0)
-        np.fill_diagonal(masked, -1.0)
-        a, b = divmod(int(masked.argmax()), n)
-        if masked[a, b] < least:
+    total = [{g: w * n for g, w in v.items()} for v, n in zip(vecs, rows)]
+    size, group, first = list(rows), list(range(len(rows))), list(names)
+    links: list[set[int]] = [set() for _ in rows]
+    for a, b in near:
+        links[a].add(b)
+        links[b].add(a)
+
+    def entry(a: int, b: int) -> tuple:
+        small, large = (total[a], total[b]) if len(total[a]) < len(total[b]) else (total[b], total[a])
+        mean = sum(w * large[g] for g, w in small.items() if g in large) / (size[a] * size[b])
+        return (-round(mean, 9), *sorted((first[a], first[b])), a, b, size[a], size[b])
+
+    heap = [entry(a, b) for a in range(len(rows)) for b in links[a] if a < b]
+    heapq.heapify(heap)
+    parent = list(range(len(rows)))
+    while heap:
+        mean, _, _, a, b, na, nb = heapq.heappop(heap)
+        if -mean < least:
             break
-        a, b = min(a, b), max(a, b)
-        sim[a] = sim[:, a] = (size[a] * sim[a] + size[b] * sim[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        alive[b] = False
-        group = [a if g == b else g for g in group]
+        if total[a] is None or total[b] is None or size[a] != na or size[b] != nb:
+            continue  # one of them has grown or gone since
+        parent[b] = a
+        for g, w in total[b].items():
+            total[a][g] = total[a].get(g, 0.0) + w
+        size[a] += nb
+        first[a] = min(first[a], first[b])
+        links[a] = (links[a] | links[b]) - {a, b}
+        total[b], links[b] = None, set()
+        for c in links[a]:
+            links[c].discard(b)
+            links[c].add(a)
+            heapq.heappush(heap, entry(a, c))
+    for k in range(len(rows)):
+        g = k
+        while parent[g] != g:
+            g = parent[g]
+        group[k] = g
     return group
 
 
-def canonical(words: DataFrame, least_letters: int) -> DataFrame:
-    """(word, name): the most frequent spelling of each word's group, for words that have another one.
-
-    ``words`` is (word, n). A spelling joins a group only by a pair one slip apart, so that the groups are a name
-    and its typing errors; average linkage parts chains.
+def _linked_by_rounds(nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(node, cluster) by average linkage in joins: in each round all mutual nearest neighbours merge."""
+    of = nodes.select("node", F.col("node").alias("cluster"), "n")
+    sums = nodes.select(F.col("node").alias("cluster"), "n", F.explode("vec").alias("x")).select("cluster", "x.gram", (F.col("x.w") * F.col("n")).alias("s"))
+    edges = pairs.select("a", "b")
+    while True:
+        of, _ = cut(of, "of")
+        sums, _ = cut(sums, "sums")
+        edges, _ = cut(edges, "edges")
+        size = of.groupBy("cluster").agg(F.sum("n").alias("size"))
+        left, right = (sums.select(F.col("cluster").alias(x), "gram", F.col("s").alias(f"s{x}")) for x in "ab")
+        dots = edges.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("dot"))
+        na, nb = (size.select(F.col("cluster").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+        means = dots.join(na, "a").join(nb, "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("mean")).where(F.col("mean") >= least)
+        both = means.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.struct((-F.col("mean")).alias("m"), "a", "b").alias("k")), F.struct(F.col("b").alias("v"), F.struct((-F.col("mean")).alias("m"), "a", "b").alias("k")))).alias("x")).select("x.*")
+        best = both.groupBy("v").agg(F.min("k").alias("k"))
+        merged, _ = cut(best.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select(F.col("b").alias("gone"), F.col("a").alias("into")), "merged")
+        if merged.isEmpty():
+            return of.select("node", "cluster")
+        into = lambda df, c: df.join(merged.select(F.col("gone").alias(c), "into"), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        of = into(of, "cluster")
+        sums = into(sums, "cluster").groupBy("cluster", "gram").agg(F.sum("s").alias("s"))
+        edges = into(into(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked(nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(node, name): the most frequent node of each node's group, for nodes that have a partner.
+
+    ``nodes`` is (node, n, vec array<struct<gram, w>>), ``pairs`` (a, b) of similar nodes, a < b.
     """
-    words, _ = cut(words.where("word is not null"), "spellings")
-    close = similar(words.where(F.length("word") >= least_letters), shift=1).where(_one_slip("a", "b"))
-    near = close.join(words.select(F.col("word").alias("a"), F.col("n").alias("na")), "a").join(words.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
-    # of two frequent spellings neither is a typing error of the other
-    near = near.where(F.least("na", "nb") * 3 <= F.greatest("na", "nb") + 3)
-    near, _ = cut(near.withColumn("ia", F.xxhash64("a")).withColumn("ib", F.xxhash64("b")), "near")
-    parts = hash_to_min(near.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    edges = near.join(parts.select(F.col("id").alias("ia"), "group_id"), "ia").select("group_id", "a", "b", "na", "nb", "cosine")
+    ids, _ = cut(pairs.select("a", "b", F.xxhash64("a").alias("ia"), F.xxhash64("b").alias("ib")), "near")
+    parts = hash_to_min(ids.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
+    sizes = parts.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+    parts, _ = cut(parts.join(sizes, "group_id"), "parts")
+    near = ids.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.lit(None).cast("string").alias("other")))).alias("x")).select("x.*")
+    small = parts.where(F.col("size") <= COMPONENT).select(F.col("id"), "group_id")
+    rows = near.groupBy("node").agg(F.collect_list("other").alias("others")).join(nodes, "node")
+    rows = rows.withColumn("id", F.xxhash64("node")).join(small, "id").select("group_id", "node", "n", "others", F.col("vec.gram").alias("grams"), F.col("vec.w").alias("weights"))
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(part.a, part.na)) | dict(zip(part.b, part.nb))
-        names = sorted(count, key=lambda w: (-count[w], w))
-        grams = [{f"^{w}$"[k : k + 3] for k in range(len(w))} | {"".join(sorted(w[k : k + 2])) for k in range(len(w) - 1)} for w in names]
-        pairs = [(a, b, len(grams[a] & grams[b]) / (len(grams[a]) * len(grams[b])) ** 0.5) for a in range(len(names)) for b in range(a)]
-        groups = average_linkage(len(names), pairs, rows=[count[w] for w in names])
-        return pd.DataFrame({"word": names, "name": [names[g] for g in groups]})
+        part = part.sort_values("node", ignore_index=True)
+        at = {w: k for k, w in enumerate(part.node)}
+        close = [(k, at[o]) for k, others in enumerate(part.others) for o in others]
+        groups = average_linkage(list(part.node), [int(n) for n in part.n], [dict(zip(g, w)) for g, w in zip(part.grams, part.weights)], close, least)
+        return pd.DataFrame({"node": part.node, "cluster": [part.node[g] for g in groups]})
 
-    return edges.groupBy("group_id").applyInPandas(group, "word string, name string").where("word <> name")
+    clusters = rows.groupBy("group_id").applyInPandas(group, "node string, cluster string")
+    large = parts.where(F.col("size") > COMPONENT)
+    if not large.isEmpty():
+        big = nodes.withColumn("id", F.xxhash64("node")).join(large.select("id"), "id", "left_semi").drop("id")
+        clusters = clusters.unionByName(_linked_by_rounds(big, ids.withColumn("id", F.col("ia")).join(large.select("id"), "id", "left_semi"), least))
+    clusters, _ = cut(clusters.join(nodes.select("node", "n"), "node"), "clusters")
+    names = clusters.groupBy("cluster").agg(F.max_by("node", F.struct("n", "node")).alias("name"))
+    return clusters.join(names, "cluster").select("node", "name")
+
+
+def _vec(unit: DataFrame, prefix: str, share: float) -> DataFrame:
+    """(name, vec): the n-grams of each name with their weights, as one block of a longer vector."""
+    return unit.groupBy("name").agg(F.collect_list(F.struct(F.concat(F.lit(prefix), "gram").alias("gram"), (F.col("w") * share**0.5).alias("w"))).alias("vec"))
+
+
+def _both_ways(near: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b, cosine) in both directions, each name with itself as well."""
+    turned = near.select(F.explode(F.array(F.struct("a", "b", "cosine"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))).alias("x")).select("x.*")
+    return turned.unionByName(names.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("cosine")))
+
+
+def person_names(names: DataFrame, families: DataFrame, near: DataFrame, least: float = PERSONS) -> DataFrame:
+    """(family, given, to_family, to_given): the most frequent spelling of each whole name that has similar ones.
+
+    ``names`` is (family, given, n), ``families`` the vectors of family names, ``near`` their similar pairs in both ways.
+    """
+    givens = vectors(names.select(F.col("given").alias("name")).distinct(), flat=True)
+    # no pair can reach the threshold without so much of each part
+    keys = _prefix(givens, (least - FAMILY) / GIVEN).select(F.col("name").alias("given"), "gram")
+    own = names.select(F.concat_ws("|", "family", "given").alias("node"), "family", "given", "n")
+    keyed, _ = cut(own.select("node", "family", "given").join(keys, "given"), "keyed")
+    left = keyed.select(F.col("node").alias("a"), F.col("given").alias("ga"), F.col("family").alias("fa"), "gram").join(near.select(F.col("a").alias("fa"), F.col("b").alias("fb"), F.col("cosine").alias("cf")), "fa")
+    right = keyed.select(F.col("node").alias("b"), F.col("given").alias("gb"), F.col("family").alias("fb"), "gram")
+    pairs, _ = cut(left.join(right, ["fb", "gram"]).where(F.col("a") < F.col("b")).groupBy("a", "b", "ga", "gb").agg(F.max("cf").alias("cf")), "name_pairs")
+    other = pairs.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    cg = cosines(other, givens).select(F.col("a").alias("ga"), F.col("b").alias("gb"), F.col("cosine").alias("cg"))
+    whole = pairs.join(cg, ["ga", "gb"], "left").where(FAMILY * F.col("cf") + GIVEN * F.when(F.col("ga") == F.col("gb"), 1.0).otherwise(F.coalesce("cg", F.lit(0.0))) >= least)
+    vec_f, vec_g = _vec(families, "f", FAMILY), _vec(givens, "g", GIVEN)
+    nodes = own.join(vec_f.select(F.col("name").alias("family"), F.col("vec").alias("vf")), "family").join(vec_g.select(F.col("name").alias("given"), F.col("vec").alias("vg")), "given")
+    nodes, _ = cut(nodes.select("node", "n", F.concat("vf", "vg").alias("vec")), "nodes")
+    out = linked(nodes, whole.select("a", "b"), least).where("node <> name")
+    part = lambda c, k: F.element_at(F.split(c, r"\|"), k)
+    return out.select(part("node", 1).alias("family"), part("node", 2).alias("given"), part("name", 1).alias("to_family"), part("name", 2).alias("to_given"))
+
+
+def nicknames(people: DataFrame) -> DataFrame:
+    """(nick, name): given names that stand beside one other name under one ORCID, or in one family, again and again.
+
+    In each such unit the most frequent given name is the one the others stand beside, so that a unit with very
+    many names gives as many pairs, not all pairs.
+    """
+    full = people.where((F.length("given") > 1) & F.col("given").isNotNull())
+    units = full.select("given", F.explode(F.array(F.concat(F.lit("f "), "family"), F.concat(F.lit("o "), "orcid"))).alias("unit")).where(F.col("unit").isNotNull())
+    units, _ = cut(units.groupBy("unit", "given").agg(F.count(F.lit(1)).alias("n")), "units")
+    main = units.groupBy("unit").agg(F.max_by("given", F.struct("n", "given")).alias("name"))
+    total = main.count()
+    frequent = units.groupBy("given").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("units"))
+    seen = units.join(main, "unit").where("given <> name").groupBy(F.col("given").alias("nick"), "name").agg(F.count(F.lit(1)).alias("seen"))
+    known = seen.where(F.col("seen") >= NICKNAME_SEEN).join(frequent.select(F.col("given").alias("nick"), F.col("rows").alias("a"), F.col("units").alias("in")), "nick")
+    known = known.join(frequent.select(F.col("given").alias("name"), F.col("rows").alias("b"), F.col("units").alias("of")), "name")
+    share = F.col("seen") / F.col("in")
+    fit = known.where((F.col("a") < F.col("b")) & (share >= NICKNAME_SHARE) & (share * total >= F.col("of") * NICKNAME_LIFT))
+    return fit.groupBy("nick").agg(F.max_by("name", F.struct("seen", "b", "name")).alias("name"))
 
 
 # --- entities ---------------------------------------------------------------------------------------------
 
 
-def _renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
-    names = names.select(F.col("word").alias(column), F.col("name").alias("__name"))
-    return rows.join(names, column, "left").withColumn(column, F.coalesce("__name", column)).drop("__name")
+def organisations(rows: DataFrame) -> DataFrame:
+    """(id, entity) of the rows that are read as words of an organisation's name."""
+    keyed = rows.where("words is not null").select("id", F.array_join("words", " ").alias("node"))
+    names, _ = cut(keyed.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "org_names")
+    unit = vectors(names.select(F.col("node").alias("name")))
+    nodes = names.join(_vec(unit, "o", 1.0).withColumnRenamed("name", "node"), "node")
+    groups = linked(nodes, similar(unit, ORGANISED).select("a", "b"), ORGANISED)
+    return keyed.join(groups, "node", "left").select("id", F.concat(F.lit("o "), F.coalesce("name", "node")).alias("entity"))
 
 
 def entities(authors: DataFrame) -> DataFrame:
@@ -255,17 +355,6 @@ def entities(authors: DataFrame) -> DataFrame:
     rows = authors.where("author_id is not null").select("author_id", "family_name", "given_name", "orcid").dropDuplicates(["author_id"])
     rows, _ = cut(rows.select(F.col("author_id").cast("long").alias("id"), _parsed("family_name", "given_name", "orcid").alias("p")).select("id", "p.*"), "parsed")
 
-    # organisations: the sorted words, abbreviations and typing errors resolved
-    words = rows.where("words is not null").select("id", F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts, _ = cut(counts, "org_words")
-    long = counts.where(F.length("word") >= 6).select(F.col("word").alias("name"), F.col("n").alias("m"), F.explode(F.transform(F.sequence(F.lit(3), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("word"))
-    cut_off = counts.join(long, "word").where(F.col("m") >= F.col("n")).groupBy("word").agg(F.max_by("name", F.struct("m", "name")).alias("name"))
-    whole, _ = cut(_renamed(words, "word", cut_off), "whole_words")
-    typed = canonical(whole.groupBy("word").agg(F.count(F.lit(1)).alias("n")), 5)
-    organised = _renamed(whole, "word", typed).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("key"))
-    organised = organised.select("id", F.concat(F.lit("o "), "key").alias("entity"))
-
     # persons: which of two names is the family name, by where each stands as a rule
     people = rows.where("words is null and family is not null").drop("words")
     stands = people.select(F.explode(F.array(F.struct(F.col("family").alias("word"), F.lit(1).alias("f"), F.lit(0).alias("g")), F.struct(F.col("given").alias("word"), F.lit(0).alias("f"), F.lit(1).alias("g")))).alias("x")).select("x.*").where("word is not null")
@@ -278,45 +367,27 @@ def entities(authors: DataFrame) -> DataFrame:
         "id", F.when(swapped, F.col("given")).otherwise(F.col("family")).alias("family"), F.when(swapped, F.col("family")).otherwise(F.col("given")).alias("given"), "middle", "orcid"
     )
     people, _ = cut(people, "people")
-    people = _renamed(people, "family", canonical(people.groupBy(F.col("family").alias("word")).agg(F.count(F.lit(1)).alias("n")), 5))
-    full = F.length("given") > 1
-    people = _renamed(people, "given", canonical(people.where(full).groupBy(F.col("given").alias("word")).agg(F.count(F.lit(1)).alias("n")), 4))
-    people, _ = cut(people, "named")
-
-    # a double family name is that of the person who has its first part alone
-    single = people.where(full & ~F.col("family").contains(" ")).select(F.col("family").alias("part"), "given").distinct().withColumn("is", F.lit(True))
-    people = people.withColumn("part", F.substring_index("family", " ", 1)).join(single, ["part", "given"], "left")
-    people = people.withColumn("family", F.when(F.col("is"), F.col("part")).otherwise(F.col("family"))).drop("part", "is")
-
-    # short forms of full names in the same family
-    table = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
-    present = people.where(full).select("family", F.col("given").alias("formal")).distinct().withColumn("is", F.lit(True))
-    people = people.withColumn("formal", F.coalesce(table[F.col("given")], F.lit(""))).join(present, ["family", "formal"], "left")
-    people = people.withColumn("given", F.when(F.col("is"), F.col("formal")).otherwise(F.col("given"))).drop("formal", "is")
-    people, _ = cut(people, "formal")
-
-    # nicknames: the rarer of two names that stand under one ORCID again and again
-    givens = people.where(full).groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    of_one = people.where(full & F.col("orcid").isNotNull()).select("orcid", "given").distinct()
-    both = of_one.select("orcid", F.col("given").alias("nick")).join(of_one.select("orcid", F.col("given").alias("name")), "orcid").where("nick <> name").groupBy("nick", "name").agg(F.count(F.lit(1)).alias("seen"))
-    known = both.join(givens.select(F.col("given").alias("nick"), F.col("n").alias("a")), "nick").join(givens.select(F.col("given").alias("name"), F.col("n").alias("b")), "name")
-    learnt = known.where((F.col("seen") >= NICKNAME_SEEN) & (F.col("a") < F.col("b"))).groupBy("nick").agg(F.max_by("name", F.struct("seen", "b", "name")).alias("name"))
-    people = _renamed(people, "given", learnt.select(F.col("nick").alias("word"), "name"))
+
+    # nicknames stand for the name they are short for
+    learnt = nicknames(people).select(F.col("nick").alias("given"), F.col("name").alias("formal"))
+    people = people.join(learnt, "given", "left").withColumn("given", F.coalesce("formal", "given")).drop("formal").withColumn("full", F.coalesce(F.length("given") > 1, F.lit(False)))
     people, _ = cut(people, "nicknamed")
 
-    # a short form that begins a name of the same family
-    forms = people.where(full).groupBy("family", "given").agg(F.count(F.lit(1)).alias("n"))
-    starts = forms.where(F.length("given") >= 5).select("family", F.col("given").alias("name"), F.col("n").alias("m"), F.explode(F.transform(F.sequence(F.lit(3), F.length("given") - 2), lambda k: F.substring("given", F.lit(1), k))).alias("given"))
-    short = forms.join(starts, ["family", "given"]).groupBy("family", "given").agg(F.count(F.lit(1)).alias("fit"), F.first("name").alias("name")).where("fit = 1").select("family", "given", "name")
-    people = people.join(short, ["family", "given"], "left").withColumn("given", F.coalesce("name", "given")).drop("name")
+    # whole names, grouped by the cosines of their vectors
+    spelled = people.groupBy(F.col("family").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    spelled, _ = cut(spelled, "families")
+    families = vectors(spelled.select("name"), flat=True)
+    near, _ = cut(_both_ways(similar(families, (PERSONS - GIVEN) / FAMILY), spelled), "near_families")
+    names, _ = cut(people.where("full").groupBy("family", "given").agg(F.count(F.lit(1)).alias("n")), "names")
+    groups = person_names(names, families, near)
+    named = people.where("full").withColumn("spelled", F.col("family")).join(groups, ["family", "given"], "left")
+    named = named.select("id", "spelled", F.coalesce("to_family", "family").alias("family"), F.coalesce("to_given", "given").alias("given"), "middle", "orcid")
+    named, _ = cut(named, "named")
 
     # middle initials part two persons of one name; rows without one go to the more frequent
-    people = people.withColumn("full", F.length("given") > 1)
-    middles = people.where("full").groupBy("family", "given", "middle").agg(F.count(F.lit(1)).alias("n")).where("middle is not null")
+    middles = named.where("middle is not null").groupBy("family", "given", "middle").agg(F.count(F.lit(1)).alias("n"))
     usual = middles.groupBy("family", "given").agg(F.max_by("middle", F.struct("n", "middle")).alias("usual"))
-    people = people.join(usual, ["family", "given"], "left")
-    person = F.concat_ws("|", "family", "given", F.coalesce("middle", "usual", F.lit("")))
-    named = people.where("full").select("id", "family", "given", F.coalesce("middle", "usual", F.lit("")).alias("middle"), "orcid", person.alias("person"))
+    named = named.join(usual, ["family", "given"], "left").withColumn("middle", F.coalesce("middle", "usual", F.lit(""))).withColumn("person", F.concat_ws("|", "family", "given", "middle")).drop("usual")
     named, _ = cut(named, "persons")
 
     # an ORCID of a person's rows stands for the person; of several, the most frequent
@@ -324,20 +395,25 @@ def entities(authors: DataFrame) -> DataFrame:
     named = named.join(owned, "person", "left").withColumn("entity", F.coalesce(F.concat(F.lit("i "), F.coalesce("orcid", "own")), F.concat(F.lit("p "), "person")))
     named, _ = cut(named, "entities")
 
-    # bare initials: linked where one person of the family fits
-    bare = people.where("not full or given is null").select("id", "family", F.coalesce("given", F.lit("")).alias("initial"), F.coalesce("middle", F.lit("")).alias("middle"), "orcid")
-    fits = named.groupBy("family", F.substring("given", 1, 1).alias("initial"), "entity").agg(F.max("middle").alias("m"))
+    # bare initials: linked where one person has the family name, or by far the most similar one
+    bare = people.where("not full").select("id", "family", F.coalesce("given", F.lit("")).alias("initial"), F.coalesce("middle", F.lit("")).alias("middle"), "orcid")
+    fits = named.groupBy(F.col("spelled").alias("b"), F.substring("given", 1, 1).alias("initial"), "entity").agg(F.max("middle").alias("m"))
     asked = bare.select("family", "initial", "middle").distinct()
-    chosen = asked.join(fits, ["family", "initial"]).where((F.col("middle") == "") | (F.col("m") == "") | (F.col("middle") == F.col("m"))).groupBy("family", "initial", "middle").agg(F.count(F.lit(1)).alias("fit"), F.first("entity").alias("entity"))
-    bare = bare.join(chosen, ["family", "initial", "middle"], "left")
-    own = F.concat(F.lit("b "), F.concat_ws("|", "family", "initial"))
+    could = asked.join(near.withColumnRenamed("a", "family"), "family").join(fits, ["b", "initial"]).where((F.col("middle") == "") | (F.col("m") == "") | (F.col("middle") == F.col("m")))
+    could, _ = cut(could.groupBy("family", "initial", "middle", "entity").agg(F.max("cosine").alias("cosine")), "could")
+    top = could.groupBy("family", "initial", "middle").agg(F.max("cosine").alias("top"))
+    chosen = could.join(top, ["family", "initial", "middle"]).where(F.col("cosine") >= F.col("top") - MARGIN).groupBy("family", "initial", "middle").agg(F.count(F.lit(1)).alias("fit"), F.max_by("entity", F.struct("cosine", "entity")).alias("entity"))
+    # those of nobody known go together under the most frequent of the similar family names
+    usual = near.where(F.col("cosine") >= PERSONS - MARGIN / 2).join(spelled.select(F.col("name").alias("b"), "n"), "b").groupBy(F.col("a").alias("family")).agg(F.max_by("b", F.struct("n", "b")).alias("usual"))
+    bare = bare.join(chosen, ["family", "initial", "middle"], "left").join(usual, "family", "left")
+    own = F.concat(F.lit("b "), F.concat_ws("|", F.coalesce("usual", "family"), "initial"))
     alone = F.concat(F.lit("r "), F.col("id").cast("string"))
     held = named.where("orcid is not null").select("orcid").distinct().withColumn("held", F.lit(True))
     bare = bare.join(held, "orcid", "left")
     unowned = F.coalesce(F.col("fit") == 1, F.lit(False)) & F.col("entity").startswith("p ") & F.col("held").isNull()
     bare = bare.select("id", F.when(F.col("orcid").isNotNull() & ~unowned, F.concat(F.lit("i "), "orcid")).when(F.col("fit") == 1, F.col("entity")).when(F.col("fit").isNull() & (F.col("initial") != ""), own).otherwise(alone).alias("entity"))
 
-    return organised.unionByName(named.select("id", "entity")).unionByName(bare).select(F.col("id").alias("author_id"), "entity")
+    return organisations(rows).unionByName(named.select("id", "entity")).unionByName(bare).select(F.col("id").alias("author_id"), "entity")
 
 
 def same_pairs(authors: DataFrame) -> DataFrame:
