@@ -5,9 +5,9 @@
    stands beside one and the same other name under one ORCID, or in one family, far more often than by chance.
 2. Whole names become vectors of weighted character n-grams: pairs of neighbouring letters, of letters around one, and
    threes, each without order, so that a slip of the keyboard changes few of them. A person's vector is that of the family
-   name beside that of the given name, an organisation's holds all its words. A sparse join finds all pairs
-   of names whose cosine reaches the threshold: it joins on the rarest n-grams that carry the weight a similar pair
-   must share (a prefix filter, without loss), for persons on one of the family and one of the given name at once.
+   name beside that of the given name, an organisation's holds all its words. Products of sparse blocks give all
+   pairs of names whose cosine reaches the threshold. Persons are joined by similar family names and one of the rarer
+   n-grams of the given name, which carry the weight that a similar pair must share (a prefix filter, without loss).
    Every partner above the threshold is kept, not the top n alone: a cap would lose links.
 3. The pairs are grouped by average linkage of the cosines, names weighing as many as their rows. The average between two
    groups is the product of their mean vectors, so that only linked groups are compared. Components of
@@ -27,20 +27,25 @@ from __future__ import annotations
 
 import heapq
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..session import cut
+from ..session import cut, new_path
 from .groups import hash_to_min
 
 #: Shares of family and given name in the cosine of two persons' names.
 FAMILY, GIVEN = 0.6, 0.4
 #: Least average cosine inside a group of persons' names, and of organisations' names.
 PERSONS, ORGANISED = 0.75, 0.75
+#: Vectors in a block.
+BLOCK = 2048
 #: Names of one component that are linked in one task.
 COMPONENT = 5000
 #: A nickname stands beside its name in so many groups at least, in this share of its groups, so many times as often as by chance.
@@ -173,11 +178,94 @@ def cosines(pairs: DataFrame, unit: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
+class _Postings:
+    """The vectors of one block by n-gram: which rows hold each, with which weight."""
+
+    def __init__(self, table: pa.Table):
+        grams = [np.frombuffer(x, np.int64) for x in table["grams"].to_pylist()]
+        weights = [np.frombuffer(x, np.float64) for x in table["weights"].to_pylist()]
+        self.names = table["name"].to_pylist()
+        of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        grams, weights = np.concatenate(grams), np.concatenate(weights)
+        order = np.argsort(grams, kind="stable")
+        self.rows, self.weights = of[order], weights[order]
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.ends = np.append(starts, len(order))
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.ends[k], self.ends[k + 1])
+        return self.rows[part], self.weights[part]
+
+
+def _product(a: _Postings, b: _Postings) -> np.ndarray:
+    """Cosines of all rows of two blocks: the sparse product, n-gram by n-gram."""
+    out = np.zeros((len(a.names), len(b.names)))
+    _, at_a, at_b = np.intersect1d(a.grams, b.grams, assume_unique=True, return_indices=True)
+    for i, j in zip(at_a, at_b):
+        (ra, wa), (rb, wb) = a.of(i), b.of(j)
+        out[ra[:, None], rb] += wa[:, None] * wb
+    return out
+
+
+def _read_block(path: str, number: int) -> _Postings | None:
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    where = f"{root}/block={number}"
+    if system.get_file_info(where).type == fs.FileType.NotFound:
+        return None
+    return _Postings(ds.dataset(where, filesystem=system, format="parquet").to_table())
+
+
 def similar(unit: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of all names a < b whose vectors have a cosine of ``least`` or more."""
-    prefix = _prefix(unit, least)
-    pairs = prefix.select("gram", F.col("name").alias("a")).join(prefix.select("gram", F.col("name").alias("b")), "gram").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    return cosines(pairs, unit).where(F.col("cosine") >= least)
+    """(a, b, cosine) of all names a < b whose vectors have a cosine of ``least`` or more.
+
+    A product of sparse blocks: tasks read pairs of blocks of vectors from the shared folder and give back the pairs
+    of names above the threshold alone, so that candidates are neither shuffled nor kept.
+    """
+    spark = unit.sparkSession
+    rows = unit.groupBy("name").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("v"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v").to_pylist()
+            grams = pa.array([np.array([x["g"] for x in v], np.int64).tobytes() for v in lists], pa.binary())
+            weights = pa.array([np.array([x["w"] for x in v], np.float64).tobytes() for v in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("block"), grams, weights], ["name", "block", "grams", "weights"])
+
+    blocks = max(1, -(-unit.select("name").distinct().count() // BLOCK))
+    path = new_path(spark, "names")
+    rows.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).repartition(blocks, "block").mapInArrow(
+        packed, "name string, block int, grams binary, weights binary"
+    ).write.partitionBy("block").parquet(path)
+
+    # pairs of blocks (i, i + d mod blocks), d up to half: each unordered pair once
+    half = blocks // 2 + 1
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first = -1, None
+        for batch in batches:
+            for t in batch.column("t").to_pylist():
+                i, d = divmod(t, half)
+                if i != at:
+                    at, first = i, _read_block(path, i)
+                if first is None or (blocks % 2 == 0 and d == half - 1 and i >= blocks // 2 and d):
+                    continue
+                second = _read_block(path, (i + d) % blocks) if d else first
+                if second is None:
+                    continue
+                product = _product(first, second)
+                for r, c in zip(*np.nonzero(product >= least)):
+                    if d or r < c:
+                        found.append((*sorted((first.names[r], second.names[c])), float(product[r, c])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], ["a", "b", "cosine"])
+                    found.clear()
+
+    found: list[tuple[str, str, float]] = []
+    count = blocks * half
+    return spark.range(0, count, 1, max(1, count)).withColumnRenamed("id", "t").mapInArrow(tiles, "a string, b string, cosine double")
 
 
 def average_linkage(names: list[str], rows: list[int], vecs: list[dict[str, float]], near: list[tuple[int, int]], least: float) -> list[int]:

@@ -85,8 +85,9 @@ def stock_of(n, seed=0):
     return sorted(set(stock + [w[:2] + w[3:] for w in stock[: n // 2]] + [f"{w[3:]} {w[:3]}" for w in stock[: n // 5]]))
 
 
-def test_prefix_filter_loses_no_similar_pair(spark):
+def test_blocks_lose_no_similar_pair(spark, monkeypatch):
     stock = stock_of(150)
+    monkeypatch.setattr(names, "BLOCK", 64)
     unit = names.vectors(spark.createDataFrame([(w,) for w in stock], "name string"))
     got = {(r.a, r.b): r.cosine for r in names.similar(unit, 0.4).collect()}
     own = unit_vectors(stock)
