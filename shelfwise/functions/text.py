@@ -5,6 +5,7 @@ Functions take columns and give columns; null in gives null out unless the docst
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -31,6 +32,32 @@ def strip_accents(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"\p{M}", ""), *_ACCENTS)
 
 
+def _compatible_table() -> tuple[str, str, dict[str, str]]:
+    """Characters by Unicode's compatibility decompositions without marks: those of one letter, and those of several."""
+    single, plain, several = [], [], {}
+    for point in (*range(0xA0, 0x3000), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFFEF)):
+        rest = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if rest == chr(point) or not rest:
+            continue
+        if len(rest) == 1:
+            single.append(chr(point))
+            plain.append(rest)
+        else:
+            several[chr(point)] = rest
+    return "".join(single), "".join(plain), several
+
+
+_SINGLE, _PLAIN, _SEVERAL = _compatible_table()
+
+
+def asciify(text: Column) -> Column:
+    """Letters without accents, and compatibility characters (ligatures, wide forms, small figures) as what they stand for."""
+    longer = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(longer[c], c)), "")
+    held = F.regexp_like(text, F.lit("[" + "".join(_SEVERAL) + "]"))
+    return F.translate(F.regexp_replace(F.when(held, spelled).otherwise(text), r"\p{M}", ""), _SINGLE, _PLAIN)
+
+
 def tokens(text: Column) -> Column:
     """Index terms: lower case, no accents, runs of letters and digits."""
     return F.regexp_extract_all(strip_accents(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -48,14 +75,15 @@ def nonblank(text: Column) -> Column:
 
 # --- identifiers ------------------------------------------------------------------------------------------
 
+#: Forms of identifiers: DOI, arXiv by address and by label, new and old, ISBN after its label (fixed values).
 _DOI = r"(?i)\b(10\.\d{4,9}/[^\s\"<>{}|\\^`\[\]]+)"
 _ARXIV = (
-    r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})",
-    r"(?i)arxiv\.org/(?:abs|pdf)/([a-z-]+(?:\.[A-Z]{2})?/\d{7})",
-    r"(?i)\barxiv:\s*(\d{4}\.\d{4,5})",
-    r"(?i)\barxiv:\s*([a-z-]+(?:\.[A-Z]{2})?/\d{7})",
+    r"(?i)arxiv\.org/abs/(\d{4}\.\d{4,5})",
+    r"(?i)arxiv\.org/abs/([a-z\-]+(?:\.[A-Z]{2})?/\d{7})",
+    r"(?i)arxiv[:\s]*?(\d{4}\.\d{4,5})",
+    r"(?i)arxiv[:\s]*?([a-z\-]+(?:\.[A-Z]{2})?/\d{7})",
 )
-_ISBN = r"(?i)\bISBN(?:-1[03])?[:\s]*((?:97[89][-\s]?)?(?:\d[-\s]?){9}[\dX])"
+_ISBN = r"(?i)ISBN(?:-1[03])?[:\s]*([0-9][\d\-\sXx]{8,20}[0-9Xx])"
 
 
 def dois(text: Column) -> Column:
@@ -117,9 +145,10 @@ def orcid(text: Column) -> Column:
 
 
 def author_key(family: Column, given: Column) -> Column:
-    """``family,initial`` without accents: the blocking key of author rows."""
-    part = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(strip_accents(F.coalesce(x, F.lit(""))))), r"\s+", "-"), r"[^a-z0-9-]", "")
-    return F.concat(part(family), F.lit(","), F.substring(part(given), 1, 1))
+    """``family,initial`` without accents: the blocking key of author rows; ``,`` where there is no family name."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(asciify(family))), r"\s+", "-"), r"[^a-z0-9-]", "")
+    initial = F.lower(F.substring(F.trim(asciify(F.coalesce(given, F.lit("")))), 1, 1))
+    return F.when(F.coalesce(family, F.lit("")) == "", ",").otherwise(F.concat(name, F.lit(","), initial))
 
 
 def urn(doi: Column, arxiv_id: Column, isbn: Column, content_hash: Column, item_id: Column) -> Column:
@@ -196,8 +225,8 @@ def highlight(text: Column, query: str) -> Column:
 
 #: Words in headings and the section each stands for, tried in this order (fixed values).
 SECTION_WORDS = (
-    ("abstract", "abstract"), ("introduction", "introduction"), ("background", "introduction"), ("method", "methods"), ("material", "methods"), ("experimental", "methods"),
-    ("result", "results"), ("discussion", "discussion"), ("conclusion", "conclusion"), ("summary", "conclusion"), ("reference", "references"), ("bibliograph", "references"),
+    ("introduction", "introduction"), ("background", "introduction"), ("related work", "introduction"), ("method", "methods"), ("methodolog", "methods"), ("experimental", "methods"),
+    ("materials", "methods"), ("result", "results"), ("finding", "results"), ("discussion", "discussion"), ("conclusion", "conclusion"), ("summary", "conclusion"),
 )
 
 
@@ -243,38 +272,46 @@ def sniff(content: Column) -> Column:
     return F.when(F.substring(content, 1, 4) == F.lit(b"%PDF"), "pdf").when(F.substring(content, 1, 2) == F.lit(b"PK"), "epub")
 
 
-#: BibTeX entry types by item type (fixed values).
-BIBTEX_TYPES = {"paper": "article", "preprint": "misc", "book": "book", "chapter": "inbook", "thesis": "phdthesis", "report": "techreport", "conference_paper": "inproceedings", "other": "misc"}
-_STOP = ("the", "and", "for", "from", "with", "into", "upon", "over")
+#: BibTeX entry types by item type, words that make no key, characters that are escaped (fixed values).
+BIBTEX_TYPES = {"paper": "article", "preprint": "article", "book": "book", "chapter": "incollection", "report": "techreport", "thesis": "phdthesis", "standard": "misc", "patent": "misc", "other": "misc"}
+BIBTEX_STOP = ("the", "and", "for", "from", "with", "into")
+BIBTEX_ESCAPED = "&%#_$"
 
 
 def bibtex_key(family: Column, year: Column, title: Column) -> Column:
-    """``author_year_word``: first author, year, first telling word of the title."""
-    plain = lambda x: F.regexp_replace(F.lower(strip_accents(x)), r"[^a-z0-9]", "")
-    words = F.filter(tokens(title), lambda w: (F.length(w) > 2) & ~w.isin(*_STOP))
-    word = F.substring(F.coalesce(F.get(words, F.lit(0)), F.lit("item")), 1, 12)
-    return F.concat_ws("_", F.coalesce(nonblank(plain(family)), F.lit("anon")), F.coalesce(year.cast("string"), F.lit("nd")), word)
+    """``author_year_word``: first author, year, first telling word of the title, each where there is one; else ``ref``."""
+    words = F.filter(F.regexp_extract_all(asciify(title), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*BIBTEX_STOP))
+    parts = F.concat_ws("_", F.lower(asciify(family)), year.cast("string"), F.substring(F.lower(F.get(words, F.lit(0))), 1, 12))
+    return F.coalesce(F.nullif(parts, F.lit("")), F.lit("ref"))
 
 
 def bibtex_escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([&%#_$])", r"\\$1")
+    return F.regexp_replace(text, f"([{BIBTEX_ESCAPED}])", r"\\$1")
 
 
 def bibtex(row: dict[str, Column]) -> Column:
-    """A BibTeX entry of an item's columns: item_type, title, authors (array of "family, given"), year, venue, doi, isbn, language."""
+    """A BibTeX entry of an item's columns; what is null, empty or missing gives no field.
+
+    Columns: item_type, title, authors (array of family names in order), year, venue, volume, issue, pages, doi, isbn,
+    arxiv_id, edition, series, language (left out for English).
+    """
     kinds = F.create_map(*[F.lit(x) for pair in BIBTEX_TYPES.items() for x in pair])
     kind = F.coalesce(kinds[row["item_type"]], F.lit("misc"))
-    family = F.regexp_extract(F.get(row["authors"], F.lit(0)), r"^([^,]*)", 1)
-    line = lambda name, value, a="{", b="}": F.concat(F.lit(f"  {name} = {a}"), bibtex_escape(value), F.lit(b))
-    venue = F.when(kind == "inproceedings", line("booktitle", nonblank(row["venue"]))).otherwise(line("journal", nonblank(row["venue"])))
+    given = lambda name: F.nullif(row.get(name, F.lit(None)).cast("string"), F.lit(""))
+
+    def line(name: str, value: Column) -> Column:
+        own = bibtex_escape(value)
+        return F.when(own.startswith("{"), F.concat(F.lit(f"  {name} = "), own)).otherwise(F.concat(F.lit(f"  {name} = {{"), own, F.lit("}")))
+
     fields = F.concat_ws(
         ",\n",
-        line("title", row["title"], "{{", "}}"),
+        F.concat(F.lit("  title = {"), bibtex_escape(given("title")), F.lit("}")),
         F.when(F.size(row["authors"]) > 0, line("author", F.array_join(row["authors"], " and "))),
-        line("year", row["year"].cast("string")),
-        venue,
-        line("doi", nonblank(row["doi"])),
-        line("isbn", nonblank(row["isbn"])),
-        F.when(row["language"] != "en", line("language", nonblank(row["language"]))),
+        line("year", given("year")),
+        F.when(kind.isin("incollection", "inproceedings"), line("booktitle", given("venue"))).otherwise(line("journal", given("venue"))),
+        *[line(name, given(column)) for name, column in (("volume", "volume"), ("number", "issue"), ("pages", "pages"), ("doi", "doi"), ("isbn", "isbn"), ("eprint", "arxiv_id"))],
+        F.when(given("arxiv_id").isNotNull(), F.lit("  archivePrefix = {arXiv}")),
+        *[line(name, given(name)) for name in ("edition", "series")],
+        F.when(row["language"] != "en", line("language", given("language"))),
     )
-    return F.concat(F.lit("@"), kind, F.lit("{"), bibtex_key(family, row["year"], row["title"]), F.lit(",\n"), fields, F.lit("\n}"))
+    return F.concat(F.lit("@"), kind, F.lit("{"), bibtex_key(F.get(row["authors"], F.lit(0)), row["year"], row["title"]), F.lit(",\n"), fields, F.lit("\n}"))

@@ -42,7 +42,7 @@ def isbn_checksum(spark, sf_dir):
 
 def section_classify(spark, sf_dir):
     """First lines of passages as headings, by the kind of section they open."""
-    heading = F.regexp_extract("text", r"^([^\n]{0,80})", 1)
+    heading = F.regexp_extract("text", r"^([^\n]*)", 1)
     return table(spark, sf_dir, "chunks").where("text is not null").select("chunk_id", X.section(heading).alias("label")).distinct()
 
 
@@ -79,12 +79,11 @@ def cas_paths(spark, sf_dir):
 
 
 def bibtex(spark, sf_dir):
-    """BibTeX entries of all items."""
-    people = table(spark, sf_dir, "item_authors").where("role = 'author'").select("item_id", "author_id", "position").distinct().join(table(spark, sf_dir, "authors"), "author_id")
-    name = F.concat_ws(", ", "family_name", X.nonblank(F.col("given_name")))
-    listed = people.groupBy(F.col("item_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "author_id", name.alias("name")))), lambda x: x["name"]).alias("authors"))
+    """BibTeX entries of all items, with the family names of everybody who took part."""
+    people = table(spark, sf_dir, "item_authors").select("item_id", "author_id", "position").distinct().join(table(spark, sf_dir, "authors").select("author_id", "family_name"), "author_id")
+    listed = people.groupBy(F.col("item_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "author_id", "family_name"))), lambda x: x["family_name"]).alias("authors"))
     rows = table(spark, sf_dir, "library_items").join(listed, "id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
-    columns = {k: F.col(k) for k in ("item_type", "title", "venue", "doi", "isbn", "language", "authors")} | {"year": F.col("publication_year")}
+    columns = {k: F.col(k) for k in ("item_type", "title", "venue", "doi", "isbn", "arxiv_id", "language", "authors")} | {"year": F.col("publication_year")}
     return rows.select("id", X.bibtex(columns).alias("entry"))
 
 
@@ -176,35 +175,42 @@ _V10 = f"(regexp_matches(p, '^[0-9]{{9}}[0-9X]$') AND ({_SUM10}) % 11 = 0)"
 _V13 = f"(regexp_matches(p, '^[0-9]{{13}}$') AND ({_SUM13('p', 13)}) % 10 = 0)"
 _BODY = "('978' || substr(p, 1, 9))"
 _TO13 = f"CASE WHEN {_V13} THEN p WHEN {_V10} THEN {_BODY} || CAST((10 - ({_SUM13(_BODY, 12)}) % 10) % 10 AS VARCHAR) END"
-_SECTION = "CASE " + " ".join(f"WHEN contains(h, '{w}') THEN '{label}'" for w, label in X.SECTION_WORDS) + " ELSE 'other' END"
-_KEY = lambda c: f"regexp_replace(regexp_replace(lower(trim(strip_accents(coalesce({c}, '')), ' ')), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g')"
+_SECTION = """CASE WHEN contains(h, 'introduction') OR contains(h, 'background') OR contains(h, 'related work') THEN 'introduction'
+  WHEN contains(h, 'method') OR contains(h, 'experimental') OR contains(h, 'materials') THEN 'methods'
+  WHEN contains(h, 'result') OR contains(h, 'finding') THEN 'results' WHEN contains(h, 'discussion') THEN 'discussion'
+  WHEN contains(h, 'conclusion') OR contains(h, 'summary') THEN 'conclusion' ELSE 'other' END"""
 _NAME = "CASE WHEN trim(coalesce(given_name, ''), ' ') <> '' THEN given_name || ' ' || family_name ELSE family_name END"
 _MARK = lambda c: f"regexp_replace(replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;'), '(handbook|layer|of)', '<mark>\\1</mark>', 'gi')"
 _ESC = lambda c: f"regexp_replace({c}, '([&%#_$])', '\\\\\\1', 'g')"
-_BIB = "CASE item_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.BIBTEX_TYPES.items()) + " ELSE 'misc' END"
-_PLAIN = lambda c: f"regexp_replace(lower(strip_accents({c})), '[^a-z0-9]', '', 'g')"
-_LINE = lambda name, c, a="{", b="}": f"'  {name} = {a}' || {_ESC(c)} || '{b}'"
+_BIB = """CASE item_type WHEN 'paper' THEN 'article' WHEN 'preprint' THEN 'article' WHEN 'book' THEN 'book' WHEN 'chapter' THEN 'incollection'
+  WHEN 'report' THEN 'techreport' WHEN 'thesis' THEN 'phdthesis' ELSE 'misc' END"""
+_LINE = lambda name, c: f"'  {name} = {{' || {_ESC(c)} || '}}'"
 
 SQL = {
     "identify_doi": f"SELECT DISTINCT doc_id, regexp_replace(d, '[.,;:)\\]]+$', '') AS doi FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(10\\.[0-9]{{4,9}}/[^\\s\"<>{{}}|\\\\^`\\[\\]]+)', 1)) AS d FROM {_DOC})",
-    "identify_arxiv": f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?i)\\barxiv:\\s*([0-9]{{4}}\\.[0-9]{{4,5}})', 1)) AS arxiv_id FROM {_DOC}",
+    "identify_arxiv": " UNION ".join(
+        f"SELECT doc_id, unnest(regexp_extract_all(text, '(?i){form}', 1)) AS arxiv_id FROM {_DOC}"
+        for form in ("arxiv\\.org/abs/([0-9]{4}\\.[0-9]{4,5})", "arxiv\\.org/abs/([a-z-]+(?:\\.[A-Z]{2})?/[0-9]{7})", "arxiv[:\\s]*?([0-9]{4}\\.[0-9]{4,5})", "arxiv[:\\s]*?([a-z-]+(?:\\.[A-Z]{2})?/[0-9]{7})")
+    ),
     "identify_isbn": f"""SELECT DISTINCT doc_id, isbn FROM (SELECT doc_id, {_TO13} AS isbn FROM (SELECT doc_id, regexp_replace(upper(d), '[-\\s]', '', 'g') AS p
-  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\bISBN(?:-1[03])?[:\\s]*((?:97[89][-\\s]?)?(?:[0-9][-\\s]?){{9}}[0-9X])', 1)) AS d FROM {_DOC}))) WHERE isbn IS NOT NULL""",
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)ISBN(?:-1[03])?[:\\s]*([0-9][0-9\\-\\sXx]{{8,20}}[0-9Xx])', 1)) AS d FROM {_DOC}))) WHERE isbn IS NOT NULL""",
     "isbn_checksum": f"SELECT id, isbn, {_V13} OR {_V10} AS valid, {_TO13} AS isbn13 FROM (SELECT id, isbn, upper(regexp_replace(isbn, '[-\\s]', '', 'g')) AS p FROM library_items WHERE isbn IS NOT NULL)",
-    "section_classify": f"SELECT DISTINCT chunk_id, {_SECTION} AS label FROM (SELECT chunk_id, regexp_replace(lower(trim(regexp_extract(text, '^([^\\n]{{0,80}})', 1), ' ')), '^(?:[ivxlcdm]+\\.?\\s+|[0-9]+(?:\\.[0-9]+)*\\.?\\s+)', '') AS h FROM chunks WHERE text IS NOT NULL)",
-    "author_key": f"SELECT author_id, {_KEY('family_name')} || ',' || substr({_KEY('given_name')}, 1, 1) AS key FROM authors",
+    "section_classify": f"SELECT DISTINCT chunk_id, {_SECTION} AS label FROM (SELECT chunk_id, regexp_replace(lower(trim(regexp_extract(text, '^([^\\n]*)', 1), ' ')), '^(?:[ivxlcdm]+\\.?\\s+|[0-9]+(?:\\.[0-9]+)*\\.?\\s+)', '') AS h FROM chunks WHERE text IS NOT NULL)",
+    "author_key": """SELECT author_id, CASE WHEN coalesce(family_name, '') = '' THEN ',' ELSE regexp_replace(regexp_replace(lower(trim(strip_accents(family_name), ' ')), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g')
+  || ',' || lower(substr(trim(strip_accents(coalesce(given_name, '')), ' '), 1, 1)) END AS key FROM authors""",
     "orcid_extract": "SELECT author_id, nullif(regexp_extract(orcid, '([0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X])', 1), '') AS orcid FROM authors",
     "display_names": f"SELECT author_id, n AS name, regexp_extract(trim(n, ' '), '(\\S+)\\s*$', 1) AS last_word FROM (SELECT author_id, {_NAME} AS n FROM authors)",
     "doi_normalised": "SELECT DISTINCT candidate_id, lower(regexp_replace(trim(doi, ' '), '(?i)^(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*|doi\\s+)', '')) AS doi FROM metadata_candidates",
     "urn_precedence": "SELECT id, CASE WHEN trim(doi) <> '' THEN 'urn:doi:' || doi WHEN trim(arxiv_id) <> '' THEN 'urn:arxiv:' || arxiv_id WHEN trim(isbn) <> '' THEN 'urn:isbn:' || isbn WHEN trim(content_hash) <> '' THEN 'urn:sha256:' || content_hash ELSE 'urn:item:' || id END AS urn FROM library_items",
     "cas_paths": f"SELECT doc_id, substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h AS path FROM (SELECT doc_id, sha256(text) AS h FROM {_DOC})",
-    "bibtex": f"""WITH p AS (SELECT item_id AS id, list(n ORDER BY position, author_id) AS authors FROM (SELECT DISTINCT item_id, author_id, position, CASE WHEN trim(coalesce(given_name, ''), ' ') <> '' THEN family_name || ', ' || given_name ELSE family_name END AS n
-  FROM item_authors JOIN authors USING (author_id) WHERE role = 'author') GROUP BY 1),
-r AS (SELECT i.*, coalesce(authors, []) AS authors, {_BIB} AS kind, list_filter(regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(f"'{w}'" for w in X._STOP)})) AS words FROM library_items i LEFT JOIN p USING (id))
-SELECT id, '@' || kind || '{{' || coalesce(nullif({_PLAIN("regexp_extract(authors[1], '^([^,]*)', 1)")}, ''), 'anon') || '_' || coalesce(CAST(publication_year AS VARCHAR), 'nd') || '_' || substr(coalesce(words[1], 'item'), 1, 12) || ',' || chr(10)
-  || concat_ws(',' || chr(10), {_LINE('title', 'title', '{{', '}}')}, CASE WHEN len(authors) > 0 THEN {_LINE('author', "list_aggregate(authors, 'string_agg', ' and ')")} END, {_LINE('year', 'CAST(publication_year AS VARCHAR)')},
-  CASE WHEN trim(venue, ' ') <> '' THEN CASE WHEN kind = 'inproceedings' THEN {_LINE('booktitle', 'venue')} ELSE {_LINE('journal', 'venue')} END END, CASE WHEN trim(doi, ' ') <> '' THEN {_LINE('doi', 'doi')} END, CASE WHEN trim(isbn, ' ') <> '' THEN {_LINE('isbn', 'isbn')} END,
-  CASE WHEN language <> 'en' AND trim(language, ' ') <> '' THEN {_LINE('language', 'language')} END) || chr(10) || '}}' AS entry FROM r""".replace("'{{' || coalesce", "'{' || coalesce").replace("chr(10) || '}}' AS entry", "chr(10) || '}' AS entry"),
+    "bibtex": f"""WITH p AS (SELECT item_id AS id, list(family_name ORDER BY position, author_id) AS authors FROM (SELECT DISTINCT item_id, author_id, position FROM item_authors) JOIN authors USING (author_id) GROUP BY 1),
+r AS (SELECT i.*, coalesce(authors, []) AS authors, {_BIB} AS kind,
+  list_filter(regexp_extract_all(strip_accents(title), '[A-Za-z0-9]+'), lambda w: length(w) > 2 AND lower(w) NOT IN ('the', 'and', 'for', 'from', 'with', 'into')) AS words FROM library_items i LEFT JOIN p USING (id))
+SELECT id, '@' || kind || chr(123) || coalesce(nullif(concat_ws('_', lower(strip_accents(authors[1])), CAST(publication_year AS VARCHAR), substr(lower(words[1]), 1, 12)), ''), 'ref') || ',' || chr(10)
+  || concat_ws(',' || chr(10), {_LINE('title', "nullif(title, '')")}, CASE WHEN len(authors) > 0 THEN {_LINE('author', "list_aggregate(authors, 'string_agg', ' and ')")} END, {_LINE('year', 'CAST(publication_year AS VARCHAR)')},
+  CASE WHEN venue <> '' THEN CASE WHEN kind = 'incollection' THEN {_LINE('booktitle', 'venue')} ELSE {_LINE('journal', 'venue')} END END, CASE WHEN doi <> '' THEN {_LINE('doi', 'doi')} END, CASE WHEN isbn <> '' THEN {_LINE('isbn', 'isbn')} END,
+  CASE WHEN arxiv_id <> '' THEN {_LINE('eprint', 'arxiv_id')} || ',' || chr(10) || '  archivePrefix = ' || chr(123) || 'arXiv' || chr(125) END,
+  CASE WHEN language <> 'en' AND language <> '' THEN {_LINE('language', 'language')} END) || chr(10) || chr(125) AS entry FROM r""",
     "highlight": f"SELECT id, {_MARK('title')} AS html FROM library_items",
     "year_extract": f"SELECT doc_id, try_cast(nullif(regexp_extract(text, '\\b(1[89][0-9]{{2}}|20[0-9]{{2}}|21[0-9]{{2}})\\b', 1), '') AS INTEGER) AS year FROM {_DOC}",
     "iso_times": "SELECT doc_id, strftime(timezone('UTC', CAST(added_at AS TIMESTAMPTZ)), '%Y-%m-%dT%H:%M:%SZ') AS added FROM documents",

@@ -13,14 +13,14 @@ from ..functions.text import display_name, isbn13, nonblank, plain_doi
 
 #: Types of the catalog and of the library; others become ``other`` (fixed values).
 TYPES = {
-    "journalArticle": "paper", "conferencePaper": "paper", "magazineArticle": "paper", "newspaperArticle": "paper", "preprint": "preprint", "book": "book", "bookSection": "chapter",
-    "encyclopediaArticle": "chapter", "dictionaryEntry": "chapter", "thesis": "thesis", "report": "report", "manuscript": "other", "standard": "standard", "patent": "patent", "webpage": "other",
-    "document": "other", "presentation": "other",
+    "journalArticle": "paper", "conferencePaper": "paper", "preprint": "preprint", "book": "book", "bookSection": "chapter", "report": "report", "thesis": "thesis", "standard": "standard",
+    "patent": "patent", "magazineArticle": "paper", "newspaperArticle": "paper", "manuscript": "other", "webpage": "other", "document": "other", "letter": "other", "presentation": "other",
+    "computerProgram": "other",
 }
 #: Roles of the catalog that are kept (fixed values).
 ROLES = {
-    "author": "author", "bookAuthor": "author", "presenter": "author", "programmer": "author", "inventor": "author", "contributor": "author", "editor": "editor", "seriesEditor": "editor",
-    "translator": "translator", "reviewedAuthor": "author", "advisor": "advisor",
+    "author": "author", "bookAuthor": "author", "contributor": "author", "reviewedAuthor": "author", "inventor": "author", "programmer": "author", "originalCreator": "author", "creator": "author",
+    "editor": "editor", "seriesEditor": "editor", "translator": "translator",
 }
 FIELDS = {
     "title": "title", "abstractNote": "abstract", "date": "date", "DOI": "doi", "ISBN": "isbn", "publicationTitle": "venue", "volume": "volume", "issue": "issue", "pages": "pages",
