@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
+
+from ..session import cut
 
 TARGET, OVERLAP = 400, 40
 
@@ -29,21 +32,27 @@ def chunk_pages(pages: list[tuple[int | None, str]], target: int = TARGET, overl
         for sentence in re.split(r"(?<=[.!?])\s+", text or ""):
             own = sentence.split()
             units += [(number, own[k : k + target]) for k in range(0, len(own), target)]
-    chunks, start = [], 0
-    while start < len(units):
+    spans = _spans([len(words) for _, words in units], target, overlap)
+    return [(k, units[start][0], " ".join(w for _, words in units[start:end] for w in words)) for k, (start, end) in enumerate(spans)]
+
+
+def _spans(sizes: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
+    """Where chunks begin and end among sentences of so many words."""
+    spans, start = [], 0
+    while start < len(sizes):
         end, size = start, 0
-        while end < len(units) and size < target:
-            size += len(units[end][1])
+        while end < len(sizes) and size < target:
+            size += sizes[end]
             end += 1
-        chunks.append((len(chunks), units[start][0], " ".join(w for _, words in units[start:end] for w in words)))
-        if end == len(units):
+        spans.append((start, end))
+        if end == len(sizes):
             break
         back, shared = end, 0
         while back - 1 > start and shared < overlap:
             back -= 1
-            shared += len(units[back][1])
+            shared += sizes[back]
         start = back
-    return chunks
+    return spans
 
 
 _CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType())]))
@@ -59,15 +68,49 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str = "text", target
     return docs.select(id_col, F.explode(cut(text_col)).alias("c")).select(id_col, "c.chunk_index", "c.page", "c.text")
 
 
+_PLACES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("chunk_index", "part", "start", "end")]))
+
+
 def chunk_items(pages: DataFrame, id_col: str, page_col: str = "page", text_col: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(id_col, chunk_index, page, text) of items whose pages are rows; chunks may span pages."""
+    """(id_col, chunk_index, page, text) of items whose pages are rows; chunks may span pages.
 
-    @F.pandas_udf(_CHUNKS)
-    def cut(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda rows: chunk_pages([(r["page"], r["text"]) for r in rows], target, overlap))
+    The texts of an item never meet in one task: only the sentence lengths of its pages do, from which the chunks'
+    borders follow; each page then gives the sentences it has in each chunk, and the parts of a chunk are joined.
+    """
 
-    grouped = pages.where(F.col(text_col).isNotNull()).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(page_col).alias("page"), F.col(text_col).alias("text")))).alias("p"))
-    return grouped.select(id_col, F.explode(cut("p")).alias("c")).select(id_col, "c.chunk_index", "c.page", "c.text")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def sentences(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> list[str]:
+            own = [x.split() for x in re.split(r"(?<=[.!?])\s+", text)]
+            return [" ".join(w[k : k + target]) for w in own for k in range(0, len(w), target)]
+
+        return texts.map(one)
+
+    @F.pandas_udf(_PLACES)
+    def places(parts: pd.Series) -> pd.Series:
+        def one(rows) -> list[tuple[int, int, int, int]]:
+            part = [(r["part"], k, n) for r in rows for k, n in enumerate(r["sizes"])]
+            out = []
+            for number, (start, end) in enumerate(_spans([n for _, _, n in part], target, overlap)):
+                at = start
+                while at < end:
+                    to = at
+                    while to < end and part[to][0] == part[at][0]:
+                        to += 1
+                    out.append((number, part[at][0], part[at][1], part[to - 1][1] + 1))
+                    at = to
+            return out
+
+        return parts.map(one)
+
+    rows = pages.where(F.col(text_col).isNotNull()).select(id_col, F.col(page_col).alias("page"), sentences(text_col).alias("s")).where(F.size("s") > 0)
+    order = W.Window.partitionBy(id_col).orderBy("page", "s")
+    rows, _ = cut(rows.withColumn("part", F.row_number().over(order)), "sentences")
+    sizes = F.transform("s", lambda x: F.size(F.split(x, " ")))
+    borders = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("part", sizes.alias("sizes")))).alias("p")).select(id_col, F.explode(places("p")).alias("b")).select(id_col, "b.*")
+    each = borders.join(rows, [id_col, "part"]).select(id_col, "chunk_index", "part", "page", F.array_join(F.slice("s", F.col("start") + 1, F.col("end") - F.col("start")), " ").alias("t"))
+    parts = F.array_sort(F.collect_list(F.struct("part", "page", "t")))
+    return each.groupBy(id_col, "chunk_index").agg(parts.alias("p")).select(id_col, "chunk_index", F.col("p")[0]["page"].alias("page"), F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
 
 
 # --- markup -----------------------------------------------------------------------------------------------

@@ -7,12 +7,14 @@ idf = ln((N - n + .5) / (n + .5)), at least 1e-6. Smaller is better; ties go to
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_phrases, tokens
+from ..session import cut, new_path
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -33,11 +35,14 @@ def _score(frequencies: list[Column], found: list[Column], size: Column, n_docs:
     return -reduce(lambda a, b: a + b, parts)
 
 
-def search(docs: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = 20, unicode: bool = False, where: Column | None = None) -> DataFrame:
+def search(
+    docs: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = 20, unicode: bool = False, where: Column | None = None, repeats: bool = False
+) -> DataFrame:
     """(id_col, score) of the documents that hold all phrases of ``query``, best first.
 
-    One scan counts words and phrases of each document, one aggregate gives the corpus statistics; nothing but
-    the aggregate is shuffled. ``where`` filters hits, not the statistics. A query without words finds nothing.
+    One scan counts words and phrases of each document and keeps the counts alone, from which one aggregate gives the
+    corpus statistics; texts are never shuffled. Of ``repeats`` of rows the counts are made unique by id. ``where``
+    filters hits, not the statistics. A query without words finds nothing. For many queries store an ``Index``.
     """
     phrases = query_phrases(query, unicode)
     if not phrases:
@@ -49,6 +54,7 @@ def search(docs: DataFrame, query: str, id_col: str, columns: list[str], limit:
         *[reduce(lambda a, b: a + b, [_count(w, p) for w in words]).alias(f"__tf{k}") for k, p in enumerate(phrases)],
         (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("__open"),
     )
+    counted, _ = cut(counted.dropDuplicates([id_col]) if repeats else counted, "counted")
     stats = counted.agg(
         F.count(F.lit(1)).alias("__docs"), F.sum("__size").alias("__total"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"__n{k}") for k in range(len(phrases))]
     )
@@ -97,3 +103,40 @@ def search_index(postings: DataFrame, sizes: DataFrame, query: str, id_col: str,
     score = _score([F.col(f"__tf{k}") for k in range(len(phrases))], [F.col(f"__n{k}") for k in range(len(phrases))], F.col("size"), F.col("__docs"), F.col("__total"))
     hits = per_phrase.join(sizes, id_col).join(F.broadcast(stats)).select(id_col, score.alias("score")).orderBy("score", id_col)
     return hits.limit(limit) if limit is not None else hits
+
+
+#: Folders of postings in a stored index: a search reads those of its words.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class Index:
+    """A stored inverted index: postings in folders by term, sizes by document."""
+
+    path: str
+    id_col: str
+
+    @classmethod
+    def write(cls, docs: DataFrame, id_col: str, columns: list[str], path: str | None = None) -> Index:
+        """Tokenise once and store; ``path`` is in the shared folder where it is not given."""
+        path = path or new_path(docs.sparkSession, "index")
+        postings, sizes = build_index(docs, id_col, columns)
+        rows = postings.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term")
+        rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+        sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+        return cls(path, id_col)
+
+    def search(self, spark: SparkSession, query: str, limit: int | None = 20, unicode: bool = False, within: DataFrame | None = None) -> DataFrame:
+        """Like ``search``; only the folders of the query's words are read. ``within`` (id_col) filters hits, not the statistics."""
+        words = sorted({w for phrase in query_phrases(query, unicode) for w in phrase})
+        numbers = [r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w")).alias("b")).distinct().collect()] if words else [-1]
+        postings = spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(numbers) & F.col("term").isin(words)).drop("bucket")
+        hits = search_index(postings, spark.read.parquet(f"{self.path}/sizes"), query, self.id_col, None if within is not None else limit, unicode)
+        if within is None:
+            return hits
+        hits = hits.join(within.select(self.id_col).distinct(), self.id_col, "left_semi").orderBy("score", self.id_col)
+        return hits.limit(limit) if limit is not None else hits

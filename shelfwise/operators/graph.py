@@ -102,6 +102,17 @@ def chapter_ranges(toc: DataFrame, books: DataFrame) -> DataFrame:
     return rows.where("__n >= 2").drop("__n")
 
 
+#: Pages in a bin of the range join.
+BIN = 32
+
+
 def pages_of_chapters(pages: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Pages (book_id, page, text) with the chapter whose range holds them: an equi-join on the book, then the range."""
-    return pages.join(chapters, "book_id").where(F.col("page").between(F.col("start_page"), F.col("end_page")))
+    """Pages (book_id, page, text) with the chapter whose range holds them.
+
+    An equi-join on the book and a bin of pages, then the range: the pages of one very long book meet the
+    chapters of their own bin only, in as many tasks as the book has bins.
+    """
+    bins = F.sequence(F.floor(F.col("start_page") / BIN), F.floor(F.col("end_page") / BIN))
+    ranges = chapters.where("start_page <= end_page").withColumn("__bin", F.explode(bins))
+    placed = pages.withColumn("__bin", F.floor(F.col("page") / BIN))
+    return placed.join(ranges, ["book_id", "__bin"]).where(F.col("page").between(F.col("start_page"), F.col("end_page"))).drop("__bin")

@@ -61,8 +61,13 @@ def order(name: str) -> list[Column]:
 
 
 def venue_order() -> list[Column]:
-    """Volumes of a venue: newest first, then volume and issue as numbers, pages upwards."""
-    return [F.desc("publication_year"), lenient_int(F.col("volume")).desc(), lenient_int(F.col("issue")).desc(), F.desc("id")]
+    """Volumes of a venue: newest first, then volume and issue as numbers, first pages upwards."""
+    return [F.desc("publication_year"), lenient_int(F.col("volume")).desc(), lenient_int(F.col("issue")).desc(), lenient_int(F.col("pages")).asc(), F.desc("id")]
+
+
+def year_order() -> list[Column]:
+    """Items of a year: by venue, then volume and issue as numbers from the newest; those without a venue first."""
+    return [F.col("venue").asc_nulls_first(), lenient_int(F.col("volume")).desc(), lenient_int(F.col("issue")).desc(), F.desc("id")]
 
 
 def page(rows: DataFrame, by: list[Column], offset: int = 0, limit: int = PAGE) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import window as W
 
 from ..functions import pyfuncs as P
 from ..functions import text as X
+from ..session import cut, drop
 from . import graph as G
 from . import metadata as M
 
@@ -55,15 +56,32 @@ def resolved(files: DataFrame, candidates: list[DataFrame], fallback: DataFrame
 
 
 def merge_targets(decisions: DataFrame) -> DataFrame:
-    """(id, target_id) of merges, chains followed to their end: within one batch a target may itself be merged."""
-    pairs = decisions.where("outcome = 'merge'").select("id", "target_id")
+    """(id, target_id) of merges, chains followed to their end: within one batch a target may itself be merged.
+
+    Each round doubles the length of chain that is followed and is written, so that plans stay short.
+    """
+    pairs, path = cut(decisions.where("outcome = 'merge'").select("id", "target_id"), "merges")
     while True:
         ahead = pairs.select(F.col("id").alias("target_id"), F.col("target_id").alias("beyond"))
         # a target that merges back into a smaller id than itself leads on; loops end at their smallest id
-        step = pairs.join(ahead, "target_id", "left").select("id", "target_id", F.when((F.col("beyond") < F.col("target_id")), F.col("beyond")).alias("next"))
-        if not step.where("next is not null and next <> id").take(1):
-            return pairs
-        pairs = step.select("id", F.when(F.col("next").isNotNull() & (F.col("next") != F.col("id")), F.col("next")).otherwise(F.col("target_id")).alias("target_id"))
+        step = pairs.join(ahead, "target_id", "left").select("id", "target_id", F.when((F.col("beyond") < F.col("target_id")) & (F.col("beyond") != F.col("id")), F.col("beyond")).alias("next"))
+        after, after_path = cut(step.select("id", F.coalesce("next", "target_id").alias("target_id"), F.col("next").isNotNull().alias("moved")), "merges")
+        drop(pairs.sparkSession, path)
+        if not after.where("moved").take(1):
+            return after.select("id", "target_id")
+        pairs, path = after.select("id", "target_id"), after_path
+
+
+def _numbered(rows: DataFrame, column: str, taken: DataFrame, own: str, order: list[str]) -> DataFrame:
+    """``rows`` with ids in ``column`` that follow the largest one of ``taken``, in the given order."""
+    last = taken.agg(F.coalesce(F.max(own), F.lit(0)).alias("__last"))
+    counted, _ = cut(rows.sort(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    inside = F.row_number().over(W.Window.partitionBy("__part").orderBy(*order))
+    # how many rows stand in the partitions before: one row a partition
+    sizes = counted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(W.Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    out = counted.withColumn("__at", inside).join(F.broadcast(before), "__part").join(F.broadcast(last))
+    return out.withColumn(column, F.col("__last") + F.col("__before") + F.col("__at")).drop("__part", "__at", "__before", "__last")
 
 
 def acted(decisions: DataFrame, candidates: DataFrame, items: DataFrame, when: Column | None = None) -> dict[str, DataFrame]:
@@ -106,7 +124,7 @@ def authors_upserted(authors: DataFrame, incoming: DataFrame) -> tuple[DataFrame
     by_key = authors.groupBy("normalized_key", F.coalesce("orcid", F.lit("")).alias("o")).agg(F.min("author_id").alias("a2"))
     found = rows.join(by_orcid, "orcid", "left").withColumn("o", F.coalesce("orcid", F.lit(""))).join(by_key, ["normalized_key", "o"], "left").withColumn("author_id", F.coalesce("a1", "a2"))
     fresh = found.where("author_id is null").groupBy("normalized_key", "o").agg(F.min("family").alias("family_name"), F.min("given").alias("given_name"), F.first("orcid").alias("orcid"))
-    fresh = fresh.withColumn("new_id", F.abs(F.xxhash64("normalized_key", "o")))
+    fresh = _numbered(fresh, "new_id", authors, "author_id", ["normalized_key", "o"])
     bridge = found.join(fresh.select("normalized_key", "o", "new_id"), ["normalized_key", "o"], "left")
     bridge = bridge.select("item_id", F.coalesce("author_id", "new_id").alias("author_id"), F.col("position").cast("int").alias("position"), "role").dropDuplicates(["item_id", "author_id", "role"])
     added = fresh.select(F.col("new_id").alias("author_id"), "family_name", "given_name", "orcid", "normalized_key")
@@ -116,16 +134,19 @@ def authors_upserted(authors: DataFrame, incoming: DataFrame) -> tuple[DataFrame
 def tags_upserted(tags: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The next version of tags (tag_id, name) and the bridge (item_id, tag_id) of incoming (item_id, tag): trimmed, blanks dropped."""
     rows = incoming.select("item_id", F.trim("tag").alias("name")).where("name <> ''").distinct()
-    fresh = rows.select("name").distinct().join(tags, "name", "left_anti").select(F.abs(F.xxhash64("name")).alias("tag_id"), "name")
+    fresh = _numbered(rows.select("name").distinct().join(tags, "name", "left_anti"), "tag_id", tags, "tag_id", ["name"]).select("tag_id", "name")
     all_tags = tags.select("tag_id", "name").unionByName(fresh)
     return all_tags, rows.join(all_tags, "name").select("item_id", "tag_id")
 
 
-def chapters_split(books: DataFrame, toc: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chapter items of books (id, title, page_count) by their tables of contents, and their chapter_of edges with inverses."""
-    ranges = G.chapter_ranges(toc, books.select(F.col("id").alias("book_id"), "page_count"))
+def chapters_split(books: DataFrame, toc: DataFrame, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chapter items of books (id, title, page_count) by their tables of contents, and their chapter_of edges with inverses.
+
+    Ids follow the largest one of ``items``, or of the books.
+    """
+    ranges = _numbered(G.chapter_ranges(toc, books.select(F.col("id").alias("book_id"), "page_count")), "id", books if items is None else items, "id", ["book_id", "index"])
     chapters = ranges.select(
-        F.abs(F.xxhash64("book_id", "index")).alias("id"), "book_id", "index", "title", F.lit("chapter").alias("item_type"),
+        "id", "book_id", "index", "title", F.lit("chapter").alias("item_type"),
         F.to_json(F.struct("start_page", "end_page", F.col("book_id").alias("parent_id"))).alias("metadata_json"),
     )
     edges = chapters.select(F.col("id").alias("subject_id"), F.lit("chapter_of").alias("relation"), F.col("book_id").alias("object_id"), F.lit(1.0).alias("confidence"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..session import cut
 from . import fts, vector
 
 RRF_K = 60
@@ -19,14 +20,13 @@ def ranked(hits: DataFrame, order: list[Column], list_no: int = 0) -> DataFrame:
     return hits.withColumn("rank", place).withColumn("list_no", F.lit(list_no))
 
 
+def _fused(lists: DataFrame, id_col: str, k: int) -> DataFrame:
+    return lists.groupBy(id_col).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("__first"))
+
+
 def fuse(lists: DataFrame, id_col: str, k: int = RRF_K) -> DataFrame:
     """(id_col, score) of rankings (id_col, list_no, rank): the sum of 1 / (k + rank); ties in order of first sight."""
-    return (
-        lists.groupBy(id_col)
-        .agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_no", "rank")).alias("__first"))
-        .orderBy(F.desc("score"), "__first", id_col)
-        .drop("__first")
-    )
+    return _fused(lists, id_col, k).orderBy(F.desc("score"), "__first", id_col).drop("__first")
 
 
 def pool_size(limit: int) -> int:
@@ -38,47 +38,107 @@ def first_per(hits: DataFrame, group: str, order: list[Column]) -> DataFrame:
     return hits.withColumn("__place", F.row_number().over(W.Window.partitionBy(group).orderBy(*order))).where("__place = 1").drop("__place")
 
 
-def hybrid(items: DataFrame, embeddings: DataFrame, query: str, query_vector: list[float] | None, limit: int = 20, mode: str = "hybrid", dim: int = 768) -> DataFrame:
+#: Columns of items that keyword search reads, where the table has them.
+SEARCHED = ("title", "abstract", "notes")
+
+
+def hybrid(
+    items: DataFrame, embeddings: DataFrame, query: str, query_vector: list[float] | None, limit: int = 20, mode: str = "hybrid", dim: int = 768, index: fts.Index | None = None
+) -> DataFrame:
     """(item_id, rank, score) of a search: keyword, semantic or both fused; score is 1 / rank.
 
-    ``items`` has id, title and abstract; ``embeddings`` item_id and embedding. A blank query finds nothing.
+    ``items`` has id, title, abstract and, if it may, notes; ``embeddings`` item_id and embedding. A stored ``index`` on
+    item_id stands for the scan of all items' texts. A blank query finds nothing.
     """
     if mode not in ("keyword", "semantic", "hybrid"):
         raise ValueError(f"no such mode: {mode}")
-    items = items.select(F.col("id").alias("item_id"), "title", "abstract")
+    columns = [c for c in SEARCHED if c in items.columns]
+    items = items.select(F.col("id").alias("item_id"), *columns)
     pool = limit if mode != "hybrid" else pool_size(limit)
     lists = []
     if mode != "semantic":
-        hits = fts.search(items, query, "item_id", ["title", "abstract"], pool)
+        hits = index.search(items.sparkSession, query, pool) if index else fts.search(items, query, "item_id", columns, pool)
         lists.append(ranked(hits, [F.col("score"), F.col("item_id")], 0).select("item_id", "list_no", "rank"))
     if mode != "keyword" and query_vector is not None and query.strip():
         near = vector.nearest(embeddings, [(0, query_vector)], pool, dim)
         lists.append(ranked(near, [F.col("distance"), F.col("item_id")], 1).select("item_id", "list_no", "rank"))
     if not lists:
         return items.select("item_id", F.lit(1).alias("rank"), F.lit(1.0).alias("score")).limit(0)
-    fused = fuse(reduce(DataFrame.unionByName, lists), "item_id")
-    first = F.min(F.struct("list_no", "rank")).alias("__first")
-    order = reduce(DataFrame.unionByName, lists).groupBy("item_id").agg(first)
-    top = fused.join(order, "item_id").orderBy(F.desc("score"), "__first", "item_id").limit(limit)
+    top = _fused(reduce(DataFrame.unionByName, lists), "item_id", RRF_K).orderBy(F.desc("score"), "__first", "item_id").limit(limit)
     out = top.withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc("score"), "__first", "item_id")))
     return out.select("item_id", "rank", (1.0 / F.col("rank")).alias("score"))
 
 
-def passages(chunks: DataFrame, query: str, limit: int = 10, section: str | None = None, items: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, item_id, page, chunk_index, text, score): keyword passages, of a section or of given items only."""
-    chunks = chunks.dropDuplicates(["chunk_id"])
-    if items is not None:
-        chunks_in = chunks.join(items.select("item_id").distinct(), "item_id", "left_semi")
-        open_ids = chunks_in.select("chunk_id").withColumn("__in", F.lit(True))
-        scored = fts.search(chunks, query, "chunk_id", ["text"], None, where=None if section is None else F.col("section") == section)
-        hits = scored.join(open_ids, "chunk_id", "left_semi").orderBy("score", "chunk_id").limit(limit)
-    else:
-        hits = fts.search(chunks, query, "chunk_id", ["text"], limit, where=None if section is None else F.col("section") == section)
-    return hits.join(chunks, "chunk_id").select("chunk_id", "item_id", "page", "chunk_index", "text", "score")
+def _with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``hits`` (chunk_id, ...) with what their chunks hold: the few hits meet the chunks, which are not shuffled."""
+    facts = chunks.select("chunk_id", "item_id", "page", "chunk_index", "text")
+    return facts.join(F.broadcast(hits), "chunk_id").dropDuplicates(["chunk_id"])
+
+
+def keyword_passages(chunks: DataFrame, query: str, limit: int | None, section: str | None = None, items: DataFrame | None = None, index: fts.Index | None = None) -> DataFrame:
+    """(chunk_id, item_id, score) of the best passages; section and items filter hits, not the statistics."""
+    asked = chunks if section is None else chunks.where(F.col("section") == section)
+    asked = asked if items is None else asked.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    if index:
+        hits = index.search(chunks.sparkSession, query, limit, within=None if asked is chunks else asked)
+        return hits
+    where = None if section is None else F.col("section") == section
+    if items is None:
+        return fts.search(chunks, query, "chunk_id", ["text"], limit, where=where, repeats=True)
+    hits = fts.search(chunks, query, "chunk_id", ["text"], None, where=where, repeats=True).join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi").orderBy("score", "chunk_id")
+    return hits.limit(limit) if limit is not None else hits
+
 
+def vector_passages(
+    chunks: DataFrame, vectors: DataFrame, query_vector: list[float], limit: int, section: str | None = None, items: DataFrame | None = None, dim: int = 1024, exact: bool = False
+) -> DataFrame:
+    """(chunk_id, score) of the passages nearest to a vector; score is minus the distance, best first.
 
-def best_passages(results: DataFrame, chunks: DataFrame, query: str, section: str | None = None, n: int = 20) -> DataFrame:
-    """``results`` (item_id, ...) with the best passage of each item among the first 5 n passages of the query."""
-    found = first_per(passages(chunks, query, 5 * n, section), "item_id", [F.col("score"), F.col("chunk_id")])
+    ``vectors`` is (chunk_id, embedding). A section is looked for among five times the limit, items among three times,
+    as answers of fixed cost; ``exact`` filters before it ranks.
+    """
+    scope = chunks.select("chunk_id", "item_id", "section")
+    scope = scope if section is None else scope.where(F.col("section") == section)
+    scope = scope if items is None else scope.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    filtered = section is not None or items is not None
+    if filtered and exact:
+        vectors = vectors.join(scope.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    pool = limit * (1 if exact or not filtered else 5 if section is not None else 3)
+    near = vector.nearest(vectors, [(0, query_vector)], pool, dim, "chunk_id")
+    if filtered and not exact:
+        near = scope.select("chunk_id").join(F.broadcast(near), "chunk_id").dropDuplicates(["chunk_id"])
+    return near.select("chunk_id", (-F.col("distance")).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def passages(
+    chunks: DataFrame, query: str, limit: int = 10, section: str | None = None, items: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    dim: int = 1024, index: fts.Index | None = None,
+) -> DataFrame:
+    """(chunk_id, item_id, page, chunk_index, text, score): the best passages, of a section or of given items only.
+
+    With chunk vectors the nearest ones; keyword passages where there are no vectors, or no nearest passage at all.
+    """
+    if vectors is not None and query_vector is not None:
+        near, _ = cut(vector_passages(chunks, vectors, query_vector, limit, section, items, dim), "near")
+        if not near.isEmpty():
+            return _with_texts(near, chunks)
+    return _with_texts(keyword_passages(chunks, query, limit, section, items, index), chunks)
+
+
+def best_passages(
+    results: DataFrame, chunks: DataFrame, query: str, section: str | None = None, n: int = 20, mode: str = "hybrid", vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    dim: int = 1024, index: fts.Index | None = None,
+) -> DataFrame:
+    """``results`` (item_id, ...) with the best passage of each item among the first 5 n passages of the query.
+
+    Semantic and hybrid searches with chunk vectors look at the nearest passages; a hybrid one that finds none
+    falls back to keyword passages, a semantic one does not. All else looks at keyword passages.
+    """
+    pool, near = 5 * n, None
+    if mode != "keyword" and vectors is not None and query_vector is not None:
+        near, _ = cut(vector_passages(chunks, vectors, query_vector, pool, section, None, dim).withColumn("score", -F.col("score")), "near")
+        near = None if mode == "hybrid" and near.isEmpty() else near
+    hits = keyword_passages(chunks, query, pool, section, None, index) if near is None else near
+    found = first_per(_with_texts(hits, chunks), "item_id", [F.col("score"), F.col("chunk_id")])
     keep = found.select("item_id", "chunk_id", "page", "chunk_index", F.col("text").alias("snippet"))
     return results.join(keep, "item_id", "left")

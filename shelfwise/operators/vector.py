@@ -12,8 +12,8 @@ from pyspark.sql import window as W
 
 from ..session import new_path, ship
 
-#: Vectors in one block: with 768 numbers of 8 bytes, 12 MB are read at a time.
-BLOCK = 2048
+#: Vectors in one block: with 768 numbers of 8 bytes, 12 MB are read at a time; vectors of the corpus a task holds at once.
+BLOCK, HELD = 2048, 8192
 
 
 def normalised(vector: Column) -> Column:
@@ -46,17 +46,35 @@ def _matrix(batch: pa.RecordBatch, id_col: str, vector_col: str, dim: int) -> tu
     return ids[good].astype(np.int64), values[good] / norm[good, None]
 
 
+def _smallest(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the k smallest distances in each row; of equal ones the smaller id, each id once."""
+    wide = k + len(ids) - len(np.unique(ids))  # repeats may take places
+    if distances.shape[1] > wide:
+        row, col = np.nonzero(distances <= np.partition(distances, wide - 1, axis=1)[:, wide - 1 : wide])
+    else:
+        row, col = np.nonzero(distances >= 0)
+    d = distances[row, col]
+    order = np.lexsort((ids[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    again = np.zeros(len(row), bool)
+    again[1:] = (row[1:] == row[:-1]) & (ids[col[1:]] == ids[col[:-1]])
+    row, col, d = row[~again], col[~again], d[~again]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], d[keep]
+
+
 def nearest(corpus: DataFrame, queries: DataFrame | list[tuple[int, list[float]]], k: int, dim: int, id_col: str = "item_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id_col, distance): for each query the k nearest usable rows, the query's own id included.
 
     ``queries`` is a table like ``corpus``, or a short list. Queries are packed into blocks in the shared folder,
     which every task reads one after the other, so that neither the driver nor a broadcast holds them all. A task
-    keeps the k best of each query; what is shuffled is k rows a query and task. Distances are Euclidean between
-    unit vectors, rounded to 9 decimals; ties go to the smaller id.
+    holds ``HELD`` vectors of the corpus at a time; what is shuffled are the k best rows of each query and hold, never
+    vectors. Distances are Euclidean between unit vectors, rounded to 9 decimals; ties go to the smaller id, repeats of an
+    id count once, with its nearest vector.
     """
     spark = corpus.sparkSession
     ship(spark)
-    rows = corpus.select(F.col(id_col).cast("long").alias(id_col), vector_col).dropDuplicates([id_col])
+    rows = corpus.select(F.col(id_col).cast("long").alias(id_col), vector_col)
     if isinstance(queries, list):
         queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], f"{id_col} long, {vector_col} array<double>")
     asked = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)).dropDuplicates([id_col])
@@ -72,27 +90,31 @@ def nearest(corpus: DataFrame, queries: DataFrame | list[tuple[int, list[float]]
     asked.mapInArrow(pack, "ids binary, unit binary").write.option("compression", "none").parquet(path)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            ids, unit = _matrix(batch, id_col, vector_col, dim)
+            if len(ids):
+                held.append((ids, unit))
+                size += len(ids)
+            if size >= HELD:
+                yield from best(held)
+                held, size = [], 0
+        if held:
+            yield from best(held)
+
+    def best(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        held = [_matrix(batch, id_col, vector_col, dim) for batch in batches]
-        held = [(i, u) for i, u in held if len(i)]
-        if not held:
-            return
         found, unit = np.concatenate([i for i, _ in held]), np.concatenate([u for _, u in held])
         system, root = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
         for block in ds.dataset(root, filesystem=system, format="parquet").to_batches(batch_size=1):
             for own, q in zip(block.column("ids").to_pylist(), block.column("unit").to_pylist()):
                 own, q = np.frombuffer(own, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)
-                best_d, best_i = np.full((len(own), 0), np.inf), np.empty((len(own), 0), np.int64)
-                for lo in range(0, len(found), BLOCK):
-                    d = np.round(np.sqrt(np.maximum(2 - 2 * (q @ unit[lo : lo + BLOCK].T), 0)), 9)
-                    d = np.concatenate([best_d, d], axis=1)
-                    i = np.concatenate([best_i, np.broadcast_to(found[lo : lo + BLOCK], (len(own), len(found[lo : lo + BLOCK])))], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, best_i.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["query_id", id_col, "distance"])
-
-    out = rows.mapInArrow(local, f"query_id long, {id_col} long, distance double")
+                d = np.round(np.sqrt(np.maximum(2 - 2 * (q @ unit.T), 0)), 9)
+                row, col, near = _smallest(d, found, k)
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(found[col]), pa.array(near)], ["query_id", id_col, "distance"])
+
+    out = rows.mapInArrow(local, f"query_id long, {id_col} long, distance double").groupBy("query_id", id_col).agg(F.min("distance").alias("distance"))
     place = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", id_col))
     return out.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")

@@ -73,7 +73,34 @@ def test_small_functions(spark):
 
 
 def test_bibtex(spark):
-    frame = spark.createDataFrame([("paper", "Heat & flow in the core", 2024, "J. Test", "10.1/x", None, "en", ["Smith, A.", "Doe, B."]), ("thesis", "Über alles", None, None, None, None, "de", [])], "item_type string, title string, year int, venue string, doi string, isbn string, language string, authors array<string>")
-    a, b = (r.x for r in frame.select(X.bibtex({c: F.col(c) for c in frame.columns}).alias("x")).collect())
-    assert a == "@article{smith_2024_heat,\n  title = {{Heat \\& flow in the core}},\n  author = {Smith, A. and Doe, B.},\n  year = {2024},\n  journal = {J. Test},\n  doi = {10.1/x}\n}"
-    assert b.startswith("@phdthesis{anon_nd_uber,") and "language = {de}" in b
+    columns = "item_type string, title string, year int, venue string, volume string, issue string, pages string, doi string, isbn string, arxiv_id string, edition string, series string, language string, authors array<string>"
+    rows = [
+        ("paper", "Heat & flow in the core", 2024, "J. Test", "12", "3", "1-9", "10.1/x_y", None, "2101.00001", None, None, "en", ["Smith", "Doe"]),
+        ("thesis", "Über alles", None, None, None, None, None, None, None, None, "2", "Notes", "de", []),
+        ("chapter", "On it", 1999, "A Book", "", None, None, None, "978", None, None, None, None, ["Müller"]),
+        ("map", None, None, None, None, None, None, None, None, None, None, None, None, []),
+    ]
+    frame = spark.createDataFrame(rows, columns)
+    a, b, c, d = (r.x for r in frame.select(X.bibtex({c: F.col(c) for c in frame.columns}).alias("x")).collect())
+    assert a == (
+        "@article{smith_2024_heat,\n  title = {Heat \\& flow in the core},\n  author = {Smith and Doe},\n  year = {2024},\n  journal = {J. Test},\n  volume = {12},\n  number = {3},\n"
+        "  pages = {1-9},\n  doi = {10.1/x\\_y},\n  eprint = {2101.00001},\n  archivePrefix = {arXiv}\n}"
+    )
+    assert b == "@phdthesis{uber,\n  title = {Über alles},\n  edition = {2},\n  series = {Notes},\n  language = {de}\n}"
+    assert c == "@incollection{muller_1999,\n  title = {On it},\n  author = {Müller},\n  year = {1999},\n  booktitle = {A Book},\n  isbn = {978}\n}"
+    assert d == "@misc{ref,\n\n}"
+
+
+def test_compatibility_characters(spark):
+    assert one(spark, X.asciify, "Ångström ﬁeld ² ﬃx Ⅳ") == "Angstrom field 2 ffix IV" and one(spark, X.asciify, "plain") == "plain"
+    key = lambda f, g: spark.createDataFrame([(f, g)], "f string, g string").select(X.author_key(F.col("f"), F.col("g")).alias("k")).first().k
+    assert [key(*x) for x in (("Martinez-García", "Luis"), ("", "A"), (None, "A"), ("ﬁsher", None), ("van der  Berg", " Éva"))] == ["martinez-garcia,l", ",", ",", "fisher,", "van-der-berg,e"]
+
+
+def test_identifier_forms_and_sections(spark):
+    ids = lambda t: list(one(spark, X.arxiv_ids, t))
+    assert ids("arXiv 2101.00001 and arxiv:2101.00002v3, arXiv:hep-th/9901001") == ["2101.00001", "2101.00002", "hep-th/9901001"]
+    assert ids("https://arxiv.org/abs/2101.00003v2") == ["2101.00003"]
+    assert list(one(spark, X.isbns, "ISBN-13: 978-0-13-110163-0 isbn 0131101633")) == ["9780131101630"]
+    labels = {t: one(spark, X.section, t) for t in ("2.1 Related Work", "Main Findings", "IV. Materials and Methods", "Abstract", "References", "Summary")}
+    assert list(labels.values()) == ["introduction", "results", "methods", "other", "other", "conclusion"]
