@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from ..session import cut
 
@@ -68,7 +67,7 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str = "text", target
     return docs.select(id_col, F.explode(cut(text_col)).alias("c")).select(id_col, "c.chunk_index", "c.page", "c.text")
 
 
-_PLACES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("chunk_index", "part", "start", "end")]))
+_PLACES = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("part", T.LongType())] + [T.StructField(n, T.IntegerType()) for n in ("start", "end")]))
 
 
 def chunk_items(pages: DataFrame, id_col: str, page_col: str = "page", text_col: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -88,7 +87,7 @@ def chunk_items(pages: DataFrame, id_col: str, page_col: str = "page", text_col:
 
     @F.pandas_udf(_PLACES)
     def places(parts: pd.Series) -> pd.Series:
-        def one(rows) -> list[tuple[int, int, int, int]]:
+        def one(rows) -> list[tuple[int, int, int, int, int]]:
             part = [(r["part"], k, n) for r in rows for k, n in enumerate(r["sizes"])]
             out = []
             for number, (start, end) in enumerate(_spans([n for _, _, n in part], target, overlap)):
@@ -97,19 +96,20 @@ def chunk_items(pages: DataFrame, id_col: str, page_col: str = "page", text_col:
                     to = at
                     while to < end and part[to][0] == part[at][0]:
                         to += 1
-                    out.append((number, part[at][0], part[at][1], part[to - 1][1] + 1))
+                    out.append((number, at, part[at][0], part[at][1], part[to - 1][1] + 1))
                     at = to
             return out
 
         return parts.map(one)
 
     rows = pages.where(F.col(text_col).isNotNull()).select(id_col, F.col(page_col).alias("page"), sentences(text_col).alias("s")).where(F.size("s") > 0)
-    order = W.Window.partitionBy(id_col).orderBy("page", "s")
-    rows, _ = cut(rows.withColumn("part", F.row_number().over(order)), "sentences")
+    rows, _ = cut(rows.withColumn("part", F.monotonically_increasing_id()), "sentences")
     sizes = F.transform("s", lambda x: F.size(F.split(x, " ")))
-    borders = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("part", sizes.alias("sizes")))).alias("p")).select(id_col, F.explode(places("p")).alias("b")).select(id_col, "b.*")
-    each = borders.join(rows, [id_col, "part"]).select(id_col, "chunk_index", "part", "page", F.array_join(F.slice("s", F.col("start") + 1, F.col("end") - F.col("start")), " ").alias("t"))
-    parts = F.array_sort(F.collect_list(F.struct("part", "page", "t")))
+    # pages in order, rows of one page by how they begin
+    lengths = F.struct("page", F.substring(F.col("s")[0], 1, 100).alias("begins"), "part", sizes.alias("sizes"))
+    borders = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(lengths)).alias("p")).select(id_col, F.explode(places("p")).alias("b")).select(id_col, "b.*")
+    each = borders.join(rows, [id_col, "part"]).select(id_col, "chunk_index", "place", "page", F.array_join(F.slice("s", F.col("start") + 1, F.col("end") - F.col("start")), " ").alias("t"))
+    parts = F.array_sort(F.collect_list(F.struct("place", "page", "t")))
     return each.groupBy(id_col, "chunk_index").agg(parts.alias("p")).select(id_col, "chunk_index", F.col("p")[0]["page"].alias("page"), F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
 
 
@@ -158,7 +158,7 @@ def html_to_text(pages: pd.Series) -> pd.Series:
 _AUTHOR = T.StructType([T.StructField("family", T.StringType()), T.StructField("given", T.StringType())])
 TEI = T.StructType(
     [
-        T.StructField("header", T.StructType([T.StructField("title", T.StringType()), T.StructField("abstract", T.StringType()), T.StructField("doi", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("authors", T.ArrayType(_AUTHOR))])),
+        T.StructField("header", T.StructType([T.StructField("title", T.StringType()), T.StructField("abstract", T.StringType()), T.StructField("doi", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("authors", T.ArrayType(_AUTHOR)), T.StructField("venue", T.StringType()), T.StructField("doi_in_text", T.StringType()), T.StructField("imprint_year", T.IntegerType())])),
         T.StructField("sections", T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("text", T.StringType())]))),
         T.StructField("references", T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("authors", T.ArrayType(_AUTHOR)), T.StructField("year", T.IntegerType()), T.StructField("doi", T.StringType()), T.StructField("venue", T.StringType()), T.StructField("raw", T.StringType())]))),
     ]
@@ -189,6 +189,21 @@ def _year(node) -> int | None:
     return None
 
 
+#: How a header service's DOI and year are looked for where no element names them (fixed values).
+LOOSE_DOI, LOOSE_YEAR = r"\b(10\.\d{4,9}/[^\s]+)\b", r"(1[89]\d{2}|20\d{2}|21\d{2})"
+
+
+def _looser(head) -> tuple[str | None, str | None, int | None]:
+    """(venue, DOI anywhere in the header's text, year of the imprint) of a header service's answer."""
+    if head is None:
+        return None, None, None
+    venue = _words(head.find(".//t:monogr/t:title", _NS))
+    loose = re.search(LOOSE_DOI, " ".join(head.itertext()))
+    years = (re.search(LOOSE_YEAR, date.get("when") or _words(date) or "") for date in head.findall(".//t:imprint/t:date", _NS))
+    year = next((int(y.group()) for y in years if y), None)
+    return venue, loose.group(1).rstrip(".,;)") if loose else None, year
+
+
 def read_tei(tei: str | None) -> tuple | None:
     """Header, sections and references of a TEI document; null where it is not well-formed."""
     import xml.etree.ElementTree as ET
@@ -203,7 +218,7 @@ def read_tei(tei: str | None) -> tuple | None:
     doi = next((_words(n) for n in (head.findall(".//t:idno[@type='DOI']", _NS) if head is not None else []) if _words(n)), None)
     analytic = source.find(".//t:analytic", _NS) if source is not None else None
     title = _words(head.find(".//t:titleStmt/t:title", _NS)) if head is not None else None
-    header = (title, "\n\n".join(paragraphs) or None, doi, _year(head), _people(analytic))
+    header = (title, "\n\n".join(paragraphs) or None, doi, _year(head), _people(analytic), *_looser(head))
     sections = []
     for div in root.findall("./t:text/t:body/t:div", _NS):
         heading = div.find("t:head", _NS)

@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.text import edition_number, erratum_target, nonblank
-from ..session import byte_size, cut
+from ..session import cut
 
 #: Identifiers in the order they are tried, with the reason each gives (fixed values).
 KEYS = (("content_hash", "hash_match"), ("doi", "doi_match"), ("arxiv_id", "arxiv_id_match"), ("isbn", "isbn_match"))
 #: Similarities of tier 4, and neighbours that are looked at (fixed values).
 MERGE, JUDGE, RELATED, EDITION, NEIGHBOURS = 0.97, 0.90, 0.95, 0.85, 10
-#: Bytes up to which titles to look for inside other titles are broadcast.
-BROADCAST = 16 << 20
-
 COLUMNS = ("id", "tier", "outcome", "target_id", "relation", "confidence", "reason")
 
 
@@ -50,23 +47,39 @@ def exact(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return _decision(first, 1, F.lit("merge"), F.lit(None), F.lit(1.0), F.col("reason"))
 
 
+#: Characters of the pieces that short named titles are looked for by.
+PIECE = 8
+
+
+def _rarest(named: DataFrame, keys: Column, titles: DataFrame, of_title: Column) -> DataFrame:
+    """(id, target_id) of titles that hold the named ones: joined on that of their keys which fewest titles have.
+
+    Titles meet the keys of named ones only. A key that no title has leaves nothing to find.
+    """
+    asked, _ = cut(named.select("id", "named", F.explode(F.array_distinct(keys)).alias("key")), "asked")
+    held, _ = cut(titles.select("target_id", F.explode(F.array_distinct(of_title)).alias("key")).join(asked.select("key").distinct(), "key"), "held")
+    df = held.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(df, "key", "left").groupBy("id", "named").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("k")).select("id", "named", F.col("k.key").alias("key"))
+    pairs = rarest.join(held, "key").where(~F.col("id").eqNullSafe(F.col("target_id")))
+    return pairs.join(titles, "target_id").where(F.contains(F.col("other"), F.col("named"))).select("id", "target_id")
+
+
 def errata(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Tier 2: titles of errata link to the item whose title holds the title they name, case aside.
 
-    Named titles of three words and more are joined on their longest inner word, which the other title must hold
-    as a word; the few shorter ones are compared with all titles, broadcast while they are few.
+    Named titles of three words and more are joined on the rarest of their inner words, which the other title must
+    hold as a word; shorter ones on the rarest of their pieces of ``PIECE`` characters.
     """
     named = candidates.select("id", F.lower(erratum_target(F.col("title"))).alias("named")).where("named is not null")
     words = F.split("named", " ")
-    named = named.withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
-    key = F.reduce("inner", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    titles = items.select(F.col("id").alias("target_id"), F.lower("title").alias("other"))
-    by_word = titles.select("target_id", "other", F.explode(F.array_distinct(F.split("other", " "))).alias("key"))
-    holds = F.contains(F.col("other"), F.col("named")) & ~F.col("id").eqNullSafe(F.col("target_id"))
-    long = named.withColumn("key", key).where("key <> ''").join(by_word, "key").where(holds).select("id", "target_id")
-    short, _ = cut(named.withColumn("key", key).where("key = ''").select("id", "named"), "short_titles")
-    few = F.broadcast(short) if byte_size(short) <= BROADCAST else short
-    hits = long.unionByName(titles.join(few, holds).select("id", "target_id"))
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    named, _ = cut(named.withColumn("inner", inner), "named")
+    titles = items.where("title is not null").select(F.col("id").alias("target_id"), F.lower("title").alias("other"))
+    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - PIECE + 1), lambda k: F.substring(c, k, F.lit(PIECE)))
+    hits = _rarest(named.where("size(inner) > 0"), F.col("inner"), titles, F.split("other", " "))
+    short = named.where("size(inner) = 0")
+    if not short.isEmpty():
+        hits = hits.unionByName(_rarest(short, pieces(F.col("named")), titles.where(F.length("other") >= PIECE), pieces(F.col("other"))))
     hits = hits.groupBy("id").agg(F.min("target_id").alias("target_id"))
     return _decision(hits, 2, F.lit("link"), F.lit("erratum_for"), F.lit(0.9), F.lit("erratum_title"))
 

@@ -84,12 +84,24 @@ def _numbered(rows: DataFrame, column: str, taken: DataFrame, own: str, order: l
     return out.withColumn(column, F.col("__last") + F.col("__before") + F.col("__at")).drop("__part", "__at", "__before", "__last")
 
 
-def acted(decisions: DataFrame, candidates: DataFrame, items: DataFrame, when: Column | None = None) -> dict[str, DataFrame]:
+def _json_filled(items: DataFrame, merged: DataFrame) -> DataFrame:
+    """``items`` whose metadata_json also holds the keys of the merged candidates (id, target_id, metadata_json); candidates win, later ids last."""
+    keys = merged.select("target_id", "id", F.explode(F.from_json("metadata_json", "map<string,string>")).alias("key", "value"))
+    last = keys.groupBy("target_id", "key").agg(F.max_by("value", "id").alias("value")).groupBy(F.col("target_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("__new"))
+    out = items.join(last, "id", "left")
+    return out.withColumn("metadata_json", F.when(F.col("__new").isNotNull(), M.merged_json(F.col("metadata_json"), F.to_json("__new"))).otherwise(F.col("metadata_json"))).select(*items.columns)
+
+
+def acted(
+    decisions: DataFrame, candidates: DataFrame, items: DataFrame, when: Column | None = None, item_authors: DataFrame | None = None, candidate_authors: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """What decisions (id, outcome, target_id, relation, confidence, reason) do with candidates that are not stored yet.
 
     items: the next version, with inserted and linked candidates added and merges filled in; relations: edges to add,
     with their inverses; merge_history and ingest_log: rows to append. A candidate's identifier that another item
-    already owns is not filled in.
+    already owns is not filled in. JSON objects in metadata_json are joined, the candidate's keys winning. With
+    ``item_authors`` and the candidates' bridge (item_id, author_id, position, role) item_authors is their next version:
+    authors of merged candidates follow those of their target, others keep their place.
     """
     when = F.current_timestamp() if when is None else when
     rows = candidates.join(decisions.select("id", "outcome", "target_id", "relation", F.col("confidence").alias("__confidence"), F.col("reason").alias("__reason")), "id")
@@ -101,11 +113,18 @@ def acted(decisions: DataFrame, candidates: DataFrame, items: DataFrame, when: C
         owned = items.where(F.col(f).isNotNull()).select(F.col(f)).distinct().withColumn("__owned", F.lit(True))
         fill = fill.join(owned, f, "left").withColumn(f, F.when(F.col("__owned").isNull(), F.col(f))).drop("__owned")
     kept = M.backfilled(items, fill.withColumnRenamed("target_id", "id"), fields) if fields else items
+    if "metadata_json" in items.columns and "metadata_json" in candidates.columns:
+        kept = _json_filled(kept, rows.where("outcome = 'merge' and metadata_json is not null").select("target_id", "id", "metadata_json"))
     new = rows.where("outcome in ('insert', 'link')").withColumn("title", F.coalesce(X.nonblank(F.col("title")), F.lit("(untitled)")))
     added = new.select(*[(F.col(c) if c in candidates.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in items.columns])
     links = rows.where("outcome = 'link'").select(F.col("id").alias("subject_id"), "relation", F.col("target_id").alias("object_id"), F.col("__confidence").alias("confidence"))
     logged = F.when(F.col("outcome") == "merge", "merged").when(F.col("outcome") == "link", "linked").when(F.col("outcome") == "insert", "inserted").otherwise("skipped")
-    return {
+    out = {}
+    if item_authors is not None and candidate_authors is not None:
+        own = candidate_authors.join(new.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("item_id", "author_id", "position", "role")
+        joined = candidate_authors.join(rows.where("outcome = 'merge'").select(F.col("id").alias("item_id"), "target_id"), "item_id").select(F.col("target_id").alias("item_id"), "author_id", "position")
+        out["item_authors"] = M.union_authors(item_authors.select("item_id", "author_id", "position", "role"), joined).unionByName(own)
+    return out | {
         "items": kept.unionByName(added),
         "relations": G.with_inverses(links),
         "merge_history": rows.where("outcome = 'merge'").select("target_id", F.col("id").alias("merged_id"), F.col("__reason").alias("reason"), when.alias("merged_at")),
@@ -153,6 +172,66 @@ def chapters_split(books: DataFrame, toc: DataFrame, items: DataFrame | None = N
     return chapters, G.with_inverses(edges)
 
 
+def collections_upserted(collections: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The next version of collections (collection_id, name, parent_id) and (source_id, collection_id) of incoming ones.
+
+    Incoming (source_id, name, parent_id) are found by their name under the same parent name, else added; parents are
+    given by source_id and come out under the library's ids. Blank names are left out.
+    """
+    rows = incoming.where(X.nonblank(F.col("name")).isNotNull()).select("source_id", F.trim("name").alias("name"), "parent_id").dropDuplicates(["source_id"])
+    named = lambda df, key: df.join(df.select(F.col(key).alias("parent_id"), F.col("name").alias("parent_name")), "parent_id", "left").withColumn("parent_name", F.coalesce("parent_name", F.lit("")))
+    known = named(collections.select("collection_id", "name", "parent_id"), "collection_id").groupBy("name", "parent_name").agg(F.min("collection_id").alias("known_id"))
+    found, _ = cut(named(rows, "source_id").join(known, ["name", "parent_name"], "left"), "collections")
+    fresh = found.where("known_id is null").groupBy("name", "parent_name").agg(F.min("source_id").alias("first_id"))
+    fresh = _numbered(fresh, "new_id", collections, "collection_id", ["first_id"])
+    placed = found.join(fresh.select("name", "parent_name", "first_id", "new_id"), ["name", "parent_name"], "left").withColumn("collection_id", F.coalesce("known_id", "new_id"))
+    ids = placed.select("source_id", "collection_id")
+    parents = ids.select(F.col("source_id").alias("parent_id"), F.col("collection_id").alias("new_parent"))
+    added = placed.where((F.col("source_id") == F.col("first_id")) & F.col("known_id").isNull()).join(parents, "parent_id", "left")
+    after = collections.select("collection_id", "name", "parent_id").unionByName(added.select("collection_id", "name", F.col("new_parent").alias("parent_id")))
+    return after, ids
+
+
+def chapter_log(chapters: DataFrame, when: Column | None = None) -> DataFrame:
+    """Rows of the ingest log for chapters that a book was split into."""
+    when = F.current_timestamp() if when is None else when
+    path = F.concat(F.lit("book:"), F.col("book_id").cast("string"), F.lit("#"), F.col("index").cast("string"))
+    return chapters.select(path.alias("source_path"), F.lit("inserted").alias("result"), F.col("id").alias("item_id"), F.lit("chapter").alias("reason"), when.alias("ingested_at"))
+
+
+def series_log(edges: DataFrame, when: Column | None = None) -> DataFrame:
+    """Rows of the ingest log for items linked to their series."""
+    when = F.current_timestamp() if when is None else when
+    return edges.select(F.concat(F.lit("series:"), "series").alias("source_path"), F.lit("linked").alias("result"), F.col("subject_id").alias("item_id"), F.lit("series").alias("reason"), when.alias("ingested_at"))
+
+
+def failure_log(failures: DataFrame, when: Column | None = None) -> DataFrame:
+    """Rows of the ingest log for files (path, content_hash, reason) that could not be read."""
+    when = F.current_timestamp() if when is None else when
+    return failures.select(F.col("path").alias("source_path"), "content_hash", F.lit("failed").alias("result"), F.lit(None).cast("long").alias("item_id"), "reason", when.alias("ingested_at"))
+
+
+#: Tables that rows of an item stand in, with the columns that name it (fixed values).
+OWNED = {
+    "item_authors": ("item_id",), "item_tags": ("item_id",), "item_collections": ("item_id",), "chunks": ("item_id",), "item_embeddings": ("item_id",), "item_artifacts": ("item_id",),
+    "item_relations": ("subject_id", "object_id"), "merge_history": ("target_id",), "chunk_embeddings": (),
+}
+
+
+def deleted(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The next version of each table without the items ``ids`` (id) and all rows that belong to them; chunk vectors go with their chunks."""
+    out = dict(tables)
+    if "library_items" in tables:
+        out["library_items"] = tables["library_items"].join(ids.select("id"), "id", "left_anti")
+    for name, columns in OWNED.items():
+        if name in tables:
+            for column in columns:
+                out[name] = out[name].join(ids.select(F.col("id").alias(column)), column, "left_anti")
+    if "chunk_embeddings" in tables and "chunks" in tables:
+        out["chunk_embeddings"] = tables["chunk_embeddings"].join(out["chunks"].select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return out
+
+
 # --- indexing ---------------------------------------------------------------------------------------------
 
 
@@ -187,8 +266,21 @@ def section_chunks(documents: DataFrame, tei_col: str = "tei", key: str = "item_
     return rows.select(key, place.cast("int").alias("chunk_index"), F.lit(None).cast("int").alias("page"), "text", "section")
 
 
-def indexed(items: DataFrame, vectors: DataFrame, chunks: DataFrame, encode: Callable, tei: DataFrame, pages: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Vectors and chunks of items not indexed yet (or of all): sections of the TEI where an item has one, else its pages."""
+def chunk_embedded(chunks: DataFrame, encode: Callable) -> DataFrame:
+    """(chunk_id, embedding) of passages by a column function from texts to vectors; chunks without an id are keyed by item and index."""
+    rows = chunks if "chunk_id" in chunks.columns else chunks.withColumn("chunk_id", F.xxhash64("item_id", "chunk_index"))
+    return rows.where("text is not null").select("chunk_id", encode(F.col("text")).alias("embedding"))
+
+
+def indexed(
+    items: DataFrame, vectors: DataFrame, chunks: DataFrame, encode: Callable, tei: DataFrame, pages: DataFrame, force: bool = False, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Vectors and chunks of items not indexed yet (or of all): sections of the TEI where an item has one, else its pages.
+
+    ``limit`` takes the first items by id before those that are indexed already are passed over. ``chunk_embedded``
+    gives the vectors of the chunks.
+    """
+    items = items if limit is None else items.where(~F.col("metadata_source").eqNullSafe("derived")).orderBy("id").limit(limit)
     todo = items if force else unindexed(items, vectors, chunks)
     ids = todo.select(F.col("id").alias("item_id"))
     by_section = section_chunks(tei.join(ids, "item_id", "left_semi"))

@@ -142,3 +142,27 @@ def best_passages(
     found = first_per(_with_texts(hits, chunks), "item_id", [F.col("score"), F.col("chunk_id")])
     keep = found.select("item_id", "chunk_id", "page", "chunk_index", F.col("text").alias("snippet"))
     return results.join(keep, "item_id", "left")
+
+
+def evaluation(runs: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """(mode, queries, recall, p50_ms, p95_ms) of runs (mode, query_id, item_id, rank, ms) against expected (query_id, item_id).
+
+    Recall is the mean share of a query's expected items among its first k; a query without a run counts as 0.
+    """
+    wanted = expected.select("query_id", "item_id").distinct()
+    size = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    # every mode was asked every query: a handful of modes
+    modes = size.select("query_id", "wanted", F.explode(F.array(*[F.lit(r.mode) for r in runs.select("mode").distinct().collect()]) if not runs.isEmpty() else F.array().cast("array<string>")).alias("mode"))
+    hits = runs.where(F.col("rank") <= k).join(wanted, ["query_id", "item_id"], "left_semi").groupBy("mode", "query_id").agg(F.countDistinct("item_id").alias("hits"))
+    share = modes.join(hits, ["mode", "query_id"], "left").select("mode", (F.coalesce("hits", F.lit(0)) / F.col("wanted")).alias("recall"))
+    took = runs.groupBy("mode", "query_id").agg(F.max("ms").alias("ms")).groupBy("mode").agg(F.percentile("ms", 0.5).alias("p50_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
+    return share.groupBy("mode").agg(F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall")).join(took, "mode", "left")
+
+
+def match_rates(got: DataFrame, want: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+    """(field, compared, matched, rate): how often fields of one table equal those of another, where the latter has a value; case and outer blanks aside."""
+    plain = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    rows = want.select(key, *[plain(f).alias(f"__w_{f}") for f in fields]).join(got.select(key, *[plain(f).alias(f"__g_{f}") for f in fields]), key, "left")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__w_{f}").alias("w"), F.col(f"__g_{f}").alias("g")) for f in fields]))
+    rows = rows.select(each.alias("x")).select("x.*").where(F.col("w").isNotNull() & (F.col("w") != ""))
+    return rows.groupBy("field").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("w").eqNullSafe(F.col("g"))).alias("matched")).withColumn("rate", F.col("matched") / F.col("compared"))

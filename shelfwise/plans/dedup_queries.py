@@ -9,14 +9,12 @@ from ..operators import dedup as D
 from ..operators import graph as G
 from ..operators import metadata as M
 from ..operators import vector as V
-from ..session import table
+from ..session import cut, table
 from .retrieval_queries import _VECTORS, DIM
 
 #: The library has no editions; this rule gives some items one.
 EDITION = "CASE id % 5 WHEN 0 THEN '1' WHEN 1 THEN '2nd' WHEN 2 THEN '3rd ed.' END"
 FIELDS = ["title", "abstract", "publication_year", "doi", "venue"]
-#: The items that the SQL of dedup_tier4_scan and dedup_decide_all asks for; the queries named _whole ask for all.
-QUERY_SET = "item_id % 100 = 0"
 
 
 def _items(spark, sf_dir):
@@ -62,30 +60,30 @@ def dedup_tier3_linked(spark, sf_dir):
     return D.linked(candidates, items).select("id", "target_id", "relation")
 
 
-def _neighbours(spark, sf_dir, asked):
+def _neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "item_embeddings")
-    near = V.nearest(rows, rows.where(asked), D.NEIGHBOURS, DIM)
+    near = V.nearest(rows, rows, D.NEIGHBOURS, DIM)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "item_id"))
     return near.select(F.col("query_id").alias("id"), F.col("item_id").alias("target_id"), rank.alias("rank"), F.round(V.similarity_of_distance(F.col("distance")), 6).alias("similarity"))
 
 
-def _semantic(spark, sf_dir, asked):
+def _semantic(spark, sf_dir, apart=None):
     keys = D.author_keys(table(spark, sf_dir, "item_authors"), table(spark, sf_dir, "authors"))
-    return D.semantic(_neighbours(spark, sf_dir, asked), _items(spark, sf_dir), keys)
-
-
-def _tier4(spark, sf_dir, asked):
-    return _semantic(spark, sf_dir, asked).select("id", "outcome", "target_id", "relation", F.round("confidence", 5).alias("confidence"), "reason")
+    near, _ = cut(_neighbours(spark, sf_dir), "neighbours")
+    return D.semantic(near, _items(spark, sf_dir), keys, apart)
 
 
 def dedup_tier4_scan(spark, sf_dir):
-    """Near neighbours of the query set, as in its SQL: merges, editions and related works of one item in a hundred."""
-    return _tier4(spark, sf_dir, QUERY_SET)
+    """Near neighbours of every item with a usable vector: merges, editions and related works."""
+    return _semantic(spark, sf_dir).select("id", "outcome", "target_id", "relation", F.round("confidence", 5).alias("confidence"), "reason")
 
 
-def dedup_tier4_whole(spark, sf_dir):
-    """Near neighbours of every item with a usable vector: merges, editions and related works."""
-    return _tier4(spark, sf_dir, "true")
+def dedup_tier4_apart(spark, sf_dir):
+    """The same where pairs of works of one venue are known to be different: these are passed over."""
+    venues = _items(spark, sf_dir).where("venue is not null").select("id", "venue")
+    apart = _neighbours(spark, sf_dir).join(venues, "id").join(venues.select(F.col("id").alias("target_id"), "venue"), ["target_id", "venue"])
+    rows = _semantic(spark, sf_dir, apart.select(F.col("target_id").alias("a_id"), F.col("id").alias("b_id")))
+    return rows.select("id", "outcome", "target_id", "relation", F.round("confidence", 5).alias("confidence"), "reason")
 
 
 def dedup_edition(spark, sf_dir):
@@ -97,20 +95,11 @@ def dedup_edition(spark, sf_dir):
     return both.select("id", "target_id", D.edition_relation(F.col("edition"), F.col("e"), F.col("publication_year"), F.col("y")).alias("relation")).where("relation is not null")
 
 
-def _decided(spark, sf_dir, asked):
-    candidates, items = _parts(spark, sf_dir)
-    tiers = [D.exact(candidates, items), D.errata(candidates, items), D.linked(candidates, items), _semantic(spark, sf_dir, asked)]
-    return D.counts(D.decide(candidates, tiers))
-
-
 def dedup_decide_all(spark, sf_dir):
-    """One decision per candidate, counted by outcome and reason; tier 4, as in its SQL, sees one item in a hundred."""
-    return _decided(spark, sf_dir, QUERY_SET)
-
-
-def dedup_decide_whole(spark, sf_dir):
     """One decision per candidate, counted by outcome and reason, every candidate through all four tiers."""
-    return _decided(spark, sf_dir, "true")
+    candidates, items = _parts(spark, sf_dir)
+    tiers = [D.exact(candidates, items), D.errata(candidates, items), D.linked(candidates, items), _semantic(spark, sf_dir)]
+    return D.counts(D.decide(candidates, tiers))
 
 
 def author_jaccard(spark, sf_dir):
@@ -213,7 +202,7 @@ def invariants(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_tier1_exact, dedup_tier1_documents, dedup_tier2_erratum, dedup_tier3_linked, dedup_tier4_scan, dedup_tier4_whole, dedup_edition, dedup_decide_all, dedup_decide_whole, author_jaccard,
+        dedup_tier1_exact, dedup_tier1_documents, dedup_tier2_erratum, dedup_tier3_linked, dedup_tier4_scan, dedup_tier4_apart, dedup_edition, dedup_decide_all, author_jaccard,
         relation_inverse_closure, relation_missing_inverse, series_parents, chapter_ranges, pages_range_join, metadata_layered_merge, metadata_best_source,
         merge_backfill, artifact_latest, eav_pivot, invariants,
     )
@@ -251,7 +240,7 @@ _ERRATA = """SELECT c.id, min(o.id) AS target_id FROM c JOIN library_items o
 _LINKED = "SELECT c.id, min(o.id) AS target_id FROM c JOIN library_items o ON o.doi = c.linked_doi WHERE trim(c.arxiv_id) <> '' AND trim(c.linked_doi) <> '' GROUP BY c.id HAVING min(o.id) <> c.id"
 _SEMANTIC = f"""
 near AS (SELECT id, target_id, round(1 - d * d / 2, 6) AS similarity, row_number() OVER (PARTITION BY id ORDER BY d, target_id) AS rank FROM (
-  SELECT a.item_id AS id, b.item_id AS target_id, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.e, b.e))), 9) AS d FROM v a, v b WHERE a.item_id % 100 = 0)
+  SELECT a.item_id AS id, b.item_id AS target_id, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.e, b.e))), 9) AS d FROM v a, v b)
   QUALIFY rank <= 10),
 ak AS (SELECT DISTINCT item_id, normalized_key AS key FROM item_authors JOIN authors USING (author_id)),
 n AS (SELECT near.*, (SELECT count(*) FROM ak x JOIN ak y USING (key) WHERE x.item_id = near.id AND y.item_id = near.target_id) AS shared, a.edition AS ae, b.edition AS be, a.publication_year AS y1, b.publication_year AS y2
@@ -260,7 +249,7 @@ n2 AS (SELECT *, CASE WHEN similarity >= 0.85 AND shared > 0 THEN {_edition('ae'
 n3 AS (SELECT *, CASE WHEN edition_relation IS NOT NULL THEN 'edition' WHEN similarity >= 0.97 AND shared > 0 THEN 'semantic_match' WHEN similarity >= 0.95 AND shared = 0 THEN 'semantic_related' END AS reason FROM n2),
 sem AS (SELECT id, CASE reason WHEN 'semantic_match' THEN 'merge' ELSE 'link' END AS outcome, target_id, CASE reason WHEN 'edition' THEN edition_relation WHEN 'semantic_related' THEN 'related' END AS relation,
   similarity AS confidence, reason FROM n3 WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1)"""
-_SEMANTIC_WHOLE = _SEMANTIC.replace(f" WHERE a.{QUERY_SET}", "")
+_APART = _SEMANTIC.replace("WHERE near.id <> near.target_id)", "WHERE near.id <> near.target_id AND NOT coalesce(a.venue = b.venue, FALSE))")
 _RANK = "CASE source " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in M.AUTHORITY.items()) + f" ELSE {M.UNKNOWN} END"
 _TOC = """
 ch AS (SELECT DISTINCT item_id, chunk_index, page FROM chunks WHERE page IS NOT NULL),
@@ -322,4 +311,4 @@ UNION ALL SELECT 'known_item_type', count(*) FROM library_items WHERE item_type
     f"related_{k}": f"WITH {_EDGES} SELECT subject_id, relation, object_id, confidence, title FROM e JOIN library_items ON id = object_id WHERE relation IN ({', '.join(repr(r) for r in labels)})"
     for k, labels in G.KINDS.items()
 }
-SQL |= {f"{name}_whole": SQL[f"{name}_{old}"].replace(_SEMANTIC, _SEMANTIC_WHOLE) for name, old in (("dedup_tier4", "scan"), ("dedup_decide", "all"))}
+SQL["dedup_tier4_apart"] = SQL["dedup_tier4_scan"].replace(_SEMANTIC, _APART)

@@ -14,18 +14,13 @@ def p6_found(spark, sf_dir):
 
 
 def p6_descendants(spark, sf_dir):
-    """Every collection with each collection below it; as in its SQL, without rows on or under loops."""
-    return H.descendants(H.hierarchy(table(spark, sf_dir, "collection_rows")))
-
-
-def p6_descendants_whole(spark, sf_dir):
     """Every collection with each collection below it, on and under loops as well, and whether the pair lies there."""
     rows = table(spark, sf_dir, "collection_rows")
     tree, _ = cut(H.hierarchy(rows), "tree")
     return H.descendants(tree).withColumn("looped", F.lit(False)).unionByName(H.loop_descendants(rows, tree).withColumn("looped", F.lit(True)))
 
 
-QUERIES = {"p6_found": p6_found, "p6_descendants": p6_descendants, "p6_descendants_whole": p6_descendants_whole}
+QUERIES = {"p6_found": p6_found, "p6_descendants": p6_descendants}
 
 _WALK = """
 WITH RECURSIVE n AS (
@@ -60,7 +55,13 @@ SELECT r.id, min(r.anc), CAST(-1 AS INTEGER), '' FROM r JOIN loops USING (anc) G
   SELECT id AS collection_id, id AS descendant_id, 0 AS distance FROM t
   UNION ALL
   SELECT d.collection_id, l.id, d.distance + 1 FROM d JOIN l ON l.parent = d.descendant_id
+), w AS (
+  SELECT id, parent AS anc, [id] AS seen, 1 AS distance FROM u WHERE parent <> id
+  UNION ALL
+  SELECT w.id, u.parent, list_append(w.seen, w.anc), w.distance + 1 FROM w JOIN u ON u.id = w.anc WHERE u.parent <> w.anc AND NOT list_contains(w.seen, u.parent)
 )
-SELECT collection_id, descendant_id, CAST(distance AS INTEGER) AS distance FROM d WHERE distance > 0
+SELECT collection_id, descendant_id, CAST(distance AS INTEGER) AS distance, FALSE AS looped FROM d WHERE distance > 0
+UNION ALL
+SELECT anc, id, CAST(distance AS INTEGER), TRUE FROM w
 """,
 }

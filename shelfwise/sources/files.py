@@ -153,3 +153,28 @@ def store(blobs: DataFrame, root: str) -> DataFrame:
 
 def valid_hash(text) -> F.Column:
     return F.regexp_like(text, F.lit("^[0-9a-f]{64}$"))
+
+
+# --- chapters ---------------------------------------------------------------------------------------------
+
+
+def pdf_outline(files: DataFrame, read: Callable[[bytes], list[tuple[int, str, int]]]) -> DataFrame:
+    """(path, position, title, page) of the top-level entries of PDFs' outlines, by a function from bytes to (level, title, page).
+
+    Levels and pages count from 1; entries without a title or with a page before the first are left out, and so are
+    files with fewer than two entries.
+    """
+    kind = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("page", T.IntegerType())]))
+
+    @F.pandas_udf(kind)
+    def outline(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: [(t.strip(), p) for level, t, p in read(c) if level == 1 and t and t.strip() and p >= 1] if c is not None else [])
+
+    rows = files.select("path", outline("content").alias("toc")).where(F.size("toc") >= 2)
+    return rows.select("path", F.posexplode("toc").alias("position", "x")).select("path", "position", "x.title", "x.page")
+
+
+def epub_outline(parsed: DataFrame, key: str = "path", epub: str = "epub") -> DataFrame:
+    """(key, position, title, page) of the spine entries of parsed EPUBs; an e-book has one page, so entries count as pages."""
+    rows = parsed.where(F.size(F.col(epub)["spine"]) >= 2).select(key, F.explode(F.col(epub)["spine"]).alias("s"))
+    return rows.select(key, "s.position", "s.title", (F.col("s.position") + 1).alias("page"))

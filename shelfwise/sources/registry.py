@@ -88,7 +88,7 @@ def header_records(parsed: DataFrame, key: str = "key", tei: str = "tei") -> Dat
     """Parsed headers of a header service (``functions.pyfuncs.tei``); rows without title, abstract, DOI and authors are left out."""
     h = F.col(tei)["header"]
     authors = F.transform(h["authors"], lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given"), F.lit(None).cast("string").alias("orcid")))
-    out = _shape(parsed, key, "grobid", 0.85, item_type=F.lit("paper"), title=h["title"], abstract=h["abstract"], publication_year=h["year"], doi=F.lower(h["doi"]), authors=authors)
+    out = _shape(parsed, key, "grobid", 0.85, item_type=F.lit("paper"), title=h["title"], abstract=h["abstract"], publication_year=F.coalesce(h["imprint_year"], h["year"]), doi=F.lower(F.coalesce(h["doi"], h["doi_in_text"])), venue=h["venue"], authors=authors)
     return out.where("title is not null or abstract is not null or doi is not null or size(authors) > 0")
 
 

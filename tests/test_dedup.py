@@ -117,6 +117,6 @@ def test_every_item_is_tested_for_near_duplicates(spark, tmp_path):
     spark.createDataFrame(list(zip(ids, vectors)), "item_id long, embedding array<float>").write.parquet(f"{tmp_path}/item_embeddings.parquet")
     spark.createDataFrame([(15, 1), (20, 2), (30, 3)], "item_id long, author_id long").write.parquet(f"{tmp_path}/item_authors.parquet")
     spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "author_id long, normalized_key string").write.parquet(f"{tmp_path}/authors.parquet")
-    found = {(r.id, r.outcome, r.target_id, r.relation) for r in Q.dedup_tier4_whole(spark, str(tmp_path)).collect()}
+    found = {(r.id, r.outcome, r.target_id, r.relation) for r in Q.dedup_tier4_scan(spark, str(tmp_path)).collect()}
     assert found == {(15, "merge", 20, None), (20, "merge", 15, None), (30, "link", 40, "related"), (40, "link", 30, "related")}
-    assert {(r.outcome, r.reason, r.n) for r in Q.dedup_decide_whole(spark, str(tmp_path)).collect()} == {("merge", "semantic_match", 2), ("link", "semantic_related", 2), ("insert", "no_match", 3)}
+    assert {(r.outcome, r.reason, r.n) for r in Q.dedup_decide_all(spark, str(tmp_path)).collect()} == {("merge", "semantic_match", 2), ("link", "semantic_related", 2), ("insert", "no_match", 3)}

@@ -57,7 +57,7 @@ def test_descendants(spark):
 
 
 def test_descendants_on_and_under_loops(spark, tmp_path):
-    from shelfwise.plans.hierarchy_queries import p6_descendants_whole
+    from shelfwise.plans.hierarchy_queries import p6_descendants
 
     parents = {1: None, 2: 1, 10: 10, 11: 10, 12: 11, 20: 21, 21: 22, 22: 20} | {30: 20} | {i: i - 1 for i in range(31, 42)}
     spark.createDataFrame([*parents.items(), (12, 11)], SCHEMA).write.parquet(f"{tmp_path}/collection_rows.parquet")
@@ -67,5 +67,5 @@ def test_descendants_on_and_under_loops(spark, tmp_path):
         while parents[walk[-1]] not in walk:
             walk.append(parents[walk[-1]])
         want |= {(a, i, d, True) for d, a in enumerate(walk) if d}
-    got = [tuple(r) for r in p6_descendants_whole(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in p6_descendants(spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)
