@@ -239,6 +239,12 @@ def section(heading: Column) -> Column:
     return out
 
 
+def letter_profile(text: Column) -> Column:
+    """How often each letter a to z stands in a text: a vector of 26 numbers that needs no model."""
+    low = F.lower(text)
+    return F.array(*[F.regexp_count(low, F.lit(c)).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
 # --- dates, types, paths ----------------------------------------------------------------------------------
 
 

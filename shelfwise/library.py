@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import pyfuncs as P
 from .functions import text as X
+from .operators import fts
 from .operators import graph as G
 from .operators import hierarchy as H
 from .operators import listing as L
@@ -34,6 +35,8 @@ class Library:
 
     spark: SparkSession
     tables: dict[str, DataFrame]
+    item_index: fts.Index | None = None
+    chunk_index: fts.Index | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, names: tuple[str, ...] = ("library_items", "authors", "item_authors", "chunks", "item_relations", "item_embeddings", "collection_rows")) -> Library:
@@ -46,6 +49,14 @@ class Library:
             return self.spark.createDataFrame([], _OPTIONAL[name])
         raise KeyError(name)
 
+    def index(self, folder: str | None = None) -> Library:
+        """Stored keyword indexes of items and passages, which searches then read in place of all texts."""
+        columns = [c for c in R.SEARCHED if c in self.items.columns]
+        where = lambda name: None if folder is None else f"{folder.rstrip('/')}/{name}"
+        self.item_index = fts.Index.write(self.items.withColumnRenamed("id", "item_id"), "item_id", columns, where("items"))
+        self.chunk_index = fts.Index.write(self["chunks"].select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", ["text"], where("chunks"))
+        return self
+
     @property
     def items(self) -> DataFrame:
         return self["library_items"]
@@ -55,20 +66,28 @@ class Library:
 
     # --- the ten tools ------------------------------------------------------------------------------------
 
-    def search(self, query: str, mode: str = "hybrid", item_types: list[str] | None = None, section: str | None = None, limit: int = 10, query_vector: list[float] | None = None, exact: bool = False, dim: int = 768) -> DataFrame:
+    def _chunk_vectors(self) -> DataFrame | None:
+        return self.tables.get("chunk_embeddings")
+
+    def search(
+        self, query: str, mode: str = "hybrid", item_types: list[str] | None = None, section: str | None = None, limit: int = 10, query_vector: list[float] | None = None, exact: bool = False,
+        dim: int = 768, chunk_vector: list[float] | None = None, chunk_dim: int = 1024,
+    ) -> DataFrame:
         """Ranked items with names, identifiers and best passage.
 
-        A filter by type looks at twice the limit, as an answer of fixed cost; ``exact`` filters before ranking.
+        A filter by type looks at twice the limit, as an answer of fixed cost; ``exact`` filters before ranking. The
+        best passage is the nearest one to ``chunk_vector`` where the library has chunk vectors, else by keywords.
         """
-        items = self.items.where(F.col("item_type").isin(item_types)) if item_types and exact else self.items
+        whole = self.items
+        items = whole.where(F.col("item_type").isin(item_types)) if item_types and exact else whole
         vectors = self["item_embeddings"].join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi") if item_types and exact else self["item_embeddings"]
-        found = R.hybrid(items, vectors, query, query_vector, 2 * limit if item_types and not exact else limit, mode, dim)
+        found = R.hybrid(items, vectors, query, query_vector, 2 * limit if item_types and not exact else limit, mode, dim, self.item_index if items is whole else None)
         facts = self.items.select(F.col("id").alias("item_id"), "title", "item_type", "publication_year", "doi", "arxiv_id", "isbn")
         rows = found.join(facts, "item_id")
         if item_types:
             rows = rows.where(F.col("item_type").isin(item_types)).orderBy("rank").limit(limit)
         rows = rows.join(self._authors().withColumnRenamed("names", "authors"), "item_id", "left")
-        return R.best_passages(rows, self["chunks"], query, section, limit).orderBy("rank")
+        return R.best_passages(rows, self["chunks"], query, section, limit, mode, self._chunk_vectors(), chunk_vector, chunk_dim, self.chunk_index).orderBy("rank")
 
     def get_item(self, item_id: int) -> DataFrame:
         """An item's columns with authors, tags and collections."""
@@ -84,22 +103,34 @@ class Library:
             rows = rows.where(F.col("page").isin(pages))
         return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
-    def get_snippets(self, query: str, item_id: int | None = None, k: int = 5) -> DataFrame:
-        """The best passages, of one item or of all."""
+    def get_snippets(self, query: str, item_id: int | None = None, k: int = 10, chunk_vector: list[float] | None = None, chunk_dim: int = 1024) -> DataFrame:
+        """The best passages, of one item or of all: the nearest ones where the library has chunk vectors, else by keywords."""
         scope = self.items.where(F.col("id") == item_id).select(F.col("id").alias("item_id")) if item_id is not None else None
-        return R.passages(self["chunks"], query, k, items=scope)
+        return R.passages(self["chunks"], query, k, None, scope, self._chunk_vectors(), chunk_vector, chunk_dim, self.chunk_index)
 
     def list_related(self, item_id: int, kind: str = "all") -> DataFrame:
         return G.neighbours(self["item_relations"].where(F.col("subject_id") == item_id), self.items, kind)
 
     def get_citation(self, item_id: int) -> DataFrame:
-        """(entry): the item as BibTeX."""
-        name = F.concat_ws(", ", "family_name", X.nonblank(F.col("given_name")))
-        people = self["item_authors"].where((F.col("item_id") == item_id) & (F.col("role") == "author")).select("author_id", "position").distinct().join(self["authors"], "author_id")
-        listed = people.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "author_id", name.alias("name")))), lambda x: x["name"]).alias("authors"))
-        columns = {k: F.col(k) for k in ("item_type", "title", "venue", "doi", "isbn", "language", "authors")} | {"year": F.col("publication_year")}
+        """(entry): the item as BibTeX, with the family names of everybody who took part."""
+        people = self["item_authors"].where(F.col("item_id") == item_id).select("author_id", "position").distinct().join(self["authors"], "author_id")
+        listed = people.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "author_id", "family_name"))), lambda x: x["family_name"]).alias("authors"))
+        names = ("item_type", "title", "venue", "volume", "issue", "pages", "doi", "isbn", "arxiv_id", "edition", "series", "language")
+        columns = {k: F.col(k) for k in names if k in self.items.columns} | {"year": F.col("publication_year"), "authors": F.col("authors")}
         return self.items.where(F.col("id") == item_id).join(F.broadcast(listed)).select(X.bibtex(columns).alias("entry"))
 
+    def get_collection(self, collection_id: int) -> DataFrame:
+        return self["collection_rows"].where(F.col("collection_id") == collection_id).dropDuplicates(["collection_id"])
+
+    def get_author(self, author_id: int) -> DataFrame:
+        """An author's row with the number of its items."""
+        n = self["item_authors"].where(F.col("author_id") == author_id).select("item_id").distinct().agg(F.count(F.lit(1)).alias("n_items"))
+        return self["authors"].where(F.col("author_id") == author_id).join(F.broadcast(n))
+
+    def get_feed_item(self, item_id: int) -> DataFrame:
+        """An item's row of a listing, with its authors."""
+        return self.items.where(F.col("id") == item_id).join(self._authors().select(F.col("item_id").alias("id"), F.col("names").alias("authors")), "id", "left")
+
     def list_tags(self) -> DataFrame:
         return L.counts_with_zero(self["tags"], "tag_id", self["item_tags"], "tag_id").select("name", "n").orderBy("name")
 

@@ -107,12 +107,14 @@ def acted(
     rows = candidates.join(decisions.select("id", "outcome", "target_id", "relation", F.col("confidence").alias("__confidence"), F.col("reason").alias("__reason")), "id")
     fields = [f for f in BACKFILLED if f in items.columns and f in candidates.columns]
     kinds = dict(items.dtypes)
-    # one record per target: the smallest candidate that fills a field
-    fill = rows.where("outcome = 'merge'").groupBy("target_id").agg(*[F.min_by(f, F.when(M.filled(F.col(f), kinds[f]).isNotNull(), F.col("id"))).alias(f) for f in fields])
-    for f in (f for f in fields if f in ("doi", "arxiv_id", "content_hash")):
-        owned = items.where(F.col(f).isNotNull()).select(F.col(f)).distinct().withColumn("__owned", F.lit(True))
-        fill = fill.join(owned, f, "left").withColumn(f, F.when(F.col("__owned").isNull(), F.col(f))).drop("__owned")
-    kept = M.backfilled(items, fill.withColumnRenamed("target_id", "id"), fields) if fields else items
+    kept = items
+    if fields:
+        # one record per target: the smallest candidate that fills a field
+        fill = rows.where("outcome = 'merge'").groupBy("target_id").agg(*[F.min_by(f, F.when(M.filled(F.col(f), kinds[f]).isNotNull(), F.col("id"))).alias(f) for f in fields])
+        for f in (f for f in fields if f in ("doi", "arxiv_id", "content_hash")):
+            owned = items.where(F.col(f).isNotNull()).select(F.col(f)).distinct().withColumn("__owned", F.lit(True))
+            fill = fill.join(owned, f, "left").withColumn(f, F.when(F.col("__owned").isNull(), F.col(f))).drop("__owned")
+        kept = M.backfilled(items, fill.withColumnRenamed("target_id", "id"), fields)
     if "metadata_json" in items.columns and "metadata_json" in candidates.columns:
         kept = _json_filled(kept, rows.where("outcome = 'merge' and metadata_json is not null").select("target_id", "id", "metadata_json"))
     new = rows.where("outcome in ('insert', 'link')").withColumn("title", F.coalesce(X.nonblank(F.col("title")), F.lit("(untitled)")))

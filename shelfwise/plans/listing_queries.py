@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import hierarchy as H
 from ..operators import listing as L
+from ..operators import pipeline
 from ..session import table
 
 VENUE = "Annals of Botany"
@@ -30,14 +31,46 @@ def list_by_type(spark, sf_dir):
     return _short(L.page(L.filtered(_items(spark, sf_dir), L.Filters(item_type="book")), L.order("added")))
 
 
+def _numbered(rows):
+    """Volume, issue and pages taken from DOI and hash, which begin with digits or not: the test tables have no such columns."""
+    return rows.withColumns({"volume": F.split_part("doi", F.lit("."), F.lit(-1)), "issue": F.col("content_hash"), "pages": F.substring("content_hash", 3, 4)})
+
+
 def list_by_year(spark, sf_dir):
-    return _short(L.page(L.filtered(_items(spark, sf_dir), L.Filters(year=2012)), [F.asc_nulls_first("venue"), F.desc("id")]))
+    """The items of a year by venue, volume and issue."""
+    return _short(L.page(_numbered(L.filtered(_items(spark, sf_dir), L.Filters(year=2012))), L.year_order()))
 
 
 def list_by_venue(spark, sf_dir):
-    """Volumes as numbers: here taken from DOI and hash, which begin with digits or not."""
-    rows = L.filtered(_items(spark, sf_dir), L.Filters(venue=VENUE)).withColumns({"volume": F.split_part("doi", F.lit("."), F.lit(-1)), "issue": F.col("content_hash")})
-    return L.page(rows, L.venue_order()).select("id", "publication_year", X.lenient_int(F.col("volume")).alias("volume"), X.lenient_int(F.col("issue")).alias("issue"))
+    """The items of a venue by year, volume, issue and first page."""
+    rows = L.page(_numbered(L.filtered(_items(spark, sf_dir), L.Filters(venue=VENUE))), L.venue_order())
+    return rows.select("id", "publication_year", *[X.lenient_int(F.col(c)).alias(c) for c in ("volume", "issue", "pages")])
+
+
+def _tagged(spark, sf_dir):
+    """Tags and their items, from the kinds of documents about items."""
+    links = table(spark, sf_dir, "documents").where("item_id is not null and doc_type is not null").select("item_id", F.col("doc_type").alias("tag"))
+    return pipeline.tags_upserted(spark.createDataFrame([(5, "review")], "tag_id long, name string"), links)
+
+
+def tag_facet(spark, sf_dir):
+    """Every tag with the number of its items."""
+    tags, links = _tagged(spark, sf_dir)
+    return L.counts_with_zero(tags, "tag_id", links, "tag_id").select("name", "n")
+
+
+def tags_of_items(spark, sf_dir):
+    """The tags of each item in order: items, bridge and tags joined."""
+    tags, links = _tagged(spark, sf_dir)
+    rows = _items(spark, sf_dir).select(F.col("id").alias("item_id")).join(links, "item_id").join(tags, "tag_id")
+    return rows.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("tags"))
+
+
+def tag_feed(spark, sf_dir):
+    """The newest items of a tag."""
+    tags, links = _tagged(spark, sf_dir)
+    own = links.join(tags.where("name = 'letter'"), "tag_id").select("item_id")
+    return _short(L.page(L.filtered(_items(spark, sf_dir), L.Filters(items=own)), L.order("added"), 0, 100))
 
 
 def list_filtered_two(spark, sf_dir):
@@ -197,7 +230,7 @@ def json_prop_filter(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_recent, list_by_type, list_by_year, list_by_venue, list_filtered_two, list_by_author, sort_year, sort_year_asc, sort_title, sort_first_author, page_offset,
+        tag_facet, tags_of_items, tag_feed, list_recent, list_by_type, list_by_year, list_by_venue, list_filtered_two, list_by_author, sort_year, sort_year_asc, sort_title, sort_first_author, page_offset,
         count_by_type, count_all, facet_venue, facet_year, facet_author, facet_including_zero, collection_tree_rollup, prune_empty_collections, feed_projection,
         authors_per_item, item_full, full_text_concat, hydrate_by_ids, anti_unindexed, missing_artifact_kind, not_in_cited, artifact_status, json_prop_filter,
     )
@@ -225,9 +258,13 @@ _DISPLAY = "CASE WHEN trim(coalesce(given_name, '')) <> '' THEN given_name || '
 SQL = {
     "list_recent": f"SELECT {COLUMNS} FROM library_items ORDER BY added_at DESC, id DESC LIMIT 50",
     "list_by_type": f"SELECT {COLUMNS} FROM library_items WHERE item_type = 'book' ORDER BY added_at DESC, id DESC LIMIT 50",
-    "list_by_year": f"SELECT {COLUMNS} FROM library_items WHERE publication_year = 2012 ORDER BY venue NULLS FIRST, id DESC LIMIT 50",
-    "list_by_venue": f"""SELECT id, publication_year, {_int("split_part(doi, '.', -1)")} AS volume, {_int('content_hash')} AS issue FROM library_items WHERE venue = '{VENUE}'
-ORDER BY publication_year DESC NULLS LAST, volume DESC NULLS LAST, issue DESC NULLS LAST, id DESC LIMIT 50""",
+    "list_by_year": f"""SELECT {COLUMNS} FROM library_items WHERE publication_year = 2012
+ORDER BY venue NULLS FIRST, {_int("split_part(doi, '.', -1)")} DESC NULLS LAST, {_int('content_hash')} DESC NULLS LAST, id DESC LIMIT 50""",
+    "list_by_venue": f"""SELECT id, publication_year, {_int("split_part(doi, '.', -1)")} AS volume, {_int('content_hash')} AS issue, {_int('substr(content_hash, 3, 4)')} AS pages FROM library_items WHERE venue = '{VENUE}'
+ORDER BY publication_year DESC NULLS LAST, volume DESC NULLS LAST, issue DESC NULLS LAST, pages NULLS FIRST, id DESC LIMIT 50""",
+    "tag_facet": """SELECT name, count(DISTINCT item_id) AS n FROM (SELECT DISTINCT trim(doc_type) AS name, item_id FROM documents WHERE item_id IS NOT NULL AND trim(doc_type) <> '' UNION ALL SELECT 'review', NULL) GROUP BY 1""",
+    "tags_of_items": """SELECT item_id, string_agg(name, ',' ORDER BY name) AS tags FROM (SELECT DISTINCT item_id, trim(doc_type) AS name FROM documents WHERE trim(doc_type) <> '') JOIN library_items ON id = item_id GROUP BY 1""",
+    "tag_feed": f"SELECT {COLUMNS} FROM library_items WHERE id IN (SELECT item_id FROM documents WHERE trim(doc_type) = 'letter') ORDER BY added_at DESC, id DESC LIMIT 100",
     "list_filtered_two": f"SELECT {COLUMNS} FROM library_items WHERE item_type = 'paper' AND venue = '{VENUE}' ORDER BY lower(title), id DESC LIMIT 10 OFFSET 5",
     "list_by_author": f"""WITH l AS (SELECT DISTINCT * FROM item_authors), a AS (SELECT author_id FROM l GROUP BY 1 ORDER BY count(*) DESC, author_id LIMIT 1)
 SELECT {COLUMNS} FROM library_items WHERE id IN (SELECT item_id FROM l JOIN a USING (author_id)) ORDER BY publication_year DESC NULLS LAST, id DESC LIMIT 50""",

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from ..functions import text as X
 from ..functions.text import query_phrases
 from ..operators import fts, retrieval, vector
 from ..session import table
 
-DIM = 768
+DIM, LETTERS = 768, "abcdefghijklmnopqrstuvwxyz"
 QUERY, PHRASE, CHUNK_QUERY, SECTION = "handbook studies", "narrow-band lens", "reported samples", "methods"
 
 
-def _unique(df, key):
-    return df.dropDuplicates([key])
-
-
 def _query_vector(spark, sf_dir):
     """The usable embedding of the smallest item: a stated query vector."""
     rows = table(spark, sf_dir, "item_embeddings").where(F.size("embedding") == DIM)
@@ -44,13 +42,13 @@ def fts_index_search(spark, sf_dir):
 
 def fts_chunks(spark, sf_dir):
     """Keyword search over passages."""
-    out = fts.search(_unique(table(spark, sf_dir, "chunks"), "chunk_id"), CHUNK_QUERY, "chunk_id", ["text"], 20)
+    out = fts.search(table(spark, sf_dir, "chunks"), CHUNK_QUERY, "chunk_id", ["text"], 20, repeats=True)
     return out.select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def fts_by_section(spark, sf_dir):
     """Passages of one section only; statistics are those of all passages."""
-    out = fts.search(_unique(table(spark, sf_dir, "chunks"), "chunk_id"), CHUNK_QUERY, "chunk_id", ["text"], 20, where=F.col("section") == SECTION)
+    out = fts.search(table(spark, sf_dir, "chunks"), CHUNK_QUERY, "chunk_id", ["text"], 20, where=F.col("section") == SECTION, repeats=True)
     return out.select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -101,10 +99,11 @@ def hybrid_search(spark, sf_dir):
 
 def best_snippet_per_item(spark, sf_dir):
     """Every item's best passage for a query."""
-    hits = fts.search(_unique(table(spark, sf_dir, "chunks"), "chunk_id"), CHUNK_QUERY, "chunk_id", ["text"], None)
-    rows = hits.join(_unique(table(spark, sf_dir, "chunks"), "chunk_id").select("chunk_id", "item_id", "page", "text"), "chunk_id")
-    best = retrieval.first_per(rows, "item_id", [F.col("score"), F.col("chunk_id")])
-    return best.select("item_id", "chunk_id", "page", F.round("score", 6).alias("score"), F.length("text").alias("n_chars"))
+    # ranked by ids; texts are measured where they stand
+    hits = fts.search(table(spark, sf_dir, "chunks"), CHUNK_QUERY, "chunk_id", ["text"], None, repeats=True)
+    facts = table(spark, sf_dir, "chunks").select("chunk_id", "item_id", "page", F.length("text").alias("n_chars")).distinct()
+    best = retrieval.first_per(hits.join(facts, "chunk_id"), "item_id", [F.col("score"), F.col("chunk_id")])
+    return best.select("item_id", "chunk_id", "page", F.round("score", 6).alias("score"), "n_chars")
 
 
 def get_snippets_scoped(spark, sf_dir):
@@ -123,9 +122,71 @@ def eval_recall_at_10(spark, sf_dir):
     return joined.groupBy("query_id").agg(F.round(F.avg((F.coalesce("venue", F.lit("")) == F.col("own")).cast("double")), 6).alias("recall"))
 
 
+def _profiles(spark, sf_dir):
+    """Letter profiles stand in for passage vectors: SQL can count letters too."""
+    rows = table(spark, sf_dir, "chunks").where("text is not null")
+    return rows.select("chunk_id", X.letter_profile(F.col("text")).alias("embedding"))
+
+
+def _profile(text):
+    return [float(text.count(c)) for c in LETTERS]
+
+
+def knn_chunks(spark, sf_dir):
+    """The twenty passages nearest to a query vector."""
+    chunks = table(spark, sf_dir, "chunks")
+    return retrieval.vector_passages(chunks, _profiles(spark, sf_dir), _profile(CHUNK_QUERY), 20, dim=26).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def knn_chunks_by_section(spark, sf_dir):
+    """Five times the wanted nearest passages, of these the ones of a section."""
+    chunks = table(spark, sf_dir, "chunks")
+    return retrieval.vector_passages(chunks, _profiles(spark, sf_dir), _profile(CHUNK_QUERY), 40, section="other", dim=26).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def get_snippets_semantic(spark, sf_dir):
+    """Three times the wanted nearest passages, of these the ones of papers."""
+    scope = table(spark, sf_dir, "library_items").where("item_type = 'paper'").select(F.col("id").alias("item_id"))
+    chunks = table(spark, sf_dir, "chunks")
+    out = retrieval.passages(chunks, CHUNK_QUERY, 20, None, scope, _profiles(spark, sf_dir), _profile(CHUNK_QUERY), 26)
+    return out.select("chunk_id", "item_id", "chunk_index", F.round("score", 6).alias("score"))
+
+
+def best_snippet_semantic(spark, sf_dir):
+    """Of the hundred nearest passages each item's nearest one."""
+    items = table(spark, sf_dir, "library_items").select(F.col("id").alias("item_id"))
+    out = retrieval.best_passages(items, table(spark, sf_dir, "chunks"), CHUNK_QUERY, None, 20, "semantic", _profiles(spark, sf_dir), _profile(CHUNK_QUERY), 26)
+    return out.where("chunk_id is not null").select("item_id", "chunk_id", "page", "chunk_index", F.length("snippet").alias("n_chars"))
+
+
+def fts_stored_index(spark, sf_dir):
+    """Passages of one section from a stored index: only the postings of the query's words are read."""
+    chunks = table(spark, sf_dir, "chunks")
+    index = fts.Index.write(chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", ["text"])
+    return retrieval.keyword_passages(chunks, CHUNK_QUERY, 20, SECTION, None, index).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def fts_notes(spark, sf_dir):
+    """Keyword search over titles, abstracts and notes; venues stand in for notes."""
+    items = table(spark, sf_dir, "library_items").withColumn("notes", F.col("venue"))
+    out = retrieval.hybrid(items, table(spark, sf_dir, "item_embeddings"), "annals of", None, 20, "keyword")
+    return out.select("item_id", "rank")
+
+
+def search_evaluation(spark, sf_dir):
+    """Recall at ten of keyword and of semantic search for items' own titles' first words, with a made-up duration."""
+    near = knn_query_set(spark, sf_dir)
+    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "item_id"))
+    runs = near.select(F.lit("semantic").alias("mode"), "query_id", "item_id", rank.alias("rank"), F.pmod("query_id", F.lit(97)).cast("double").alias("ms"))
+    expected = near.where("distance < 0.3").select("query_id", "item_id")
+    out = retrieval.evaluation(runs, expected, 3)
+    return out.select("mode", "queries", F.round("recall", 6).alias("recall"), F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        knn_chunks, knn_chunks_by_section, get_snippets_semantic, best_snippet_semantic, fts_stored_index, fts_notes, search_evaluation,
         fts_items_bm25, fts_and_phrase, fts_index_search, fts_chunks, fts_by_section, fts_document_search, knn_items, knn_postfilter, knn_query_set,
         rrf_fusion, hybrid_search, best_snippet_per_item, get_snippets_scoped, eval_recall_at_10,
     )
@@ -191,3 +252,21 @@ WHERE item_id IN (SELECT id FROM library_items WHERE item_type = 'book') ORDER B
 SQL["eval_recall_at_10"] = f"""WITH near AS ({SQL['knn_query_set']}), i AS (SELECT id, lower(trim(venue)) AS venue FROM library_items WHERE venue IS NOT NULL)
 SELECT query_id, round(avg(CASE WHEN coalesce(b.venue, '') = a.venue THEN 1.0 ELSE 0.0 END), 6) AS recall
 FROM near JOIN i a ON a.id = query_id LEFT JOIN i b ON b.id = item_id WHERE query_id <> item_id GROUP BY query_id"""
+
+_PROFILE = ", ".join(f"CAST(length(lower(text)) - length(replace(lower(text), '{c}', '')) AS DOUBLE)" for c in LETTERS)
+_PASSAGES = f"""p AS (SELECT *, [{_PROFILE}] AS e FROM (SELECT DISTINCT chunk_id, item_id, chunk_index, page, section, text FROM chunks WHERE text IS NOT NULL)),
+np AS (SELECT *, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(e, {_profile(CHUNK_QUERY)}::DOUBLE[]))), 9) AS d FROM p WHERE list_sum(e) > 0 ORDER BY d, chunk_id LIMIT {{n}})"""
+SQL |= {
+    "knn_chunks": f"WITH {_PASSAGES.format(n=20)} SELECT chunk_id, round(-d, 6) AS score FROM np",
+    "knn_chunks_by_section": f"WITH {_PASSAGES.format(n=200)} SELECT chunk_id, round(-d, 6) AS score FROM (SELECT * FROM np WHERE section = 'other' ORDER BY d, chunk_id LIMIT 40)",
+    "get_snippets_semantic": f"""WITH {_PASSAGES.format(n=60)} SELECT chunk_id, item_id, chunk_index, round(-d, 6) AS score FROM (
+  SELECT * FROM np WHERE item_id IN (SELECT id FROM library_items WHERE item_type = 'paper') ORDER BY d, chunk_id LIMIT 20)""",
+    "best_snippet_semantic": f"""WITH {_PASSAGES.format(n=100)} SELECT item_id, chunk_id, page, chunk_index, CAST(length(text) AS INTEGER) AS n_chars FROM np
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY d, chunk_id) = 1""",
+    "fts_stored_index": SQL["fts_by_section"],
+    "fts_notes": f"WITH {bm25_sql('library_items', 'id', ['title', 'abstract', 'venue'], 'annals of', 20)} SELECT id AS item_id, CAST(row_number() OVER (ORDER BY score, id) AS INTEGER) AS rank FROM hits",
+    "search_evaluation": f"""WITH near AS ({SQL['knn_query_set']}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank FROM near),
+q AS (SELECT query_id, count(*) FILTER (distance < 0.3) AS wanted, count(*) FILTER (distance < 0.3 AND rank <= 3) AS hits, query_id % 97 AS ms FROM r GROUP BY 1)
+SELECT 'semantic' AS mode, count(*) FILTER (wanted > 0) AS queries, round(avg(hits / wanted) FILTER (wanted > 0), 6) AS recall,
+  round(quantile_cont(CAST(ms AS DOUBLE), 0.5), 6) AS p50_ms, round(quantile_cont(CAST(ms AS DOUBLE), 0.95), 6) AS p95_ms FROM q""",
+}

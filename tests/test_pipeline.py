@@ -79,3 +79,29 @@ def test_command_line(capsys):
 
     assert main(["version"]) == 0 and main(["queries"]) == 0
     assert "hybrid_search" in capsys.readouterr().out
+
+
+def test_merges_join_authors_and_json(spark):
+    items = spark.createDataFrame([(1, "One", '{"a":"1","b":"2"}')], "id long, title string, metadata_json string")
+    new = spark.createDataFrame([(10, "One", '{"b":"3"}'), (11, "One", '{"b":"4","c":"5"}'), (12, "Other", None)], "id long, title string, metadata_json string")
+    decisions = spark.createDataFrame([(10, "merge", 1), (11, "merge", 1), (12, "insert", None)], "id long, outcome string, target_id long").withColumns({"relation": F.lit(None).cast("string"), "confidence": F.lit(1.0), "reason": F.lit("x")})
+    old = spark.createDataFrame([(1, 5, 0, "author")], "item_id long, author_id long, position int, role string")
+    own = spark.createDataFrame([(10, 5, 0, "author"), (10, 6, 1, "author"), (12, 7, 0, "editor")], "item_id long, author_id long, position int, role string")
+    out = L.acted(decisions, new, items, item_authors=old, candidate_authors=own)
+    assert {r.id: r.metadata_json for r in out["items"].collect()} == {1: '{"a":"1","b":"4","c":"5"}', 12: None}
+    assert {tuple(r) for r in out["item_authors"].collect()} == {(1, 5, 0, "author"), (1, 6, 1, "author"), (12, 7, 0, "editor")}
+
+
+def test_collections_and_deletes(spark):
+    known = spark.createDataFrame([(1, "Physics", None), (2, "Reactors", 1)], "collection_id long, name string, parent_id long")
+    incoming = spark.createDataFrame([(70, "Physics", None), (71, "Reactors", 70), (72, "Boron", 71), (73, " ", None), (74, "Reactors", None)], "source_id long, name string, parent_id long")
+    after, ids = L.collections_upserted(known, incoming)
+    ids = {r.source_id: r.collection_id for r in ids.collect()}
+    assert (ids[70], ids[71]) == (1, 2) and {ids[72], ids[74]} == {3, 4}
+    assert {(r.name, r.parent_id) for r in after.collect()} == {("Physics", None), ("Reactors", 1), ("Boron", 2), ("Reactors", None)}
+    tables = {
+        "library_items": spark.createDataFrame([(1,), (2,)], "id long"), "chunks": spark.createDataFrame([(5, 1), (6, 2)], "chunk_id long, item_id long"),
+        "chunk_embeddings": spark.createDataFrame([(5,), (6,)], "chunk_id long"), "item_relations": spark.createDataFrame([(1, 2), (2, 2)], "subject_id long, object_id long"),
+    }
+    left = L.deleted(tables, spark.createDataFrame([(1,)], "id long"))
+    assert {n: df.count() for n, df in left.items()} == {"library_items": 1, "chunks": 1, "chunk_embeddings": 1, "item_relations": 1}

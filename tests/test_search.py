@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfwise.functions import pyfuncs as P
 from shelfwise.operators import fts, retrieval, vector
@@ -93,3 +94,57 @@ def test_chunks_of_pages():
     three = P.chunk_pages([(p, " ".join(["word."] * 150)) for p in (1, 2, 3)], 100, 10)
     assert {c[1] for c in three} == {1, 2, 3} and three[0][1] == 1
     assert P.chunk_pages([]) == [] and P.chunk_pages([(1, "")]) == []
+
+
+def test_chunks_of_items_are_those_of_their_pages(spark):
+    """Borders from sentence lengths alone give what chunking an item's pages at once gives, one hot item among them."""
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(" ".join(["w%d" % rng.integers(99)] * int(rng.integers(1, 9))) + rng.choice([".", "!", "?", ","]) for _ in range(int(rng.integers(0, 9))))
+    rows = [(i, p, text() if p % 7 else None) for i in range(4) for p in range(1, 400 if i == 0 else 9)]
+    frame = spark.createDataFrame(rows, "item_id long, page int, text string").repartition(5)
+    got = {}
+    for r in P.chunk_items(frame, "item_id", target=20, overlap=4).orderBy("item_id", "chunk_index").collect():
+        got.setdefault(r.item_id, []).append((r.chunk_index, r.page, r.text))
+    for i in range(4):
+        assert got.get(i, []) == P.chunk_pages([(p, t) for j, p, t in rows if j == i and t is not None], 20, 4)
+
+
+CHUNKS = "chunk_id long, item_id long, page int, chunk_index int, section string, text string"
+
+
+def test_passages_by_vectors(spark):
+    chunks = spark.createDataFrame([(k, k % 4, 1, k, ("methods", "results")[k % 2], f"text {k}") for k in range(40)] * 2, CHUNKS)
+    angle = lambda k: [float(np.cos(k / 30)), float(np.sin(k / 30))]
+    vectors = spark.createDataFrame([(k, angle(k)) for k in range(40)], "chunk_id long, embedding array<double>")
+    ids = lambda df: [r.chunk_id for r in df.orderBy(F.desc("score"), "chunk_id").collect()]
+    assert ids(retrieval.vector_passages(chunks, vectors, angle(0), 3, dim=2)) == [0, 1, 2]
+    assert ids(retrieval.vector_passages(chunks, vectors, angle(0), 3, section="results", dim=2)) == [1, 3, 5]
+    scope = spark.createDataFrame([(3,)], "item_id long")
+    assert ids(retrieval.vector_passages(chunks, vectors, angle(0), 3, items=scope, dim=2)) == [3, 7]  # among three times the limit
+    assert ids(retrieval.vector_passages(chunks, vectors, angle(0), 3, items=scope, dim=2, exact=True)) == [3, 7, 11]
+    # no vector at all: keywords answer a search for passages and a hybrid one, not a semantic one
+    none = vectors.limit(0)
+    assert retrieval.passages(chunks, "text 7", 3, vectors=none, query_vector=angle(0), dim=2).collect()[0].chunk_id == 7
+    items = spark.createDataFrame([(3,)], "item_id long")
+    best = lambda mode: retrieval.best_passages(items, chunks, "text 7", n=5, mode=mode, vectors=none, query_vector=angle(0), dim=2).first().chunk_id
+    assert best("hybrid") == 7 and best("semantic") is None
+
+
+def test_stored_index_answers_as_a_scan(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "id long, title string, abstract string")
+    index = fts.Index.write(docs, "id", ["title", "abstract"], str(tmp_path))
+    for query in ("boron", "or-gate", "boron dilution", "absent", "?"):
+        want = {r.id: round(r.score, 9) for r in fts.search(docs, query, "id", ["title", "abstract"]).collect()}
+        assert {r.id: round(r.score, 9) for r in index.search(spark, query).collect()} == want
+    inside = spark.createDataFrame([(1,), (6,)], "id long")
+    assert {r.id for r in index.search(spark, "boron", within=inside).collect()} == {1, 6}
+
+
+def test_evaluation_and_match_rates(spark):
+    runs = spark.createDataFrame([("k", 1, 10, 1, 5.0), ("k", 1, 11, 2, 5.0), ("k", 2, 12, 1, 15.0), ("s", 1, 13, 1, 1.0)], "mode string, query_id long, item_id long, rank int, ms double")
+    want = spark.createDataFrame([(1, 10), (1, 13), (2, 99)], "query_id long, item_id long")
+    got = {r.mode: (r.queries, r.recall, r.p50_ms) for r in retrieval.evaluation(runs, want).collect()}
+    assert got == {"k": (2, 0.25, 10.0), "s": (2, 0.25, 1.0)}
+    a = spark.createDataFrame([(1, " Title ", 2000), (2, "x", None)], "id long, title string, year int")
+    b = spark.createDataFrame([(1, "title", 2001), (2, None, None), (3, "y", 1)], "id long, title string, year int")
+    assert {(r.field, r.compared, r.matched) for r in retrieval.match_rates(a, b, ["title", "year"]).collect()} == {("title", 2, 1), ("year", 2, 0)}

@@ -169,3 +169,17 @@ def test_embedder_is_deterministic(spark):
     frame = spark.createDataFrame([("a",), ("b",), (None,)], "t string").select("t", P.stub_embedder(8)("t").alias("v"))
     rows = {r.t: r.v for r in frame.collect()}
     assert len(rows["a"]) == 8 and rows["a"] == P.stub_vector("a", 8).tolist() and rows["a"] != rows["b"] and rows[None] == P.stub_vector("", 8).tolist()
+
+
+def test_outlines_and_loose_headers(spark):
+    from shelfwise.functions import pyfuncs as P
+    from shelfwise.sources import files as S
+    from shelfwise.sources import registry as R
+
+    pdfs = spark.createDataFrame([("a.pdf", bytearray(b"2")), ("b.pdf", bytearray(b"1")), ("c.pdf", None)], "path string, content binary")
+    read = lambda c: [(1, " One ", 1), (2, "Deep", 2), (1, "Two", 5)][: 3 if bytes(c) == b"2" else 1]
+    assert [tuple(r) for r in S.pdf_outline(pdfs, read).orderBy("position").collect()] == [("a.pdf", 0, "One", 1), ("a.pdf", 1, "Two", 5)]
+    tei = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt><sourceDesc><biblStruct><monogr><title>J. Test</title><imprint><date when="1999-05"/></imprint></monogr><note>see 10.1234/abc.</note></biblStruct></sourceDesc></fileDesc></teiHeader></TEI>'
+    frame = spark.createDataFrame([("1", tei)], "key string, tei string").select("key", P.tei("tei").alias("tei"))
+    row = R.header_records(frame).first()
+    assert (row.title, row.venue, row.doi, row.publication_year) == ("T", "J. Test", "10.1234/abc", 1999)
