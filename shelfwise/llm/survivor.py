@@ -3,7 +3,7 @@
 Two operators stand here. ``surviving_fields`` takes, for each field, the value of the most trusted
 candidate that has one; TESTDATA.md fixes that order, so that it, not the model, decides ``p5_found``.
 ``truth_model`` is the latent two-sided quality model: expectation-maximisation infers the sensitivity and
-specificity of each source, and every value judged true is kept, several of one field if need be.
+specificity of each source in the data, and every value judged true is kept, several of one field if need be.
 
 Defined results: exact repeats count once; null item ids or candidate ids are left out; a null, NaN or
 negative confidence is 0, one above 1 a percentage; a null fetched_at is the oldest; an empty table gives an
@@ -12,10 +12,13 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import numpy as np
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 FIELDS = ("title", "abstract", "publication_year", "doi", "venue")
 
 #: Sources in order of trust; those of one line are equals (fixed values).
@@ -109,8 +112,8 @@ def best_records(candidates: DataFrame) -> DataFrame:
 
 # --- the latent two-sided quality model -------------------------------------------------------------------
 
-#: Bits of the source masks: one for each line of TRUST and one for all other sources.
-SOURCES = len(TRUST) + 1
+#: Rounds of expectation-maximisation at most, and the change of a quality below which it ends.
+ROUNDS, STILL = 40, 1e-4
 
 
 def _plain_value(field: str) -> Column:
@@ -123,56 +126,68 @@ def _plain_value(field: str) -> Column:
 
 
 def claims(candidates: DataFrame) -> DataFrame:
-    """(item_id, field, value, said, silent): the masks of the sources that give the value, and that give another."""
-    bit = F.pow(F.lit(2), trust_rank(F.col("source"))).cast("int")
+    """(item_id, field, value, said, silent): the sources that give the value, and those that give another, as sorted arrays."""
+    source = F.coalesce(F.nullif(plain_source(F.col("source")), F.lit("")), F.lit("(none)"))
     made = candidates.where("item_id is not null").select(
         "item_id",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.when(has_value(f), _plain_value(f)).alias("value")) for f in FIELDS])).alias("x"),
-        bit.alias("bit"),
+        source.alias("source"),
     ).where("x.value <> ''")
-    facts = made.groupBy("item_id", "x.field", "x.value").agg(F.bit_or("bit").alias("said"))
-    heard = facts.groupBy("item_id", "field").agg(F.bit_or("said").alias("heard"))
-    return facts.join(heard, ["item_id", "field"]).withColumn("silent", F.expr("heard & ~said")).drop("heard")
-
-
-def fit_quality(patterns: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """EM over (said, silent, count) patterns: sensitivity and specificity by source, prior, P(true) by pattern."""
-    said = (patterns[:, :1] >> np.arange(SOURCES)) & 1
-    silent = (patterns[:, 1:2] >> np.arange(SOURCES)) & 1
-    n = patterns[:, 2].astype(float)
-    # a value starts as true in the share of heard sources that give it
-    true = (said.sum(1) + 0.5) / (said.sum(1) + silent.sum(1) + 1.0)
-    for _ in range(rounds):
-        weight, lack = n * true, n * (1 - true)
-        sensitivity = (weight @ said + 2) / (weight @ (said + silent) + 3)
-        specificity = (lack @ silent + 2) / (lack @ (said + silent) + 3)
-        prior = (weight.sum() + 1) / (n.sum() + 2)
-        log = np.log(prior / (1 - prior)) + said @ np.log(sensitivity / (1 - specificity)) + silent @ np.log((1 - sensitivity) / specificity)
-        true = 1 / (1 + np.exp(-np.clip(log, -50, 50)))
-    return sensitivity, specificity, prior, true
+    facts = made.groupBy("item_id", "x.field", "x.value").agg(F.array_sort(F.collect_set("source")).alias("said"))
+    heard = made.groupBy("item_id", "x.field").agg(F.array_sort(F.collect_set("source")).alias("heard"))
+    return facts.join(heard, ["item_id", "field"]).withColumn("silent", F.array_except("heard", "said")).drop("heard")
+
+
+def _odds(names: list[str], gains: list[float]) -> Column:
+    """A map from sources to what each adds to the log odds of a value."""
+    return F.create_map(*[F.lit(x) for pair in zip(names, gains) for x in pair])
+
+
+def _probability(sources: dict[str, tuple[float, float]], prior: float) -> Column:
+    names = sorted(sources)
+    yes = _odds(names, [log(sources[s][0] / (1 - sources[s][1])) for s in names])
+    no = _odds(names, [log((1 - sources[s][0]) / sources[s][1]) for s in names])
+    total = F.lit(log(prior / (1 - prior)))
+    total = total + F.aggregate("said", F.lit(0.0), lambda a, x: a + yes[x]) + F.aggregate("silent", F.lit(0.0), lambda a, x: a + no[x])
+    return 1 / (1 + F.exp(-F.greatest(F.least(total, F.lit(50.0)), F.lit(-50.0))))
 
 
 def truth_model(candidates: DataFrame, keep: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Values judged true, and the quality of each source.
 
-    First: (item_id, field, value, probability, kept). Second: (source, sensitivity, specificity).
-    The E-step depends on a value only through the two masks of sources, so the model is fitted on the counts
-    of distinct mask pairs: at most 4**SOURCES = 65,536 rows reach the driver, whatever the size of the data.
+    First: (item_id, field, value, probability, kept), every value with a probability of ``keep`` or more kept, several of
+    one field if need be. Second: (source, sensitivity, specificity), a row for each source in the data.
+
+    A value's probability depends on the sources that give it and those that give another alone, so the rounds run
+    over the distinct pairs of such sets with their counts, as a table; of a round only sums come to the driver,
+    one row for each source. A value starts as true in the share of heard sources that give it.
     """
     spark = candidates.sparkSession
-    facts = claims(candidates)
-    rows = facts.groupBy("said", "silent").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    patterns = rows[["said", "silent", "n"]].to_numpy(dtype=np.int64).reshape(-1, 3)
-    sensitivity, specificity, _, true = fit_quality(patterns)
-    judged = spark.createDataFrame(
-        [(int(a), int(b), round(float(p), 6)) for (a, b, _), p in zip(patterns, true)], "said int, silent int, probability double"
-    )
-    names = ["/".join(x) for x in TRUST] + ["other"]
-    quality = spark.createDataFrame(
-        [(s, round(float(a), 6), round(float(b), 6)) for s, a, b in zip(names, sensitivity, specificity)],
-        "source string, sensitivity double, specificity double",
-    )
-    values = facts.join(F.broadcast(judged), ["said", "silent"]).select(
-        "item_id", "field", "value", "probability", (F.col("probability") >= keep).alias("kept")
-    )
+    facts, _ = cut(claims(candidates), "claims")
+    patterns, _ = cut(facts.groupBy("said", "silent").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    sources: dict[str, tuple[float, float]] = {}
+    true: Column = (F.size("said") + 0.5) / (F.size("said") + F.size("silent") + 1.0)
+    prior = 0.5
+    for _ in range(ROUNDS):
+        judged = patterns.select("said", "silent", "n", true.alias("t"))
+        mark = lambda y: lambda x: F.struct(x.alias("source"), F.lit(y).alias("said"))
+        marks = F.explode(F.concat(F.transform("said", mark(1)), F.transform("silent", mark(0))))
+        sums = judged.select("n", "t", marks.alias("m")).groupBy("m.source").agg(
+            F.sum(F.col("n") * F.col("t") * F.col("m.said")).alias("hit"),
+            F.sum(F.col("n") * F.col("t")).alias("true"),
+            F.sum(F.col("n") * (1 - F.col("t")) * (1 - F.col("m.said"))).alias("passed"),
+            F.sum(F.col("n") * (1 - F.col("t"))).alias("false"),
+        )
+        rows = sums.collect()
+        if not rows:
+            break
+        whole = judged.agg(F.sum(F.col("n") * F.col("t")).alias("t"), F.sum("n").alias("n")).first()
+        before = sources
+        sources = {r.source: ((r.hit + 2) / (r.true + 3), (r.passed + 2) / (r.false + 3)) for r in rows}
+        prior = (whole.t + 1) / (whole.n + 2)
+        true = _probability(sources, prior)
+        if before and max(abs(a - b) for s in sources for a, b in zip(sources[s], before[s])) < STILL:
+            break
+    quality = spark.createDataFrame([(s, round(a, 6), round(b, 6)) for s, (a, b) in sorted(sources.items())], "source string, sensitivity double, specificity double")
+    values = facts.withColumn("probability", F.round(true, 6)).select("item_id", "field", "value", "probability", (F.col("probability") >= keep).alias("kept"))
     return values, quality
