@@ -94,19 +94,15 @@ def split_oversized(rows: DataFrame, text_col: str = "text", limit: int = LIMIT,
         lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["all"], F.array(a["sum"] + n)).alias("all")),
         lambda a: a["all"],
     )
-    each = cores.withColumn("__ends", ends).select(*keep, "__words", F.posexplode(F.arrays_zip("__cores", "__sizes", "__ends")).alias("piece_no", "__c"))
-    size, end = F.col("__c")["__sizes"], F.col("__c")["__ends"]
-    back = F.least(F.lit(overlap), F.lit(limit) - size, end - size)
-    piece = F.array_join(F.slice("__words", end - size - back + 1, size + back), "")
-    pieces = each.select(
-        *keep,
-        "piece_no",
-        F.regexp_replace(piece, r"(?U)\s+\z", "").alias("piece"),
-        (size + back).alias("piece_words"),
-        back.alias("overlap_words"),
-        F.col("__c")["__cores"]["cut"].alias("cut"),
-    )
-    return whole.unionByName(pieces)
+    # pieces are formed beside their text, so that none carries more than itself
+    def piece(c: Column) -> Column:
+        size, end = c["__sizes"], c["__ends"]
+        back = F.least(F.lit(overlap), F.lit(limit) - size, end - size)
+        text = F.array_join(F.slice("__words", end - size - back + 1, size + back), "")
+        return F.struct(F.regexp_replace(text, r"(?U)\s+\z", "").alias("piece"), (size + back).alias("piece_words"), back.alias("overlap_words"), c["__cores"]["cut"].alias("cut"))
+
+    each = cores.withColumn("__ends", ends).select(*keep, F.posexplode(F.transform(F.arrays_zip("__cores", "__sizes", "__ends"), piece)).alias("piece_no", "__p"))
+    return whole.unionByName(each.select(*keep, "piece_no", "__p.*"))
 
 
 def split_characters(rows: DataFrame, text_col: str = "text", limit: int = 2000, overlap: int = 200) -> DataFrame:
@@ -115,11 +111,18 @@ def split_characters(rows: DataFrame, text_col: str = "text", limit: int = 2000,
         raise ValueError("limit must be at least 1 and overlap between 0 and limit - 1")
     keep = [c for c in rows.columns if c not in (text_col, "piece_no", "piece", "cut", "overlap_chars")]
     text = F.col(text_col)
-    each = rows.where(text.isNotNull()).select(*keep, text.alias("__text"), F.posexplode(_cores(text, char_pattern(limit, overlap), 4)).alias("piece_no", "__c"), _cores(text, char_pattern(limit, overlap), 4).alias("__all"))
-    room = F.least(F.lit(overlap), F.lit(limit) - F.length(F.col("__c")["text"]))
-    before = F.when(F.col("piece_no") > 0, F.element_at("__all", F.col("piece_no"))["text"]).otherwise("")
-    back = F.when(room > 0, F.substring(before, F.greatest(F.length(before) - room + 1, F.lit(1)), room)).otherwise("")
-    return each.select(*keep, "piece_no", F.concat(back, F.col("__c")["text"]).alias("piece"), F.length(back).alias("overlap_chars"), F.col("__c")["cut"].alias("cut"))
+    cores = rows.where(text.isNotNull()).select(*keep, _cores(text, char_pattern(limit, overlap), 4).alias("__c"))
+    previous = F.concat(F.array(F.lit("")), F.transform(F.slice("__c", F.lit(1), F.greatest(F.size("__c") - 1, F.lit(0))), lambda c: c["text"]))
+
+    def piece(c: Column) -> Column:
+        room = F.least(F.lit(overlap), F.lit(limit) - F.length(c["c"]["text"]))
+        before = c["before"]
+        back = F.when(room > 0, F.substring(before, F.greatest(F.length(before) - room + 1, F.lit(1)), room)).otherwise("")
+        return F.struct(F.concat(back, c["c"]["text"]).alias("piece"), F.length(back).alias("overlap_chars"), c["c"]["cut"].alias("cut"))
+
+    zipped = F.arrays_zip(F.col("__c").alias("c"), previous.alias("before"))
+    each = cores.where(F.size("__c") > 0).select(*keep, F.posexplode(F.transform(zipped, piece)).alias("piece_no", "__p"))
+    return each.select(*keep, "piece_no", "__p.*")
 
 
 def oversized_boundaries(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -128,12 +131,8 @@ def oversized_boundaries(chunks: DataFrame, limit: int = LIMIT, overlap: int = O
     A paragraph that fits is never cut elsewhere, nor is a sentence that fits, so the weakest cut tells whether
     every paragraph, else every sentence, is within the limit.
     """
-    weakness = F.when(F.col("cut") == "paragraph", 0).when(F.col("cut") == "sentence", 1).otherwise(2)
+    weakness = lambda c: F.when(c["cut"] == "paragraph", 0).when(c["cut"] == "sentence", 1).otherwise(2)
     names = F.array(F.lit("paragraph"), F.lit("sentence"), F.lit("word"))
-    return (
-        split_oversized(chunks.select("chunk_id", "text").where("chunk_id is not null"), limit=limit, overlap=overlap)
-        .where("cut is not null")
-        .groupBy("chunk_id")
-        .agg(F.max(weakness).alias("worst"))
-        .select("chunk_id", F.get(names, F.col("worst")).alias("boundary"))
-    )
+    long = chunks.select("chunk_id", "text").where("chunk_id is not null").where(word_count(F.col("text")) > limit)
+    worst = F.array_max(F.transform(_cores(F.col("text"), core_pattern(limit, overlap), 3), weakness))
+    return long.select("chunk_id", worst.alias("worst")).groupBy("chunk_id").agg(F.max("worst").alias("worst")).select("chunk_id", F.get(names, F.col("worst")).alias("boundary"))
