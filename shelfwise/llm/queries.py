@@ -80,7 +80,7 @@ def p8_ids(spark, sf_dir):
 
 def p8_roundtrip(spark, sf_dir):
     """Every document decoded from its ids."""
-    return tokenising.decode(tokenising.encode(table(spark, sf_dir, "documents")), as_col="text").select("doc_id", F.size("ids").alias("n_ids"), "text")
+    return tokenising.decode(tokenising.encode(table(spark, sf_dir, "documents")), as_col="text").select("doc_id", "text")
 
 
 def p9_found(spark, sf_dir):
@@ -155,6 +155,15 @@ def _first(field: str, what: str) -> str:
     return f"SELECT item_id, {what} FROM r WHERE {_valid(field)} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank, conf DESC, fetched_at DESC NULLS LAST, candidate_id) = 1"
 
 
+_LINE_ENDS, _SPACES = "\\n\\r\\x0B\\f\\x{85}\\x{2028}\\x{2029}", "\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}"
+_SPACE = f"[\\t {_LINE_ENDS}{_SPACES}]"
+_BREAK, _BLANK = f"(?:\\r\\n|[{_LINE_ENDS}])", f"[\\t {_SPACES}]*"
+
+
+def _words(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[^\\t {_LINE_ENDS}{_SPACES}]+'))"
+
+
 SQL = {
     "p3_found": """
 WITH RECURSIVE e AS (
@@ -185,6 +194,11 @@ SELECT DISTINCT least(a, b) AS item_a, greatest(a, b) AS item_b FROM k WHERE sim
     + "".join(f", f_{f} AS ({_first(f, f)})" for f in survivor.FIELDS)
     + " SELECT item_id, title, abstract, publication_year, doi, venue FROM (SELECT DISTINCT item_id FROM c)"
     + "".join(f" LEFT JOIN f_{f} USING (item_id)" for f in survivor.FIELDS),
-    "p8_roundtrip": None,
+    "p2_found": f"""
+WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT chunk_id, unnest(regexp_split_to_array(text, '{_BREAK}{_BLANK}{_BREAK}')) AS part FROM c WHERE {_words('text')} > 400),
+s AS (SELECT chunk_id, {_words('part')} AS n, list_max(list_transform(regexp_split_to_array(regexp_replace(part, '([.!?])({_SPACE})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {_words('x')})) AS longest FROM p)
+SELECT chunk_id, CASE WHEN max(n) <= 400 THEN 'paragraph' WHEN max(longest) <= 400 THEN 'sentence' ELSE 'word' END AS boundary FROM s GROUP BY 1
+""",
+    "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
-SQL = {name: sql for name, sql in SQL.items() if sql}
