@@ -218,5 +218,7 @@ SELECT id, '@' || kind || chr(123) || coalesce(nullif(concat_ws('_', lower(strip
     "erratum_targets": "SELECT id, trim(title, '\"''. ') AS named FROM library_items WHERE id % 2 = 0 AND length(trim(title, '\"''. ')) >= 15",
     "embedding_texts": "SELECT id, md5(coalesce(title, '') || ' [SEP] ' || CASE WHEN trim(coalesce(abstract, ''), ' ') <> '' THEN abstract ELSE '' END) AS hash FROM library_items",
     "term_counts": f"SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {_DOC}) GROUP BY 1",
+    "tei_sections": """SELECT id, no, level, heading, text, label FROM (SELECT id, trim(regexp_replace(abstract, '\\s+', ' ', 'g'), ' ') AS a FROM library_items WHERE abstract IS NOT NULL),
+  LATERAL (SELECT * FROM (VALUES (0, 1, 'Introduction', a, 'introduction'), (1, 2, 'Methods', 'First.' || chr(10) || chr(10) || 'Second.', 'methods')) AS v(no, level, heading, text, label))""",
     "strip_tags": "SELECT id, trim(regexp_replace(abstract, '<[^>]+>', '', 'g'), ' ') AS abstract FROM library_items WHERE abstract IS NOT NULL",
 }
