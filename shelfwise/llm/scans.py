@@ -114,39 +114,45 @@ def _pages(chunks: DataFrame) -> DataFrame:
     return chunks.where("chunk_id is not null and page is not null and text is not null").select("chunk_id", "item_id", "chunk_index", "page", "text")
 
 
+#: The first two lines of a text that are not blank, from the first character that is none.
+_FIRST_TWO = r"^[\s\u00a0\u2003]*+([^\r\n]++)[\r\n][\s\u00a0\u2003]*+([^\r\n]++)"
+
+
 def edge_lines(chunks: DataFrame) -> DataFrame:
-    """First and last lines of each chunk of a page: (chunk_id, item_id, page, at, line, runs_on, number, head, alone).
+    """First and last lines of each chunk of a page: (chunk_id, item_id, page, at, runs_on, alone, numbered, key).
 
-    A page cut into several chunks may show its head and foot on any of them.
+    A page cut into several chunks may show its head and foot on any of them. ``alone`` is a line that is a number and
+    nothing else, ``numbered`` one with a number beside a head; ``key`` has the head's letters as strokes.
     """
-    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.btrim(x, F.lit(" \t\u00a0\u2003")) != "")
-    rows = _pages(chunks).select("chunk_id", "item_id", "page", lines.alias("lines")).where(F.size("lines") > 1).select("chunk_id", "item_id", "page", F.slice("lines", 1, 2).alias("first"), F.slice("lines", -2, 2).alias("last"))
+    turned = F.reverse("text")
+    first = [F.regexp_extract("text", _FIRST_TWO, g) for g in (1, 2)]
+    last = [F.reverse(F.regexp_extract(turned, _FIRST_TWO, g)) for g in (1, 2)]
+    rows = _pages(chunks).select("chunk_id", "item_id", "page", *[c.alias(n) for n, c in (("a1", first[0]), ("a2", first[1]), ("z1", last[0]), ("z2", last[1]))]).where("a1 <> ''")
     sides = F.explode(
         F.array(
-            F.struct(F.lit("first").alias("at"), F.col("first")[0].alias("line"), F.regexp_like(F.col("first")[1], F.lit(r"^\s*\p{Ll}")).alias("runs_on")),
-            F.struct(F.lit("last").alias("at"), F.col("last")[1].alias("line"), (~F.regexp_like(F.col("last")[0], F.lit(r"[.!?][\"'”’)\]]*\s*$"))).alias("runs_on")),
+            F.struct(F.lit("first").alias("at"), F.col("a1").alias("line"), F.regexp_like("a2", F.lit(r"^\s*\p{Ll}")).alias("runs_on")),
+            F.struct(F.lit("last").alias("at"), F.col("z1").alias("line"), (~F.regexp_like("z2", F.lit(r"[.!?][\"'”’)\]]*\s*$"))).alias("runs_on")),
         )
     )
-    out = rows.select("chunk_id", "item_id", "page", sides.alias("x")).select("chunk_id", "item_id", "page", "x.*").distinct()
-    alone = F.regexp_extract("line", _ALONE, 1)
-    number = F.when(alone != "", alone).when(F.regexp_like("line", F.lit(_BEFORE)), F.regexp_extract("line", _BEFORE, 1)).when(F.regexp_like("line", F.lit(_AFTER)), F.regexp_extract("line", _AFTER, 2))
-    head = F.when(alone != "", "").when(F.regexp_like("line", F.lit(_BEFORE)), F.regexp_extract("line", _BEFORE, 2)).when(F.regexp_like("line", F.lit(_AFTER)), F.regexp_extract("line", _AFTER, 1)).otherwise(F.col("line"))
-    return out.select("*", number.alias("number"), head.alias("head"), (alone != "").alias("alone"))
+    lines = rows.select("chunk_id", "item_id", "page", sides.alias("x")).select("chunk_id", "item_id", "page", "x.*")
+    lines = lines.select("*", F.regexp_like("line", F.lit(_ALONE)).alias("alone"), F.regexp_like("line", F.lit(_BEFORE)).alias("before"), F.regexp_like("line", F.lit(_AFTER)).alias("after"))
+    head = F.when(F.col("before"), F.regexp_extract("line", _BEFORE, 2)).when(F.col("after"), F.regexp_extract("line", _AFTER, 1)).otherwise(F.col("line"))
+    for a, b in _LIGATURES:
+        head = F.replace(head, F.lit(a), F.lit(b))
+    key = F.when(~F.col("alone"), strokes(F.regexp_replace(head, r"[^\p{L}01569@!|(]", "")))
+    numbered = ~F.col("alone") & (F.col("before") | F.col("after"))
+    return lines.select("chunk_id", "item_id", "page", "at", "runs_on", "alone", numbered.alias("numbered"), key.alias("key")).distinct()
 
 
 def heads_and_numbers(chunks: DataFrame) -> DataFrame:
     """(chunk_id, at, noise): running_header or page_number on the first or last line of a chunk's page."""
     edges, _ = cut(edge_lines(chunks), "edges")
-    head = F.col("head")
-    for a, b in _LIGATURES:
-        head = F.replace(head, F.lit(a), F.lit(b))
-    key = strokes(F.regexp_replace(head, r"[^\p{L}01569@!|(]", ""))
-    lines = edges.where(~F.col("alone")).withColumn("key", key).where(F.length("key") >= 4)
+    lines = edges.where(~F.col("alone") & (F.length("key") >= 4))
     # pages are counted once each: first by page, then by item, so that no task gathers an item
     by_page = lines.where("item_id is not null").groupBy("item_id", "key", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if("runs_on").alias("on"))
     recurring = by_page.groupBy("item_id", "key").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("on").alias("on")).where((F.col("pages") >= RECURS) & (F.col("on") * 2 < F.col("n")))
-    heads, _ = cut(lines.join(recurring.select("item_id", "key"), ["item_id", "key"]).select("chunk_id", "at", "number"), "heads")
-    numbers = edges.where("alone").select("chunk_id", "at").unionByName(heads.where("number is not null").select("chunk_id", "at"))
+    heads, _ = cut(lines.join(recurring.select("item_id", "key"), ["item_id", "key"]).select("chunk_id", "at", "numbered"), "heads")
+    numbers = edges.where("alone").select("chunk_id", "at").unionByName(heads.where("numbered").select("chunk_id", "at"))
     return heads.select("chunk_id", "at", F.lit("running_header").alias("noise")).unionByName(numbers.withColumn("noise", F.lit("page_number"))).distinct()
 
 
@@ -162,10 +168,11 @@ def _tokens(text: Column, split: Column | None = None) -> Column:
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, paged, split, t): the words of every text, written once for all that reads them."""
+    """(chunk_id, paged, split, t array<string>): the words of every text, written once, in one string, for all that reads them."""
     split = F.regexp_like("text", F.lit(SPLIT))
     rows = chunks.where("text is not null").select("chunk_id", F.col("page").isNotNull().alias("paged"), split.alias("split"), "text")
-    return cut(rows.select("chunk_id", "paged", "split", _tokens(F.col("text"), F.col("split")).alias("t")), "tokens")[0]
+    written, _ = cut(rows.select("chunk_id", "paged", "split", F.array_join(_tokens(F.col("text"), F.col("split")), " ").alias("t")), "tokens")
+    return written.withColumn("t", F.when(F.col("t") != "", F.split("t", " ")).otherwise(F.array().cast("array<string>")))
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
