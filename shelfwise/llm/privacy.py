@@ -34,7 +34,8 @@ SAMPLE, ROUNDS, SAMPLE_NAMES = 3000, 10, 5000
 #: Bits of the lexicon's filter (8 MB at most) and bits set for each name: one in a hundred strange words passes at seven million names.
 LEXICON_BITS, HASHES = 1 << 26, 4
 
-_ready: dict[str, object] = {}
+#: Patterns of this process, and fitted weights by what they were fitted on.
+_ready: dict[object, object] = {}
 
 
 def _patterns() -> dict:
@@ -81,7 +82,9 @@ def _patterns() -> dict:
             "german": ("str.", "straße", "strasse", "weg", "platz", "gasse", "allee", "ufer", "damm", "steig", "markt", "hof"),
             "ring": re.compile(r"ring\s[0-9]"),
             # full stops after short words are those of abbreviations
-            "ends": re.compile(r"(?<=\w{3}[.!?])\s+|\n\s*\n"),
+            "ends": re.compile(r"(?<=\w\w\w[.!?])\s+|\n\s*\n"),
+            # a stretch that may lack capitals begins with a small letter
+            "small": re.compile(r"(?:\A|[.!?]\s|\n\s*\n)[\W\d_]*[^\W\d_A-Z]"),
             "word": regex.compile(r"[\p{L}\p{N}#&]+|[:;()<>/.,?!@+\"“”-]"),
             "digits": regex.compile(r"\d"),
             "letters": regex.compile(r"\p{L}"),
@@ -133,9 +136,15 @@ class Proposer:
 
     def __init__(self, given: Container[str]):
         self.given, self.p = given, _patterns()
+        self.tokens: dict[str, bool] = {}
 
     def known(self, token: str) -> bool:
-        return all(part in self.given for part in token.casefold().rstrip(".").split("-"))
+        found = self.tokens.get(token)
+        if found is None:
+            if len(self.tokens) > 200_000:
+                self.tokens.clear()
+            found = self.tokens[token] = all(part in self.given for part in token.casefold().rstrip(".").split("-"))
+        return found
 
     def _around(self, text: str, start: int, end: int) -> list[str]:
         before = [w.casefold() for w in self.p["word"].findall(text[max(0, start - 48) : start])][-3:]
@@ -146,6 +155,8 @@ class Proposer:
 
     def _without_capitals(self, text: str) -> Iterator[tuple[int, int]]:
         """Sentences and paragraphs that hold letters, but no capital."""
+        if not self.p["small"].search(text):
+            return
         at = 0
         for m in self.p["ends"].finditer(text):
             if text[at : m.start()].islower():
@@ -368,7 +379,10 @@ def find(documents: DataFrame, authors: DataFrame, id_col: str = "doc_id", text_
     names, _ = cut(given_names(authors), "given_names")
     words = lexicon(names)
     sample = [r.name for r in names.orderBy(F.desc("n"), "name").limit(SAMPLE_NAMES).collect()]
-    weights = {f: round(w, 4) for f, w in fitted(sample, Lexicon(words)).weights.items() if abs(w) > 1e-3}
+    key = ("weights", hash((tuple(sample), tuple(sorted(words.items())))))
+    if key not in _ready:
+        _ready[key] = {f: round(w, 4) for f, w in fitted(sample, Lexicon(words)).weights.items() if abs(w) > 1e-3}
+    weights = _ready[key]
     sent = documents.sparkSession.sparkContext.broadcast((words, weights))
 
     @F.pandas_udf(_FOUND)
