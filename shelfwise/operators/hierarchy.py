@@ -2,7 +2,7 @@
 
 Levels are reached from the roots by frontier joins. One join advances the frontier by ``STRIDE`` levels,
 because the chains of up to ``STRIDE`` links below every node are prepared beforehand by doubling; a tree
-of depth 120 then takes 15 joins in place of 120. Rows that no frontier reaches lie on or under a loop;
+of depth 120 then takes 8 joins in place of 120. Rows that no frontier reaches lie on or under a loop;
 pointer jumping finds their loop in a logarithmic number of joins.
 
 Defined results:
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import cut, drop
 
 #: Levels that one frontier join advances; a power of two.
-STRIDE = 8
+STRIDE = 16
 
 
 def _links(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
