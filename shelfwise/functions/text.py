@@ -29,7 +29,7 @@ _ACCENTS = _accent_table()
 
 def strip_accents(text: Column) -> Column:
     """Letters without their accents, composed or as combining marks."""
-    return F.translate(F.regexp_replace(text, r"\p{M}", ""), *_ACCENTS)
+    return F.when(F.regexp_like(text, F.lit(_ODD)), F.translate(F.regexp_replace(text, r"\p{M}", ""), *_ACCENTS)).otherwise(text)
 
 
 def _compatible_table() -> tuple[str, str, dict[str, str]]:
@@ -47,15 +47,28 @@ def _compatible_table() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(plain), several
 
 
+def _ranges(characters: str) -> str:
+    """The characters as a class of a pattern, neighbours as ranges."""
+    out: list[list[int]] = []
+    for point in sorted(map(ord, characters)):
+        if out and out[-1][1] == point - 1:
+            out[-1][1] = point
+        else:
+            out.append([point, point])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out) + "]"
+
+
 _SINGLE, _PLAIN, _SEVERAL = _compatible_table()
+#: Whether a text holds any character that is not plain, and any that stands for several.
+_ODD, _LONGER = r"[^\x00-\x7f]", _ranges("".join(_SEVERAL))
 
 
 def asciify(text: Column) -> Column:
     """Letters without accents, and compatibility characters (ligatures, wide forms, small figures) as what they stand for."""
     longer = F.from_json(F.lit(json.dumps(_SEVERAL)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(longer[c], c)), "")
-    held = F.regexp_like(text, F.lit("[" + "".join(_SEVERAL) + "]"))
-    return F.translate(F.regexp_replace(F.when(held, spelled).otherwise(text), r"\p{M}", ""), _SINGLE, _PLAIN)
+    folded = F.translate(F.regexp_replace(F.when(F.regexp_like(text, F.lit(_LONGER)), spelled).otherwise(text), r"\p{M}", ""), _SINGLE, _PLAIN)
+    return F.when(F.regexp_like(text, F.lit(_ODD)), folded).otherwise(text)
 
 
 def tokens(text: Column) -> Column:

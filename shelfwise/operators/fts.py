@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_phrases, tokens
-from ..session import cut, new_path
+from ..session import cut, new_path, spread
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -48,11 +48,13 @@ def search(
     if not phrases:
         return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     words = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-    counted = docs.where(F.col(id_col).isNotNull()).select(
+    open_ = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    docs = spread(docs.where(F.col(id_col).isNotNull()).select(id_col, *columns, open_.alias("__open")))
+    counted = docs.select(
         id_col,
         reduce(lambda a, b: a + b, [F.size(w) for w in words]).alias("__size"),
         *[reduce(lambda a, b: a + b, [_count(w, p) for w in words]).alias(f"__tf{k}") for k, p in enumerate(phrases)],
-        (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("__open"),
+        "__open",
     )
     counted, _ = cut(counted.dropDuplicates([id_col]) if repeats else counted, "counted")
     stats = counted.agg(

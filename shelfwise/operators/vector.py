@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..session import new_path, ship
+from ..session import new_path, ship, spread
 
 #: Vectors in one block: with 768 numbers of 8 bytes, 12 MB are read at a time; vectors of the corpus a task holds at once.
 BLOCK, HELD = 2048, 8192
@@ -74,7 +74,7 @@ def nearest(corpus: DataFrame, queries: DataFrame | list[tuple[int, list[float]]
     """
     spark = corpus.sparkSession
     ship(spark)
-    rows = corpus.select(F.col(id_col).cast("long").alias(id_col), vector_col)
+    rows = spread(corpus.select(F.col(id_col).cast("long").alias(id_col), vector_col))
     if isinstance(queries, list):
         queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], f"{id_col} long, {vector_col} array<double>")
     asked = queries.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias(vector_col)).dropDuplicates([id_col])
