@@ -287,9 +287,9 @@ def _decoded(hits: pd.Series, pairs: pd.Series) -> pd.Series:
     return pd.Series([one(f, k) for f, k in zip(hits, pairs)], dtype=object)
 
 
-def misread_words(tokens: DataFrame) -> DataFrame:
+def misread_words(tokens: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(chunk_id, words array<struct<pos, source>>): positions of misread words among a chunk's words, and their sources."""
-    pairs = pair_counts(tokens)
+    pairs = pair_counts(tokens) if pairs is None else pairs
     counts, _ = cut(word_counts(pairs), "counts")
     wrong, _ = cut(corrections(counts), "corrections")
     paged = tokens.where("paged and chunk_id is not null")
@@ -328,7 +328,8 @@ def repaired(chunks: DataFrame) -> DataFrame:
     A split compound keeps its hyphen where the corpus writes it with one more often than without.
     """
     tokens = tokenised(chunks)
-    counts, _ = cut(word_counts(pair_counts(tokens)), "counts")
+    pairs = pair_counts(tokens)
+    counts, _ = cut(word_counts(pairs), "counts")
     pages = _pages(chunks).select("chunk_id", "text").distinct()
     halves = F.regexp_extract_all("text", F.lit(r"\p{L}+" + SPLIT + r"\p{L}+"), F.lit(0))
     parts = F.transform(halves, lambda x: F.split(F.regexp_replace(F.lower(x), r"[-\u2010\u2011\u00AC\u00AD]\s*[\r\n]\s*", "-"), "-"))
@@ -343,7 +344,7 @@ def repaired(chunks: DataFrame) -> DataFrame:
         .agg(F.collect_set("word").alias("compounds"))
     )
     edges = heads_and_numbers(chunks).groupBy("chunk_id").agg(F.collect_set("at").alias("edges"))
-    rows = pages.join(edges, "chunk_id", "left").join(misread_words(tokens), "chunk_id", "left").join(kept, "chunk_id", "left")
+    rows = pages.join(edges, "chunk_id", "left").join(misread_words(tokens, pairs), "chunk_id", "left").join(kept, "chunk_id", "left")
     return rows.select("chunk_id", _mended("text", "edges", "words", "compounds").alias("text"))
 
 
