@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from . import feeds
 from .functions import pyfuncs as P
 from .functions import text as X
 from .operators import fts
@@ -173,6 +175,13 @@ class Library:
         page = L.page(rows, L.order(sort), offset, limit)
         return page.join(self._authors().select(F.col("item_id").alias("id"), F.col("names").alias("authors")), "id", "left").orderBy(*L.order(sort))
 
+    def feed(self, title: str, path: str, updated: str, sort: str = "added", offset: int = 0, limit: int = L.PAGE, **filters) -> str:
+        """A page of a listing as an Atom feed."""
+        page = self.browse(sort, offset, limit, **filters)
+        placed = page.withColumn("__place", F.row_number().over(W.Window.orderBy(*L.order(sort)))).drop("authors")
+        rows = placed.select("id", "__place").join(feeds.entries(placed, self._authors()), "id").orderBy("__place")
+        return feeds.acquisition(rows, title, path, updated, self.count(**filters), offset, limit)
+
     def count(self, **filters) -> int:
         return self.listing(**filters).count()
 

@@ -76,14 +76,10 @@ def page(rows: DataFrame, by: list[Column], offset: int = 0, limit: int = PAGE)
 
 
 def page_links(total: int, offset: int, limit: int) -> dict[str, int]:
-    """Offsets of first, previous, next and last page, where these exist."""
-    limit = min(max(limit, 1), LARGEST)
-    links = {"first": 0, "last": max((total - 1) // limit, 0) * limit}
-    if offset > 0:
-        links["previous"] = max(offset - limit, 0)
-    if offset + limit < total:
-        links["next"] = offset + limit
-    return links
+    """Offsets of the pages to go to: first and previous beyond the first page, next and last before the last one."""
+    offset, limit = max(offset, 0), min(max(limit, 1), LARGEST)
+    links = {"first": 0, "prev": max(offset - limit, 0)} if offset > 0 else {}
+    return links | ({"next": offset + limit, "last": (total - 1) // limit * limit} if offset + limit < total else {})
 
 
 def hydrate(items: DataFrame, ids: list[int]) -> DataFrame:
